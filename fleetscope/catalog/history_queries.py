@@ -26,12 +26,12 @@ W60 = "rows between 59 preceding and current row"
 
 @query(
     "ring_buffer",
-    f"""select cluster_id, slot, snapshot_id, count(*) over w buffered, epoch_us(min(poll_ts) over w) oldest_us, round(avg(value) over w,6) mean_value
+    f"""select cluster_id, slot, snapshot_id, count(*) over w buffered, epoch_us(min(poll_ts) over w) oldest_us, round(sum(value) over w,2) total_value
  from (select * from tv_polls where ok) p window w as ({PARTITION_OF_ORDER} {W60})""",
 )
 def ring_buffer(v):
     return series.ring_buffer(v.view("polls")).select(
-        "cluster_id", "slot", "snapshot_id", "buffered", F.unix_micros(F.col("oldest").cast("timestamp")).alias("oldest_us"), r6("mean_value")
+        "cluster_id", "slot", "snapshot_id", "buffered", F.unix_micros(F.col("oldest").cast("timestamp")).alias("oldest_us"), F.round("total_value", 2).alias("total_value")
     )
 
 
@@ -201,11 +201,11 @@ def sql_io(v):
 
 
 def plan(v) -> DiagnosticPlan:
-    """Insights and facts are read by several branches below, so they are stored once."""
+    """Tables rolled up from tasks and the key facts are read by many branches, so they are stored once."""
     return DiagnosticPlan(v.stored_telemetry, store=True)
 
 
-CTES["a_rows"] = f"select *, tick*1000000+row_number() over (partition by cluster_id, tick order by {LIST_ORDER}) ord from i_all"
+CTES["a_rows"] = f"select *, cast(tick as bigint)*1000000+row_number() over (partition by cluster_id, tick order by {LIST_ORDER}) ord from i_all"
 
 
 def _acc_sql(source: str, spine: str, group: str) -> str:
@@ -320,13 +320,13 @@ def run_assign(v):
     return runs.assign(v.executors.select(*KEY).distinct(), v.view("runs"))
 
 
-_EXPORT_SQL = f"select cluster_id, run_id, {_ACC_COLS}, severity, {_PEAK} peak_severity, round(metric_value,6) metric_value, round(peak_metric_value,6) peak_metric_value, threshold_value from u_acc"
+_EXPORT_SQL = f"select cluster_id, run_id, {_ACC_COLS}, severity, {_PEAK} peak_severity, round(metric_value,6) metric_value, round(peak_metric_value,6) peak_metric_value, round(threshold_value,6) threshold_value from u_acc"
 
 
 @query("run_stop", _EXPORT_SQL)
 def run_stop(v):
     return runs.export_insights(exported(v)).drop("description", "recommendation").withColumns(
-        {"metric_value": F.round("metric_value", 6), "peak_metric_value": F.round("peak_metric_value", 6)}
+        {c: F.round(c, 6) for c in ("metric_value", "peak_metric_value", "threshold_value")}
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -17,6 +18,12 @@ def checkpoint_folder(spark) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` stored in the checkpoint folder, so later branches read it instead of computing it again."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to the checkpoint folder and read back.
+
+    Later branches read the columns they need from the stored table instead of computing
+    it again, and survive the loss of executors. The folder's owner removes it after the job.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/fleetscope-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -126,14 +126,14 @@ def candidates(df: DataFrame, rules: list[Rule], wanted: Callable[[Rule], bool],
     return df.selectExpr(*keys, f"inline(array({listed}))").filter("code is not null")
 
 
-def dress(found: DataFrame, rules: list[Rule]) -> DataFrame:
+def dress(found: DataFrame, rules: list[Rule], keys: list[str] = KEY) -> DataFrame:
     """Add the fixed attributes and render the texts."""
     table = ", ".join(_fixed_part(rule, f) for rule in rules for f in rule.findings())
     advice = ", ".join(f"{_quote(k)}, {_quote(v)}" for k, v in ADVICE.items())
     known = found.selectExpr("*", f"element_at(array({table}), code + 1) as fixed").selectExpr("*", f"{_shown()} as shown")
     places = ", ".join(f"get(shown, {i})" for i in range(MAX_ARGS))
     return known.selectExpr(
-        *KEY,
+        *keys,
         "fixed.detector", "fixed.rule", "fixed.phase", "pos", "fixed.slot",
         "case when fixed.ranked then metric_value else 0D end as rank_metric",
         "fixed.category", "severity",

@@ -20,10 +20,10 @@ def tick_block() -> Column:
 
 
 def ring_buffer(polls: DataFrame, size: int = T.RING_SIZE) -> DataFrame:
-    """Every good poll of a slot with the snapshots then in its buffer: count, oldest, mean value."""
+    """Every good poll of a slot with the snapshots then in its buffer: count, oldest, sum of values."""
     good = polls.filter("ok")
     order = timeline.numbered(good, SLOT, ["poll_ts", "snapshot_id"], timeline.day_of(F.col("poll_ts")))
-    frames = {"buffered": F.count("snapshot_id"), "oldest": F.min("poll_ts"), "mean_value": F.avg("value")}
+    frames = {"buffered": F.count("snapshot_id"), "oldest": F.min("poll_ts"), "total_value": F.sum("value")}
     return timeline.sliding(order, SLOT, "idx", size, frames)
 
 

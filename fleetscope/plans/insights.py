@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
@@ -42,6 +43,17 @@ ABSENT = {
 KEY_LETS = {**executor_rules.KEY_LETS, **stage_rules.KEY_LETS, **workload_rules.KEY_LETS}
 
 
+def words_of(rules: list[Rule]) -> set[str]:
+    """Names used by the expressions of ``rules``, through the shared columns they refer to."""
+    texts = [part for r in rules for f in r.findings() for part in (f.when, f.severity, f.metric, f.threshold, f.entity, f.pos, *f.args)]
+    words: set[str] = set()
+    while texts:
+        new = set(re.findall(r"[A-Za-z_]\w*", texts.pop())) - words
+        words |= new
+        texts += [KEY_LETS[w] for w in new if w in KEY_LETS]
+    return words
+
+
 def with_lets(df: DataFrame, lets: dict[str, str]) -> DataFrame:
     return df.selectExpr("*", *[f"{sql} as {name}" for name, sql in lets.items()])
 
@@ -62,14 +74,14 @@ class InsightPlan:
     """Scopes of a telemetry set and the rules evaluated on them.
 
     A report exists for every key with executor rows; findings of other keys are dropped
-    by ``insights`` but kept by ``detect``. With ``store`` the facts and the insights are
-    written to the checkpoint folder once, for jobs that read them several times.
+    by ``insights`` but kept by ``detect``. With ``store`` the key facts are written to the
+    checkpoint folder once: five branches of the plan read them.
     """
 
     def __init__(self, telemetry: Telemetry, rules: list[Rule] | None = None, store: bool = False):
         self.tables = telemetry.map_tables(lambda name, df: conform(df, SCHEMAS[name]))
         self.rules = ALL_RULES if rules is None else rules
-        self.keep = cut if store else lambda df: df
+        self.store = store
 
     # -- facts per key
 
@@ -77,6 +89,11 @@ class InsightPlan:
     def executor_facts(self) -> DataFrame:
         return rollups.executor_facts(self.tables.executors)
 
+    @cached_property
+    def spine(self) -> DataFrame:
+        """The reported keys."""
+        return self.key_scope.select(*KEY) if self.store else self.tables.executors.select(*KEY).distinct()
+
     @cached_property
     def count_history(self) -> DataFrame:
         """Mean and deviation of the number of active executors over the last polls."""
@@ -88,41 +105,68 @@ class InsightPlan:
     @cached_property
     def key_scope(self) -> DataFrame:
         """One row per key: facts of every table and the configuration in force."""
-        return self.keep(self._key_scope())
+        return cut(self._key_scope()) if self.store else self._key_scope()
 
-    def _key_scope(self) -> DataFrame:
+    def _key_scope(self, words: set[str] | None = None) -> DataFrame:
+        """Key facts joined together; with ``words`` only the tables some wanted expression names a column of."""
         t = self.tables
+        wanted = lambda columns: words is None or not words.isdisjoint(columns)
         out = self.executor_facts
-        out = out.join(rollups.read_median(t.executors), KEY, "left").join(self.count_history, KEY, "left")
+        if wanted(["read_median", "read_factor"]):
+            out = out.join(rollups.read_median(t.executors), KEY, "left")
+        if wanted(["count_points"]):
+            out = out.join(self.count_history, KEY, "left")
         for name, facts in (("stages", rollups.stage_facts), ("jobs", rollups.job_facts), ("sql_queries", rollups.sql_facts)):
             table = getattr(t, name)
+            if not wanted(ABSENT[name]):
+                continue
             if table is None:
-                out = out.withColumns({c: F.lit(None).cast("double") for c in ABSENT[name]})
+                out = out.selectExpr("*", *[f"cast(null as double) as {c}" for c in ABSENT[name]])
             else:
                 out = out.join(facts(table), KEY, "left")
-        if t.rdds is None:
-            out = out.withColumns({c: F.lit(None).cast("long") for c in ABSENT["rdds"]})
-        else:
-            on = [k for k in KEY if k in t.rdds.columns]
-            out = out.join(rollups.rdd_facts(t.rdds, on).drop("cache_disk_bytes"), on, "left")
-        wanted = {"autotermination_minutes": "int", "runtime_engine": "string", "spark_conf": "map<string,string>"}
-        if t.clusters is None:
-            return out.withColumns({c: F.lit(None).cast(kind) for c, kind in wanted.items()})
-        on = [k for k in KEY if k in t.clusters.columns]
-        return out.join(t.clusters.select(*on, *wanted), on, "left")
+        if wanted(ABSENT["rdds"]):
+            if t.rdds is None:
+                out = out.selectExpr("*", *[f"cast(null as bigint) as {c}" for c in ABSENT["rdds"]])
+            else:
+                on = [k for k in KEY if k in t.rdds.columns]
+                out = out.join(rollups.rdd_facts(t.rdds, on).drop("cache_disk_bytes"), on, "left")
+        if wanted(["known"]):
+            conf = {"autotermination_minutes": "int", "runtime_engine": "string", "spark_conf": "map<string,string>"}
+            if t.clusters is None:
+                out = out.selectExpr("*", *[f"cast(null as {kind}) as {c}" for c, kind in conf.items()])
+            else:
+                on = [k for k in KEY if k in t.clusters.columns]
+                out = out.join(t.clusters.select(*on, *conf), on, "left")
+        return out
+
+    def _key_rows(self, rules: list[Rule]) -> DataFrame:
+        """The key scope with what the expressions of ``rules`` name."""
+        if len(rules) == sum(r.scope == "key" for r in self.rules):
+            return self.scope("key")
+        words = words_of(rules)
+        out = self._key_scope(words)
+        if "known" in words:
+            out = read_conf(with_lets(out, workload_rules.CONF_LETS))
+        return with_lets(out, {n: sql for n, sql in KEY_LETS.items() if n in words})
 
     # -- one row per rule input
 
-    def scope(self, name: str) -> DataFrame | None:
-        """Rows a rule of that scope reads, with the columns its expressions share computed once."""
+    def scope(self, name: str, words: set[str] | None = None) -> DataFrame | None:
+        """Rows a rule of that scope reads, with the columns its expressions share computed once.
+
+        With ``words``, facts of the key are attached only if an expression names them.
+        """
         t = self.tables
         if name == "key":
             return with_lets(read_conf(with_lets(self.key_scope, workload_rules.CONF_LETS)), KEY_LETS)
         if name == "executor":
             return with_lets(t.executors, executor_rules.EXECUTOR_LETS)
         if name == "stage" and t.stages is not None:
-            cores = self.key_scope.select(*KEY, "cores")
-            return with_lets(salted_join(t.stages, cores, KEY, spread=("stage_id", "attempt_id")), stage_rules.STAGE_LETS)
+            rows = t.stages
+            if words is None or "cores" in words:
+                facts = self.key_scope if self.store else self.executor_facts
+                rows = salted_join(rows, facts.select(*KEY, "cores"), KEY, spread=("stage_id", "attempt_id"))
+            return with_lets(rows, stage_rules.STAGE_LETS)
         if name == "sql" and t.sql_queries is not None:
             median = rollups.sql_median(t.sql_queries).drop("query_median_ms_n")
             return with_lets(salted_join(t.sql_queries, median, KEY, spread=("execution_id",)), workload_rules.SQL_LETS)
@@ -131,34 +175,39 @@ class InsightPlan:
         return None
 
     def _candidates(self, scope: str, wanted) -> DataFrame | None:
-        rows = self.scope(scope)
+        """Findings of one scope with their texts."""
+        picked = lambda r: r.scope == scope and wanted(r)
+        chosen = [r for r in self.rules if picked(r)]
+        rows = self._key_rows(chosen) if scope == "key" else self.scope(scope, words_of(chosen))
         if rows is None:
             return None
-        picked = lambda r: r.scope == scope and wanted(r)
         if scope != "rdd" or "tick" in rows.columns:
             return candidates(rows, self.rules, picked, KEY)
-        # datasets known per cluster are part of every report of that cluster
-        found = candidates(rows, self.rules, picked, ["cluster_id"])
-        spread = salted_join(found, self.key_scope.select(*KEY), ["cluster_id"], "inner", spread=("pos",))
-        return spread.select(*KEY, *[c for c in found.columns if c != "cluster_id"])
+        # datasets known per cluster are part of every report of that cluster; texts are made before the copies
+        found = dress(candidates(rows, self.rules, picked, ["cluster_id"]), self.rules, ["cluster_id"])
+        return salted_join(found, self.spine, ["cluster_id"], "inner", spread=("pos",))
 
     def _found(self, wanted) -> DataFrame:
         """Union of one pass per scope that has a wanted rule."""
         scopes = [s for s in SCOPES if any(r.scope == s and wanted(r) for r in self.rules)]
-        parts = [self._candidates(s, wanted) for s in scopes]
-        return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
+        parts = [(s, self._candidates(s, wanted)) for s in scopes]
+        bare = [p for _, p in parts if p is not None and "code" in p.columns]
+        done = [p for _, p in parts if p is not None and "code" not in p.columns]
+        if bare:
+            done.insert(0, dress(reduce(DataFrame.unionByName, bare), self.rules))
+        return reduce(DataFrame.unionByName, done)
 
     def _reported(self, found: DataFrame) -> DataFrame:
-        return dress(found.join(self.key_scope.select(*KEY), KEY, "left_semi"), self.rules)
+        return found.join(self.spine, KEY, "left_semi")
 
     def detect(self, name: str) -> DataFrame:
         """Findings of one rule, every key."""
-        return dress(self._found(lambda r: r.name == name), self.rules)
+        return self._found(lambda r: r.name == name)
 
     @cached_property
     def insights(self) -> DataFrame:
         """Every finding of every reported key: one pass per scope."""
-        return self.keep(self._reported(self._found(lambda r: True)))
+        return self._reported(self._found(lambda r: True))
 
     def insights_by_rule(self) -> DataFrame:
         """The same table as one union branch per rule; kept as the reference plan in tests."""
