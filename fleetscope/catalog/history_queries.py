@@ -462,3 +462,18 @@ def run_delete(v):
     return left.groupBy("cluster_id", "run_id").agg(F.count(F.lit(1)).alias("points")).withColumns(
         {"existed": F.lit(existed), "existed_again": F.lit(again)}
     )
+
+
+@query(
+    "ring_buffer_stream",
+    f"""select cluster_id, slot, snapshot_id, count(*) over w buffered, min(snapshot_id) over w oldest_id
+ from (select * from tv_polls where ok) p window w as (partition by cluster_id, slot order by snapshot_id {W60})""",
+)
+def ring_buffer_stream(v):
+    """Batch form of the stream state; the stream itself is compared with it in the tests."""
+    from fleetscope.operators import timeline
+
+    good = v.view("polls").filter("ok")
+    order = timeline.numbered(good, series.SLOT, ["snapshot_id"], F.floor(F.col("snapshot_id") / 4096))
+    frames = {"buffered": F.count("snapshot_id"), "oldest_id": F.min("snapshot_id")}
+    return timeline.sliding(order, series.SLOT, "idx", T.RING_SIZE, frames).select("cluster_id", "slot", "snapshot_id", "buffered", "oldest_id")

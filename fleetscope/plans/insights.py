@@ -75,13 +75,18 @@ class InsightPlan:
 
     A report exists for every key with executor rows; findings of other keys are dropped
     by ``insights`` but kept by ``detect``. With ``store`` the key facts are written to the
-    checkpoint folder once: five branches of the plan read them.
+    checkpoint folder once: five branches of the plan read them. ``history`` is given when
+    only some ticks are analysed.
     """
 
-    def __init__(self, telemetry: Telemetry, rules: list[Rule] | None = None, store: bool = False):
+    def __init__(
+        self, telemetry: Telemetry, rules: list[Rule] | None = None, store: bool = False, history: DataFrame | None = None
+    ):
         self.tables = telemetry.map_tables(lambda name, df: conform(df, SCHEMAS[name]))
         self.rules = ALL_RULES if rules is None else rules
         self.store = store
+        # executor rows the count history looks back on, where ``telemetry`` holds only some ticks
+        self.history = self.tables.executors if history is None else conform(history, EXECUTORS)
 
     # -- facts per key
 
@@ -97,7 +102,7 @@ class InsightPlan:
     @cached_property
     def count_history(self) -> DataFrame:
         """Mean and deviation of the number of active executors over the last polls."""
-        counts = self.tables.executors.groupBy(*KEY).agg(rollups.count_if(F.col("is_active")).cast("double").alias("n"))
+        counts = self.history.groupBy(*KEY).agg(rollups.count_if(F.col("is_active")).cast("double").alias("n"))
         order = numbered(counts, ["cluster_id"], ["tick"], F.floor(F.col("tick") / TICK_BLOCK))
         frames = {"count_points": F.count("n"), "count_mean": F.avg("n"), "count_sd": F.stddev_samp("n")}
         return sliding(order, ["cluster_id"], "idx", T.RING_SIZE, frames).drop("n", "idx")
