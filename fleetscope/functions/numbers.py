@@ -10,7 +10,7 @@ from fleetscope import thresholds as T
 
 def ratio(num: Column, den: Column) -> Column:
     """``num / den`` as double, 0.0 unless ``den > 0``."""
-    return F.when(den > 0, num.cast("double") / den.cast("double")).otherwise(F.lit(0.0))
+    return F.when(den > 0, F.try_divide(num.cast("double"), den.cast("double"))).otherwise(F.lit(0.0))
 
 
 def clamp100(value: Column) -> Column:
@@ -24,11 +24,11 @@ def whole(value: Column) -> Column:
 
 def is_skewed(p50: Column, maximum: Column, bound: float = T.TASK_SKEW_RATIO) -> Column:
     """Largest value at least ``bound`` times the median; any positive maximum if the median is not."""
-    return F.when(p50 <= 0, maximum > 0).otherwise(maximum / p50 >= bound)
+    return F.when(p50 <= 0, maximum > 0).otherwise(F.try_divide(maximum, p50) >= bound)
 
 
 def is_gc_pressure(gc_ms: Column, run_ms: Column, bound: float = T.TASK_GC_RATIO) -> Column:
-    return F.when(run_ms <= 0, F.lit(False)).otherwise(gc_ms.cast("double") / run_ms >= bound)
+    return F.when(run_ms <= 0, F.lit(False)).otherwise(F.try_divide(gc_ms.cast("double"), run_ms) >= bound)
 
 
 def slots(max_tasks: Column, cores: Column) -> Column:
@@ -45,5 +45,5 @@ def memory_pct(heap: Column, off_heap: Column, used: Column, max_memory: Column)
     """JVM share when a peak is known, else the storage share."""
     jvm = heap + off_heap
     return F.when(
-        (jvm > 0) & (max_memory > 0), jvm.cast("double") / jvm_heap_estimate(max_memory, jvm) * 100.0
+        (jvm > 0) & (max_memory > 0), F.try_divide(jvm.cast("double"), jvm_heap_estimate(max_memory, jvm)) * 100.0
     ).otherwise(ratio(used, max_memory) * 100.0)

@@ -24,10 +24,12 @@ def bytes_sql(n: str) -> str:
     """Tenths are rounded half to even with integer shifts, so ties are exact."""
     steps = "".join(f" when abs({n}) < {1 << (10 * (p + 1))} then {p}" for p in range(1, len(BYTE_UNITS) - 1))
     power = f"(case{steps} else {len(BYTE_UNITS) - 1} end)"
-    tenfold, bits = f"(cast(abs({n}) as bigint) * 10)", f"(10 * {power})"
-    whole = f"shiftright({tenfold}, {bits})"
-    excess = f"(2 * ({tenfold} - shiftleft({whole}, {bits})) - shiftleft(1L, {bits}))"
-    tenths = f"({whole} + case when {excess} > 0 or ({excess} = 0 and {whole} % 2 = 1) then 1 else 0 end)"
+    size, bits = f"cast(abs({n}) as bigint)", f"(10 * {power})"
+    above = f"shiftright({size}, {bits})"
+    rest = f"(10 * ({size} - shiftleft({above}, {bits})))"
+    tenth = f"shiftright({rest}, {bits})"
+    excess = f"(2 * ({rest} - shiftleft({tenth}, {bits})) - shiftleft(1L, {bits}))"
+    tenths = f"(10 * {above} + {tenth} + case when {excess} > 0 or ({excess} = 0 and {tenth} % 2 = 1) then 1 else 0 end)"
     units = ", ".join(f"'{u}'" for u in BYTE_UNITS)
     scaled = f"format_string('%.1f %s', {tenths} / 10, element_at(array({units}), {power} + 1))"
     text = f"case when abs({n}) < 1024 then concat(cast(abs({n}) as bigint), ' B') else {scaled} end"

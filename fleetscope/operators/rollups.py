@@ -22,12 +22,12 @@ def sum_if(cond: Column, value: Column) -> Column:
     return F.coalesce(F.sum(F.when(cond, value)), F.lit(0))
 
 
-# Conditions of the executor facts
+# Conditions of the executor facts. Divisions are ``try_divide``: a filtered aggregate may still evaluate its argument
 _WORKER = f"is_active and executor_id <> '{DRIVER}'"
 _TIMED = f"{_WORKER} and total_duration_ms > 0"
 _READER = f"{_WORKER} and total_shuffle_read > 0"
 _ACTIVE_READER = "is_active and total_shuffle_read > 0"
-_GC = "cast(total_gc_time_ms as double) / total_duration_ms"
+_GC = "try_divide(cast(total_gc_time_ms as double), total_duration_ms)"
 _SLOTS = "case when max_tasks > 0 then max_tasks else total_cores end"
 
 EXECUTOR_FACTS = {
@@ -92,9 +92,9 @@ STAGE_FACTS = {
     "pending_stages": "count_if(status = 'PENDING')",
     "failed_stages": "count_if(status = 'FAILED')",
     "active_spill": "coalesce(sum(memory_spill_bytes + disk_spill_bytes) filter (where status = 'ACTIVE'), 0)",
-    "shuffle_ratio": "avg(cast(shuffle_read_bytes + shuffle_write_bytes as double) / input_bytes)"
+    "shuffle_ratio": "avg(try_divide(cast(shuffle_read_bytes + shuffle_write_bytes as double), input_bytes))"
     " filter (where status = 'ACTIVE' and input_bytes > 0)",
-    "active_cpu_mean": "avg(cast(executor_cpu_time_ns as double) / (executor_run_time_ms * 1000000))"
+    "active_cpu_mean": "avg(try_divide(cast(executor_cpu_time_ns as double), executor_run_time_ms * 1000000))"
     " filter (where status = 'ACTIVE' and executor_run_time_ms > 0)",
     "retried_n": "count_if(attempt_id > 0)",
     "retried_warn_n": f"count_if(attempt_id > 0 and attempt_id < {T.RETRY_CRIT_ATTEMPT})",
@@ -197,7 +197,7 @@ def efficiency_panel(executors: DataFrame, keys: list[str] = KEY) -> DataFrame:
 def coefficient_of_variation(df: DataFrame, keys: list[str], value: Column, out: str = "cov") -> DataFrame:
     """Sample deviation over mean; null with fewer than two values or a mean that is not positive."""
     mean = F.avg(value)
-    return df.groupBy(*keys).agg(F.when(mean > 0, F.stddev_samp(value) / mean).alias(out), F.count(value).alias("points"))
+    return df.groupBy(*keys).agg(F.when(mean > 0, F.try_divide(F.stddev_samp(value), mean)).alias(out), F.count(value).alias("points"))
 
 
 # ---------------------------------------------------------------- from raw tasks

@@ -65,7 +65,7 @@ def num(value: float) -> str:
 
 def div(a: str, b: str) -> str:
     """``a / b`` as double, 0 unless ``b > 0``."""
-    return f"(case when {b} > 0 then cast({a} as double) / cast({b} as double) else 0D end)"
+    return f"(case when {b} > 0 then try_divide(cast({a} as double), cast({b} as double)) else 0D end)"
 
 
 def rung(value: str, low: float, high: float, at_low: str, at_high: str) -> str:

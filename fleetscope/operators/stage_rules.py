@@ -22,7 +22,7 @@ ENTITY = "concat('stage_', stage_id)"
 
 def memory_spill() -> list[Finding]:
     on_disk = f"disk_spill_bytes > {T.SPILL_DISK_BYTES}"
-    over_input = f"input_bytes > 0 and spill / input_bytes > {num(T.SPILL_INPUT_RATIO)}"
+    over_input = f"input_bytes > 0 and try_divide(spill, input_bytes) > {num(T.SPILL_INPUT_RATIO)}"
     return [
         Finding(
             when="measured and spill > 0",
@@ -87,7 +87,7 @@ def partition_issues() -> list[Finding]:
             title="Too few partitions on stage %1$s (%2$s tasks for %3$s cores)",
             text="Stage %1$s cannot keep %3$s cores busy with %2$s tasks.",
             args=("s:stage_id", "s:num_tasks", "s:cores"),
-            metric="num_tasks / cores",
+            metric="try_divide(num_tasks, cores)",
             threshold="1",
             advice="partition_few",
             slot=1,

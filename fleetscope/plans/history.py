@@ -40,7 +40,7 @@ def accumulate(insights: DataFrame, spine: DataFrame, group: list[str], identity
         F.max("metric_value").alias("peak_metric_value"),
         F.max_by(F.struct(*latest), F.struct("tick", order_struct())).alias("latest"),
     )
-    peak = F.element_at(F.array(*[F.lit(s) for s in T.SEVERITIES]), F.col("peak_rank") + 1)
+    peak = F.get(F.array(*[F.lit(s) for s in T.SEVERITIES]), F.col("peak_rank"))
     after = next_tick(spine, group).select(*group, F.col("tick").alias("last_seen"), F.col("next_tick").alias("resolved_at"))
     return rows.join(after, [*group, "last_seen"], "left").select(
         *group, *identity, *[F.col(f"latest.{c}").alias(c) for c in latest],

@@ -49,7 +49,7 @@ def component_columns() -> dict:
     out = {
         "gc": bounded(gc.isNotNull(), 100 - (gc - 2) * (100 / 18)),
         "spill": bounded(F.col("active_stages") > 0, 100 - F.col("active_spill") / SPILL_FULL_BYTES * 100),
-        "skew": bounded((reads >= 2) & (read_mean > 0), 100 - (read_sd / read_mean - 0.3) * (100 / 1.7)),
+        "skew": bounded((reads >= 2) & (read_mean > 0), 100 - (F.try_divide(read_sd, read_mean) - 0.3) * (100 / 1.7)),
         "utilization": F.when(F.col("slots") > 0, F.least(F.lit(100), whole(used * (100 / 80)))).otherwise(100),
         "shuffle": bounded(F.col("shuffle_ratio").isNotNull(), 100 - (F.col("shuffle_ratio") - 0.5) * (100 / 4.5)),
         "task_failures": bounded(finished > 0, 100 - failed / 5 * 100),

@@ -176,8 +176,8 @@ def activity_points(executors: DataFrame) -> DataFrame:
         F.sum("max_memory").alias("limit"),
     ).select(
         *KEY, "active_tasks", "executor_count",
-        F.when(F.col("run_ms") > 0, F.col("gc_ms") / F.col("run_ms") * 100.0).alias("gc_pct"),
-        F.when(F.col("limit") > 0, F.col("used") / F.col("limit") * 100.0).alias("memory_pct"),
+        F.when(F.col("run_ms") > 0, F.try_divide("gc_ms", "run_ms") * 100.0).alias("gc_pct"),
+        F.when(F.col("limit") > 0, F.try_divide("used", "limit") * 100.0).alias("memory_pct"),
     )
 
 

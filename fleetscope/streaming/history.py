@@ -71,7 +71,7 @@ class HistoryStream:
         """The history after a batch, in the shape of ``plans.history.accumulate``."""
         spine = self.spark.read.parquet(f"{self.root}/ticks").filter(F.col("batch") <= batch_id).select(*GROUP, "tick").distinct()
         after = next_tick(spine, GROUP).select(*GROUP, F.col("tick").alias("last_seen"), F.col("next_tick").alias("resolved_at"))
-        peak = F.element_at(F.array(*[F.lit(s) for s in T.SEVERITIES]), F.col("peak_rank") + 1)
+        peak = F.get(F.array(*[F.lit(s) for s in T.SEVERITIES]), F.col("peak_rank"))
         rows = self.spark.read.parquet(f"{self.root}/state/v{batch_id}").join(after, [*GROUP, "last_seen"], "left")
         return rows.select(
             *KEYS, *[F.col(f"latest.{c}").alias(c) for c in BODY], "first_seen", "last_seen", "resolved_at", "occurrence_count",
