@@ -12,11 +12,35 @@ from fleetscope import thresholds as T
 from fleetscope.operators.rollups import TASK_SUMMARY_METRICS
 
 
+BUFFERED_TASKS = 100_000  # a stage up to this size fits one aggregation buffer
+
+
 def task_quantiles(
-    tasks: DataFrame, keys: list[str], metrics: dict[str, str] = TASK_SUMMARY_METRICS, points: tuple[float, ...] = T.QUANTILES
+    tasks: DataFrame, keys: list[str], metrics: dict[str, str] = TASK_SUMMARY_METRICS, points: tuple[float, ...] = T.QUANTILES,
+    buffered: int = BUFFERED_TASKS,
 ) -> DataFrame:
     """Columns ``<metric>_q<percent>``, linear between the two neighbouring ranks.
 
+    Stages of up to ``buffered`` tasks use the built-in exact percentile in one aggregate;
+    larger ones are ranked band by band. Both give the same values.
+    """
+    sizes = tasks.groupBy(*keys).agg((F.count(F.lit(1)) > buffered).alias("is_large"))
+    large = sizes.filter("is_large")
+    marked = tasks.join(large, keys, "left")
+    return _by_buffer(marked.filter("is_large is null"), keys, metrics, points).unionByName(
+        banded_quantiles(marked.filter("is_large"), keys, metrics, points)
+    )
+
+
+def _by_buffer(tasks: DataFrame, keys: list[str], metrics: dict[str, str], points: tuple[float, ...]) -> DataFrame:
+    at = F.array(*[F.lit(p) for p in points])
+    found = tasks.groupBy(*keys).agg(*[F.percentile(f"metrics.{c}", at).alias(n) for n, c in metrics.items()])
+    return found.select(*keys, *[F.get(F.col(n), F.lit(i)).alias(f"{n}_q{int(p * 100)}") for n in metrics for i, p in enumerate(points)])
+
+
+def banded_quantiles(tasks: DataFrame, keys: list[str], metrics: dict[str, str], points: tuple[float, ...]) -> DataFrame:
+    """``task_quantiles`` for stages of any size.
+
     Metrics become rows, equal values are counted before the shuffle, and ranks come from
     running counts inside value bands, so a stage of any size spreads over many tasks.
     """

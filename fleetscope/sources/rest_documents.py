@@ -49,7 +49,9 @@ def _parse(raw: DataFrame, schema: str) -> DataFrame:
 
 def _respell(raw: DataFrame, other: str, wanted: str) -> DataFrame:
     """Two spellings of a field that differ only in case cannot both be in a schema, so one is renamed in the text."""
-    return raw.withColumn("value", F.regexp_replace("value", f'"{other}"\\s*:', f'"{wanted}":'))
+    value = F.col("value")
+    renamed = F.regexp_replace(value, f'"{other}"\\s*:', f'"{wanted}":')
+    return raw.withColumn("value", F.when(value.contains(f'"{other}"'), renamed).otherwise(value))
 
 
 def _out(parsed: DataFrame, names: list[str], **cols: Column | str) -> DataFrame:

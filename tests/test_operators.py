@@ -93,9 +93,10 @@ def test_quantiles(spark):
     random.seed(2)
     values = [random.choice([0, 0, 3, 50, 10**9]) + random.randrange(40) for _ in range(97)]
     df = frame(spark, [("s", (v,)) for v in values], "stage string, metrics struct<run:long>")
-    row = task_quantiles(df, ["stage"], {"run": "run"}).collect()[0]
     cuts = [min(values), *statistics.quantiles(values, n=4, method="inclusive"), max(values)]
-    assert [row[f"run_q{q}"] for q in (0, 25, 50, 75, 100)] == cuts
+    for buffered in (10, 1000):  # banded, then buffered
+        rows = task_quantiles(df, ["stage"], {"run": "run"}, buffered=buffered).collect()
+        assert [[row[f"run_q{q}"] for q in (0, 25, 50, 75, 100)] for row in rows] == [cuts]
 
 
 INSIGHT = (
