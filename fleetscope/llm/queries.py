@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fleetscope.llm.query_list import native
+from fleetscope.llm.query_list import dedup, native, texts
 
-QUERIES = {**native.QUERIES}
-ORACLES = {**native.ORACLES}
+QUERIES = {**dedup.QUERIES, **native.QUERIES, **texts.QUERIES}
+ORACLES = {**dedup.ORACLES, **native.ORACLES, **texts.ORACLES}
