@@ -41,8 +41,8 @@ def _normal(targets: DataFrame) -> DataFrame:
 def _misfit(cells: DataFrame, targets: Mapping[str, DataFrame]) -> float:
     worst = None
     for margin, wanted in targets.items():
-        sums = cells.groupBy(margin).agg(F.sum("weight").alias("s"))
-        one = sums.join(wanted.withColumnRenamed("value", margin), margin).select(F.abs(F.col("s") - F.col("share")).alias("off"))
+        sums = cells.groupBy(margin).agg(F.sum("weight").alias("_sum"))
+        one = sums.join(wanted.toDF(margin, "_share"), margin).select(F.abs(F.col("_sum") - F.col("_share")).alias("off"))
         worst = one if worst is None else worst.union(one)
     return worst.agg(F.coalesce(F.max("off"), F.lit(0.0))).first()[0]
 
@@ -58,8 +58,8 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUND
     for _ in range(rounds):
         step = fitted
         for margin, shared in wanted.items():
-            sums = step.groupBy(margin).agg(F.sum("weight").alias("_sum")).join(shared.withColumnRenamed("value", margin), margin, "left")
-            factor = sums.select(margin, F.coalesce(F.try_divide("share", "_sum"), F.lit(0.0)).alias("_factor"))
+            sums = step.groupBy(margin).agg(F.sum("weight").alias("_sum")).join(shared.toDF(margin, "_share"), margin, "left")
+            factor = sums.select(margin, F.coalesce(F.try_divide("_share", "_sum"), F.lit(0.0)).alias("_factor"))
             step = step.join(factor, margin).withColumn("weight", F.col("weight") * F.col("_factor")).drop("_factor")
         fitted = stored(step.select(*fitted.columns), "raked")
         if _misfit(fitted, wanted) <= tolerance:
