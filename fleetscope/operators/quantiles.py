@@ -12,44 +12,24 @@ from fleetscope import thresholds as T
 from fleetscope.operators.rollups import TASK_SUMMARY_METRICS
 
 
-BUFFERED_TASKS = 100_000  # a stage up to this size fits one aggregation buffer
+BELOW_ALL = -(1 << 30)  # band of values that are not positive
 
 
 def task_quantiles(
-    tasks: DataFrame, keys: list[str], metrics: dict[str, str] = TASK_SUMMARY_METRICS, points: tuple[float, ...] = T.QUANTILES,
-    buffered: int = BUFFERED_TASKS,
+    tasks: DataFrame, keys: list[str], metrics: dict[str, str] = TASK_SUMMARY_METRICS, points: tuple[float, ...] = T.QUANTILES
 ) -> DataFrame:
-    """Columns ``<metric>_q<percent>``, linear between the two neighbouring ranks.
-
-    Stages of up to ``buffered`` tasks use the built-in exact percentile in one aggregate;
-    larger ones are ranked band by band. Both give the same values.
-    """
-    sizes = tasks.groupBy(*keys).agg((F.count(F.lit(1)) > buffered).alias("is_large"))
-    large = sizes.filter("is_large")
-    marked = tasks.join(large, keys, "left")
-    return _by_buffer(marked.filter("is_large is null"), keys, metrics, points).unionByName(
-        banded_quantiles(marked.filter("is_large"), keys, metrics, points)
-    )
-
-
-def _by_buffer(tasks: DataFrame, keys: list[str], metrics: dict[str, str], points: tuple[float, ...]) -> DataFrame:
-    at = F.array(*[F.lit(p) for p in points])
-    found = tasks.groupBy(*keys).agg(*[F.percentile(f"metrics.{c}", at).alias(n) for n, c in metrics.items()])
-    return found.select(*keys, *[F.get(F.col(n), F.lit(i)).alias(f"{n}_q{int(p * 100)}") for n in metrics for i, p in enumerate(points)])
-
-
-def banded_quantiles(tasks: DataFrame, keys: list[str], metrics: dict[str, str], points: tuple[float, ...]) -> DataFrame:
-    """``task_quantiles`` for stages of any size.
+    """Columns ``<metric>_q<percent>``, linear between the two neighbouring ranks; nulls don't count.
 
     Metrics become rows, equal values are counted before the shuffle, and ranks come from
     running counts inside value bands, so a stage of any size spreads over many tasks.
+    A metric that is null in all tasks of a stage has null quantiles.
     """
     values = F.array(*[F.struct(F.lit(n).alias("m"), F.col(f"metrics.{c}").alias("v")) for n, c in metrics.items()])
     counted = (
         tasks.select(*keys, F.inline(values))
         .groupBy(*keys, "m", "v")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("band", F.when(F.col("v") > 0, F.floor(F.log2("v") * 1024).cast("int")).otherwise(-1))
+        .agg(F.count("v").alias("c"))
+        .withColumn("band", F.when(F.col("v") > 0, F.floor(F.log2("v") * 1024).cast("int")).otherwise(BELOW_ALL))
     )
     whole = W.partitionBy(*keys, "m")
     bands = (
@@ -63,7 +43,7 @@ def banded_quantiles(tasks: DataFrame, keys: list[str], metrics: dict[str, str],
     highs = [F.least(low + 1, F.col("n")) for low in lows]
     needed = reduce(lambda a, b: a | b, [(F.col("before") < r) & (F.col("before") + F.col("bc") >= r) for r in [*lows, *highs]])
     inside = W.partitionBy(*keys, "m", "band").orderBy("v")
-    ranked = counted.join(bands.filter(needed), [*keys, "m", "band"]).withColumn("upto", F.col("before") + F.sum("c").over(inside))
+    ranked = counted.join(bands.filter(needed | (F.col("n") == 0)), [*keys, "m", "band"]).withColumn("upto", F.col("before") + F.sum("c").over(inside))
 
     def at(rank):
         return F.min(F.when(F.col("upto") >= rank, F.col("v"))).cast("double")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetscope import thresholds as T
 from fleetscope.functions.numbers import memory_pct, ratio
 from fleetscope.operators import timeline
-from fleetscope.operators.skew import salted_join
+from fleetscope.operators.skew import skew_join
 from fleetscope.schemas import KEY
 
 TICK_BLOCK = 4096
@@ -34,7 +34,7 @@ def executor_points(executors: DataFrame) -> DataFrame:
     memory = memory_pct(F.col("peak_jvm_heap"), F.col("peak_jvm_off_heap"), F.col("memory_used"), F.col("max_memory"))
     gc = ratio(F.col("total_gc_time_ms"), F.col("total_duration_ms")) * 100.0
     points = executors.select(*KEY, "executor_id", memory.alias("memory_pct"), gc.alias("gc_pct"))
-    return salted_join(points, placed, KEY, "inner", spread=("executor_id",))
+    return skew_join(points, placed, KEY, "inner")
 
 
 def executor_history(executors: DataFrame, column: str, size: int = T.RING_SIZE, shown: int = T.SPARK_POINTS) -> DataFrame:
@@ -105,15 +105,22 @@ def slot_asof(spine: DataFrame, polls: DataFrame) -> DataFrame:
     return found.filter(F.col("is_mark") == 1).select(*SLOT, F.col("ts").alias("at"), "asof_snapshot")
 
 
-def staleness(polls: DataFrame, as_of: Column, intervals: Column) -> DataFrame:
-    """State of each slot at ``as_of``: last poll failed, never updated, or older than twice its interval."""
-    upto = polls.filter(F.col("poll_ts") <= as_of)
+def slot_facts(polls: DataFrame) -> DataFrame:
+    """Outcome of the last poll of each slot, time of the last good one, number of failed ones; on a stream too (one row per slot)."""
     order = F.struct("poll_ts", "snapshot_id")
-    facts = upto.groupBy(*SLOT).agg(
+    return polls.groupBy(*SLOT).agg(
         F.max_by("ok", order).alias("last_ok"),
         F.max(F.when(F.col("ok"), F.col("poll_ts"))).alias("last_updated"),
         F.count_if(~F.col("ok")).alias("errors"),
     )
+
+
+def staleness(polls: DataFrame, as_of: Column, intervals: Column) -> DataFrame:
+    """State of each slot at ``as_of``: last poll failed, never updated, or older than twice its interval."""
+    return staleness_of(slot_facts(polls.filter(F.col("poll_ts") <= as_of)), as_of, intervals)
+
+
+def staleness_of(facts: DataFrame, as_of: Column, intervals: Column) -> DataFrame:
     age = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("last_updated").cast("timestamp"))) / 1e6
     old = age > intervals * T.STALE_FACTOR
     return facts.select(

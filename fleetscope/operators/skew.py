@@ -6,40 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000  # a key below this many rows fits one task
-HOT_KEYS = 1_000  # size bound of the broadcast list of hot keys
-SALTS = 64
 
+def skew_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Equi-join of rows with a table of facts, open to a split of skewed keys at run time.
 
-def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys worth splitting: the ``HOT_KEYS`` largest of those above ``hot_rows``.
-
-    A key outside the list holds at most 1/1000 of all rows, so the list is bounded
-    without leaving a large key unsplit.
-    """
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-    return counts.orderBy(F.desc("_n"), *on).limit(HOT_KEYS).select(*on, F.lit(True).alias("_hot"))
-
-
-def salted_join(
-    big: DataFrame,
-    small: DataFrame,
-    on: list[str],
-    how: str = "left",
-    spread: tuple[str, ...] = ("pos",),
-    hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Equi-join in which rows of hot keys are dealt over ``salts`` tasks.
-
-    Only the hot keys of ``small`` are replicated. ``how`` is ``left`` or ``inner``.
+    A side that is already partitioned by the key (an aggregate, say) would be read without an exchange
+    of the join's own, and adaptive execution splits skewed partitions only where both sides have one.
+    The rebalanced facts have no partitioning, so both sides are exchanged for the join (or the facts broadcast if small).
     """
-    hot = F.broadcast(hot_keys(big, on, hot_rows))
-    dealt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(0).cast("int")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    left = big.join(hot, on, "left").withColumn("_salt", dealt).drop("_hot")
-    right = small.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    return big.join(small.hint("rebalance"), on, how)
 
 
 def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:

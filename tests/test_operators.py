@@ -17,14 +17,16 @@ def frame(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
 
-def test_salted_join_equals_join(spark):
+def test_skew_join_leaves_both_sides_to_be_split(spark):
     big = frame(spark, [("hot" if i % 3 else f"k{i % 7}", i) for i in range(900)], "k string, pos long")
-    small = frame(spark, [("hot", 1), ("k0", 2), ("k1", 3), ("hot", 4)], "k string, v long")
-    for how in ("left", "inner"):
-        got = skew.salted_join(big, small, ["k"], how, hot_rows=100, salts=5).select("k", "pos", "v")
-        want = big.join(small, "k", how).select("k", "pos", "v")
-        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
-    assert [r.k for r in skew.hot_keys(big, ["k"], 100).collect()] == ["hot"]
+    small = frame(spark, [("hot", 1), ("k0", 2), ("k1", 3), ("hot", 4)], "k string, v long").groupBy("k").agg(F.max("v").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    joined = skew.skew_join(big, small, ["k"])
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("ENSURE_REQUIREMENTS") >= 3  # the aggregate's own exchange, and one on each side of the join
+    want = big.join(small, "k", "left").select("k", "pos", "v")
+    assert sorted(map(str, joined.select("k", "pos", "v").collect())) == sorted(map(str, want.collect()))
 
 
 def test_exact_median(spark):
@@ -91,12 +93,13 @@ def test_throttle_equals_greedy(spark):
 
 def test_quantiles(spark):
     random.seed(2)
-    values = [random.choice([0, 0, 3, 50, 10**9]) + random.randrange(40) for _ in range(97)]
-    df = frame(spark, [("s", (v,)) for v in values], "stage string, metrics struct<run:long>")
+    values = [random.choice([0, 0, 3, -7, 50, 10**9]) + random.randrange(40) for _ in range(97)]
+    rows = [("s", (v,)) for v in values] + [("s", (None,))] * 9 + [("t", (None,))] * 3 + [("u", (v,)) for v in (1, 2, 3)] + [("u", (None,))] * 2
     cuts = [min(values), *statistics.quantiles(values, n=4, method="inclusive"), max(values)]
-    for buffered in (10, 1000):  # banded, then buffered
-        rows = task_quantiles(df, ["stage"], {"run": "run"}, buffered=buffered).collect()
-        assert [[row[f"run_q{q}"] for q in (0, 25, 50, 75, 100)] for row in rows] == [cuts]
+    df = frame(spark, rows, "stage string, metrics struct<run:long>")
+    found = task_quantiles(df, ["stage"], {"run": "run"})
+    got = {r.stage: [r[f"run_q{q}"] for q in (0, 25, 50, 75, 100)] for r in found.collect()}
+    assert got == {"s": cuts, "t": [None] * 5, "u": [1, 1.5, 2, 2.5, 3]}
 
 
 INSIGHT = (
