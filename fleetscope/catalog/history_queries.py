@@ -10,7 +10,7 @@ from fleetscope import thresholds as T
 from fleetscope.catalog.oracle_base import CTES, LIST_ORDER, dv
 from fleetscope.catalog.registry import query, r6
 from fleetscope.catalog.report_queries import clusters, executors, sqls
-from fleetscope.lineage import checkpoint_folder
+from fleetscope.lineage import keep, shared_folder
 from fleetscope.operators import series
 from fleetscope.operators.throttle import throttle
 from fleetscope.plans import history, reports, runs
@@ -48,7 +48,7 @@ def _executor_history(name: str, column: str, sql_column: str) -> None:
     )
     def run(v):
         text = F.array_join(F.expr("transform(history, x -> format_string('%.6f', x))"), ";")
-        return series.executor_history(executors(v), column).select(*KEY, "executor_id", text.alias("history"))
+        return series.executor_history(keep(executors(v)), column).select(*KEY, "executor_id", text.alias("history"))
 
 
 _executor_history("executor_mem_history", "memory_pct", "memory_pct")
@@ -96,7 +96,7 @@ def executor_count_history(v):
 
 @query("health_history", f"select * from (select cluster_id, tick, score, {_AGE} age from h_score) x where age<=2000")
 def health_history(v):
-    return series.newest_points(DiagnosticPlan(v.telemetry).health, "score")
+    return series.newest_points(plan(v).health, "score")
 
 
 @query("history_cap", f"select * from (select cluster_id, tick, executor_count, {_AGE} age from w_fleet) x where age<=5")
@@ -175,11 +175,14 @@ def throttled_polls(v):
 
 @query(
     "report_dedup",
-    "select cluster_id, tick, min(pos) first_pos from tv_jobs group by cluster_id, tick",
+    'select cluster_id, tick, min(pos) first_pos, count(*) "rows" from tv_jobs group by cluster_id, tick',
 )
 def report_dedup(v):
-    reports_seen = v.jobs.groupBy(*KEY).agg(F.min("pos").alias("first_pos"))
-    return reports_seen.dropDuplicates(KEY)
+    reports_seen = v.jobs.select(*KEY, "pos")
+    delivered_twice = reports_seen.union(reports_seen)
+    # the first row of a key wins: rows are thinned to one per key and position, then to the least position
+    once = delivered_twice.dropDuplicates([*KEY, "pos"])
+    return once.groupBy(*KEY).agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("rows"))
 
 
 @query(
@@ -201,8 +204,8 @@ def sql_io(v):
 
 
 def plan(v) -> DiagnosticPlan:
-    """Tables rolled up from tasks and the key facts are read by many branches, so they are stored once."""
-    return DiagnosticPlan(v.stored_telemetry, store=True)
+    """Tables rolled up from tasks and the key facts are read by many branches, so they are kept."""
+    return DiagnosticPlan(v.telemetry, store=True)
 
 
 CTES["a_rows"] = f"select *, cast(tick as bigint)*1000000+row_number() over (partition by cluster_id, tick order by {LIST_ORDER}) ord from i_all"
@@ -423,7 +426,7 @@ def conf_diff(v):
 
 def _stored(v) -> RunStore:
     """A fresh store in the shared folder with every run and the health of its reports."""
-    store = RunStore(v.spark, f"{checkpoint_folder(v.spark)}/runs-{uuid.uuid4().hex}")
+    store = RunStore(v.spark, f"{shared_folder(v.spark)}/runs-{uuid.uuid4().hex}")
     store.save("runs", started(v).withColumn("conf", F.to_json("conf")))
     points = reports.activity_points(executors(v)).select(*KEY, "executor_count", "active_tasks")
     store.save("run_points", runs.assign(points, v.view("runs")))

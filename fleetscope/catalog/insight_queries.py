@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetscope.catalog.oracle_base import DETECTORS
+from fleetscope.catalog.oracle_base import CTES, DETECTORS
 from fleetscope.catalog.registry import query, r6
+from fleetscope.plans.alignment import align
 from fleetscope.plans.insights import with_ids, with_rank
 from fleetscope.plans.report import COMPONENTS, DiagnosticPlan
 from fleetscope.schemas import KEY
@@ -33,7 +34,7 @@ for _detector in DETECTORS:
 
 @query("insight_union", f"select det detector, slot, {FINDING_SQL} from i_all")
 def insight_union(v):
-    return DiagnosticPlan(v.telemetry).insights.select("detector", "slot", *finding_columns())
+    return DiagnosticPlan(v.telemetry, store=True).insights.select("detector", "slot", *finding_columns())
 
 
 @query(
@@ -42,7 +43,7 @@ def insight_union(v):
     " row_number() over (partition by cluster_id, tick order by sev, det, rank_metric desc, phase, pos, slot) place from i_all",
 )
 def insight_rank(v):
-    return with_rank(DiagnosticPlan(v.telemetry).insights).select(*KEY, *FINDING, "place")
+    return with_rank(DiagnosticPlan(v.telemetry, store=True).insights).select(*KEY, *FINDING, "place")
 
 
 @query(
@@ -51,7 +52,7 @@ def insight_rank(v):
     " from (select *, row_number() over (partition by cluster_id, tick, category order by det, phase, pos, slot) n from i_all) x",
 )
 def insight_sequence(v):
-    return with_ids(DiagnosticPlan(v.telemetry).insights).select(*KEY, "category", "affected_entity", "title", "insight_id")
+    return with_ids(DiagnosticPlan(v.telemetry, store=True).insights).select(*KEY, "category", "affected_entity", "title", "insight_id")
 
 
 _COMPONENTS_SQL = ", ".join(
@@ -62,17 +63,17 @@ _COMPONENTS_SQL = ", ".join(
 
 @query("health_components", f"select cluster_id, tick, {_COMPONENTS_SQL} from h_comp")
 def health_components(v):
-    return DiagnosticPlan(v.telemetry).health_components.select(*KEY, *COMPONENTS)
+    return DiagnosticPlan(v.telemetry, store=True).health_components.select(*KEY, *COMPONENTS)
 
 
 @query("health_score", f"select cluster_id, tick, score, label, color, {_COMPONENTS_SQL} from h_label")
 def health_score(v):
-    return DiagnosticPlan(v.telemetry).health
+    return DiagnosticPlan(v.telemetry, store=True).health
 
 
 @query("recommendations", "select cluster_id, tick, place, category, title, description, advice, priority, issues from h_rec")
 def all_recommendations(v):
-    p = DiagnosticPlan(v.telemetry)
+    p = DiagnosticPlan(v.telemetry, store=True)
     from fleetscope.plans.insights import recommendations
 
     return recommendations(p.categories, limit=len(DETECTORS))
@@ -83,17 +84,19 @@ def all_recommendations(v):
     "select cluster_id, tick, place, category, title, description, advice, priority, issues from h_rec where place<=5",
 )
 def top_recommendations(v):
-    return DiagnosticPlan(v.telemetry).recommendations
+    return DiagnosticPlan(v.telemetry, store=True).recommendations
 
 
-@query(
-    "diagnostic_report",
+_REPORT_SQL = (
     f"select h.cluster_id, h.tick, score, label, color, {_COMPONENTS_SQL}, active_n executor_count, active_stage_count, active_job_count,"
     " insights, critical, warning, info, r.title top_title, r.priority top_priority"
-    " from h_label h left join h_rec r on h.cluster_id=r.cluster_id and h.tick=r.tick and r.place=1",
+    " from h_label h left join h_rec r on h.cluster_id=r.cluster_id and h.tick=r.tick and r.place=1"
 )
+
+
+@query("diagnostic_report", _REPORT_SQL)
 def diagnostic_report(v):
-    return DiagnosticPlan(v.telemetry).report
+    return DiagnosticPlan(v.telemetry, store=True).report
 
 
 @query(
@@ -112,3 +115,25 @@ def active_entities(v):
     return executors.join(stages, KEY, "left").join(jobs, KEY, "left").na.fill(0, ["active_stage_count", "active_job_count"])
 
 
+# SQL is polled at the first and third quarter only, and the third fails in odd years: reports keep the last good poll
+_ALIGNED = {
+    "tv_sqls_all": CTES["tv_sqls"],
+    "k_good": "select distinct cluster_id, tick from tv_execs where tick%10=1 or tick%10=3 and (tick//10)%2=0",
+    "k_source": "select s.cluster_id, s.tick, max(g.tick) source from k_spine s join k_good g on s.cluster_id=g.cluster_id and g.tick<=s.tick group by s.cluster_id, s.tick",
+    "tv_sqls": "select a.* replace (k.tick as tick) from tv_sqls_all a join k_source k on a.cluster_id=k.cluster_id and a.tick=k.source",
+}
+
+
+def sql_polls(v):
+    ticks = v.executors.select(*KEY).distinct().filter("tick % 10 in (1, 3)")
+    return ticks.withColumn("ok", F.expr("tick % 10 = 1 or floor(tick / 10) % 2 = 0"))
+
+
+@query("aligned_report", _REPORT_SQL, _ALIGNED)
+def aligned_report(v):
+    return DiagnosticPlan(align(v.telemetry, {"sql_queries": sql_polls(v)}), store=True).report
+
+
+@query("aligned_sql_anomalies", f"select {FINDING_SQL} from d_sql_anomalies", _ALIGNED)
+def aligned_sql_anomalies(v):
+    return DiagnosticPlan(align(v.telemetry, {"sql_queries": sql_polls(v)})).detect("sql_anomalies").select(*finding_columns())

@@ -14,13 +14,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, oracle: str | None = None):
-    """Register ``fn(views)`` as ``name``; ``oracle`` is a statement over the CTEs of ``oracle_base``."""
+def query(name: str, oracle: str | None = None, instead: dict[str, str] | None = None):
+    """Register ``fn(views)`` as ``name``; ``oracle`` is a statement over the CTEs of ``oracle_base``, some of them replaced."""
 
     def add(fn: Callable[[SampleViews], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: fn(SampleViews(spark, sf_dir))
         if oracle is not None:
-            ORACLES[name] = compose(oracle)
+            ORACLES[name] = compose(oracle, instead)
         return fn
 
     return add

@@ -564,7 +564,7 @@ def score_label(v):
 def severity_rank(v):
     from fleetscope.plans.report import DiagnosticPlan
 
-    found = DiagnosticPlan(v.telemetry).insights
+    found = DiagnosticPlan(v.telemetry, store=True).insights
     return found.select(*KEY, "category", "affected_entity", "title", classify.severity_rank(F.col("severity")).alias("severity_rank"))
 
 

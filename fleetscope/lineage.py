@@ -1,29 +1,21 @@
-"""Cutting lineage: a result that several branches of a job read is stored once."""
+"""Results that several branches of a plan read: computed once and kept with the session."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import DataFrame
 
+def keep(df: DataFrame) -> DataFrame:
+    """``df``, kept in memory or on the executors' disks from its first use.
 
-def checkpoint_folder(spark) -> str:
-    """The session's checkpoint folder; a folder of our own only where none is configured."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="fleetscope-checkpoint-"))
-    return context.getCheckpointDir()
-
+    Nothing runs and nothing is written to a folder here. Parts lost with an executor are computed
+    again from the lineage. ``df.unpersist()`` gives the space back.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder and read back.
 
-    Later branches read the columns they need from the stored table instead of computing
-    it again, and survive the loss of executors. The folder's owner removes it after the job.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/fleetscope-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the session's checkpoint folder, else its warehouse."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (configured or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from fleetscope import thresholds as T
-from fleetscope.operators.rules import Finding, Rule, always, bound, div, grade, num
+from fleetscope.operators.rules import Finding, Rule, always, bound, div, grade, num, steady
 
 # Columns computed once per row for the rules below
 EXECUTOR_LETS = {
@@ -11,17 +11,18 @@ EXECUTOR_LETS = {
     "used_pct": div("memory_used", "max_memory") + " * 100D",
     "heap_pct": div("peak_jvm_heap", "max_memory") + " * 100D",
 }
+# Ratios of merged means and deviations differ in the last bits with the order of merging, so they are rounded before a bound
 KEY_LETS = {
     "finished": "completed_tasks + failed_tasks",
     "fail_rate": div("failed_tasks", "(completed_tasks + failed_tasks)"),
     "hot_share": div("failed_most.failed_tasks", "failed_tasks") + " * 100D",
-    "read_factor": div("read_max", "read_median"),
-    "task_cov": div("worker_tasks_sd", "worker_tasks_mean"),
+    "read_factor": steady(div("read_max", "read_median")),
+    "task_cov": steady(div("worker_tasks_sd", "worker_tasks_mean")),
     "slot_pct": div("active_tasks", "slots") + " * 100D",
     "per_core": div("first_worker.max_memory", "first_worker.total_cores"),
-    "driver_gc": div("driver.total_gc_time_ms", "driver.total_duration_ms"),
+    "driver_gc": steady(div("driver.total_gc_time_ms", "driver.total_duration_ms")),
     "driver_pct": div("driver.memory_used", "driver.max_memory") + " * 100D",
-    "count_cov": div("count_sd", "count_mean"),
+    "count_cov": steady(div("count_sd", "count_mean")),
 }
 
 REMOVAL_CLASSES = ("OOM", "CONTAINER_KILLED", "TIMEOUT", "SHUFFLE_FETCH")

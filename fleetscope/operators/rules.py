@@ -68,6 +68,11 @@ def div(a: str, b: str) -> str:
     return f"(case when {b} > 0 then try_divide(cast({a} as double), cast({b} as double)) else 0D end)"
 
 
+def steady(a: str) -> str:
+    """``a`` without the noise of the last bits, so that a tie with a bound is one however rows were merged."""
+    return f"round({a}, 9)"
+
+
 def rung(value: str, low: float, high: float, at_low: str, at_high: str) -> str:
     return f"case when {value} >= {num(high)} then {at_high} when {value} >= {num(low)} then {at_low} end"
 

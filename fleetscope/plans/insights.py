@@ -10,13 +10,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetscope import thresholds as T
-from fleetscope.lineage import cut
+from fleetscope.lineage import keep
 from fleetscope.operators import rollups
 from fleetscope.functions.parsing import parse_byte_string, text_to_double, text_to_long
 from fleetscope.operators import executor_rules, stage_rules, workload_rules
 from fleetscope.operators.executor_rules import EXECUTOR_RULES
 from fleetscope.operators.rules import Rule, candidates, dress
-from fleetscope.operators.skew import dense_number, salted_join
+from fleetscope.operators.skew import dense_number, skew_join
 from fleetscope.operators.stage_rules import STAGE_RULES
 from fleetscope.operators.timeline import numbered, sliding
 from fleetscope.operators.workload_rules import WORKLOAD_RULES
@@ -27,6 +27,7 @@ SCHEMAS = {
     "executors": EXECUTORS, "stages": STAGES, "jobs": JOBS, "sql_queries": SQL_QUERIES, "rdds": RDDS, "clusters": CLUSTERS,
 }
 SCOPES = ("executor", "stage", "sql", "rdd", "key")
+ROLLED_UP = ("executors", "stages")  # tables that cost a pass over all tasks
 TICK_BLOCK = 4096
 POS_BLOCK = 1 << 16
 
@@ -74,20 +75,33 @@ class InsightPlan:
     """Scopes of a telemetry set and the rules evaluated on them.
 
     A report exists for every key with executor rows; findings of other keys are dropped
-    by ``insights`` but kept by ``detect``. With ``store`` the key facts are written to the
-    checkpoint folder once: five branches of the plan read them. ``history`` is given when
-    only some ticks are analysed.
+    by ``insights`` but kept by ``detect``. With ``store`` the executor and stage tables and the
+    key facts are kept from their first use, since five branches of the plan read them; ``release``
+    gives the space back. ``history`` is given when only some ticks are analysed.
     """
 
     def __init__(
         self, telemetry: Telemetry, rules: list[Rule] | None = None, store: bool = False, history: DataFrame | None = None
     ):
-        self.tables = telemetry.map_tables(lambda name, df: conform(df, SCHEMAS[name]))
         self.rules = ALL_RULES if rules is None else rules
         self.store = store
+        self.held: list[DataFrame] = []
+        hold = lambda name, df: self._kept(df) if name in ROLLED_UP else df
+        self.tables = telemetry.map_tables(lambda name, df: hold(name, conform(df, SCHEMAS[name])))
         # executor rows the count history looks back on, where ``telemetry`` holds only some ticks
         self.history = self.tables.executors if history is None else conform(history, EXECUTORS)
 
+    def _kept(self, df: DataFrame) -> DataFrame:
+        if not self.store:
+            return df
+        self.held.append(keep(df))
+        return self.held[-1]
+
+    def release(self) -> None:
+        """Give back what the plan kept."""
+        for df in self.held:
+            df.unpersist()
+
     # -- facts per key
 
     @cached_property
@@ -110,7 +124,7 @@ class InsightPlan:
     @cached_property
     def key_scope(self) -> DataFrame:
         """One row per key: facts of every table and the configuration in force."""
-        return cut(self._key_scope()) if self.store else self._key_scope()
+        return self._kept(self._key_scope())
 
     def _key_scope(self, words: set[str] | None = None) -> DataFrame:
         """Key facts joined together; with ``words`` only the tables some wanted expression names a column of."""
@@ -170,11 +184,11 @@ class InsightPlan:
             rows = t.stages
             if words is None or "cores" in words:
                 facts = self.key_scope if self.store else self.executor_facts
-                rows = salted_join(rows, facts.select(*KEY, "cores"), KEY, spread=("stage_id", "attempt_id"))
+                rows = skew_join(rows, facts.select(*KEY, "cores"), KEY)
             return with_lets(rows, stage_rules.STAGE_LETS)
         if name == "sql" and t.sql_queries is not None:
             median = rollups.sql_median(t.sql_queries).drop("query_median_ms_n")
-            return with_lets(salted_join(t.sql_queries, median, KEY, spread=("execution_id",)), workload_rules.SQL_LETS)
+            return with_lets(skew_join(t.sql_queries, median, KEY), workload_rules.SQL_LETS)
         if name == "rdd" and t.rdds is not None:
             return with_lets(t.rdds, workload_rules.RDD_LETS)
         return None
@@ -190,7 +204,7 @@ class InsightPlan:
             return candidates(rows, self.rules, picked, KEY)
         # datasets known per cluster are part of every report of that cluster; texts are made before the copies
         found = dress(candidates(rows, self.rules, picked, ["cluster_id"]), self.rules, ["cluster_id"])
-        return salted_join(found, self.spine, ["cluster_id"], "inner", spread=("pos",))
+        return skew_join(found, self.spine, ["cluster_id"], "inner")
 
     def _found(self, wanted) -> DataFrame:
         """Union of one pass per scope that has a wanted rule."""

@@ -12,7 +12,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.lineage import cut
 from fleetscope.schemas import Telemetry
 
 BASE_TABLES = ("region", "part", "orders", "lineitem", "events")
@@ -222,17 +221,9 @@ class SampleViews:
 
     @cached_property
     def telemetry(self) -> Telemetry:
-        return self._telemetry(lambda df: df)
-
-    @cached_property
-    def stored_telemetry(self) -> Telemetry:
-        """The same tables with those rolled up from tasks stored, so the task table is read once per roll-up."""
-        return self._telemetry(cut)
-
-    def _telemetry(self, keep) -> Telemetry:
         return Telemetry(
-            executors=keep(self.executors),
-            stages=keep(self.stages),
+            executors=self.executors,
+            stages=self.stages,
             jobs=self.jobs,
             sql_queries=self.sql_queries,
             rdds=self.rdds,
