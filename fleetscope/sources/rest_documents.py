@@ -17,16 +17,14 @@ from fleetscope.functions.parsing import coerce_enum, parse_spark_ts
 from fleetscope.operators.skew import dense_number
 from fleetscope.operators.tables import newest
 from fleetscope.schemas import STAGES
+from fleetscope.sources.json_lines import read_json_lines
 
 LEAD = ("cluster_id", "tick", "poll_ts", "pos", "workspace_id", "stage_id", "attempt_id")
 
 
 def read_documents(spark: SparkSession, path: str, body: str = "payload") -> tuple[DataFrame, DataFrame]:
     """Landed JSON lines ``{cluster_id, tick, slot, <body>}``: readable documents (``body`` kept as text), and the others."""
-    schema = f"cluster_id string, tick int, slot string, {body} string, _corrupt_record string"
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
-    bad = spark.read.text(path).filter(F.expr("try_parse_json(value) is null"))
-    return rows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record"), bad
+    return read_json_lines(spark, path, f"cluster_id string, tick int, slot string, {body} string")
 
 
 def explode_list(documents: DataFrame, body: str = "payload") -> DataFrame:

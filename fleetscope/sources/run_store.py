@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from fleetscope.sources.json_lines import read_json_lines
 
 RUN = ["cluster_id", "run_id"]
+TOMBSTONES = "tombstones"
+MAGIC = b"PAR1"  # first and last bytes of a whole Parquet file
 
 
 class RunStore:
     """``root/v<N>/<table>`` holds the rows, ``root/v<N>/tombstones`` the deleted runs.
 
     Writers append; ``compact`` writes the rows that are left into the next version, so a
-    failed job never leaves a half-deleted store.
+    failed job never leaves a half-deleted store. Ids are text whatever they look like.
+    A file that can't be read fails the scan; ``unreadable`` names such files.
     """
 
     def __init__(self, spark: SparkSession, root: str, version: int = 0):
@@ -23,16 +29,31 @@ class RunStore:
         return f"{self.root}/v{self.version}/{table}"
 
     def _read(self, table: str) -> DataFrame | None:
+        """The table, or ``None`` if nothing was saved. Ids are partition folders, whose types Spark would guess."""
         try:
-            return self.spark.read.option("ignoreCorruptFiles", "true").parquet(self._path(table))
+            found = self.spark.read.parquet(self._path(table))
         except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
                 return None
             raise
-
-    def save(self, table: str, rows: DataFrame) -> None:
-        """Append the rows of finished runs; rows of one run are brought together before writing."""
-        rows.repartition(*RUN).write.mode("append").partitionBy(*RUN).parquet(self._path(table))
+        if table == TOMBSTONES:
+            return found
+        fields = [f for f in found.schema.fields if f.name not in RUN]
+        return self.spark.read.schema(StructType([*fields, *[StructField(c, StringType()) for c in RUN]])).parquet(self._path(table))
+
+    def save(self, table: str, rows: DataFrame, files: int = 1) -> None:
+        """Append the rows of finished runs. A run's rows are dealt over ``files`` tasks, by their content."""
+        rows = rows.select(*[F.col(c).cast("string").alias(c) if c in RUN else c for c in rows.columns])
+        spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in RUN and not c.startswith("_")]), F.lit(files))
+        dealt = rows.withColumn("_deal", spread).repartition(*RUN, "_deal").drop("_deal")
+        dealt.write.mode("append").partitionBy(*RUN).parquet(self._path(table))
+
+    def unreadable(self, table: str) -> DataFrame:
+        """``path`` of the files of a table whose rows a scan can't read."""
+        listed = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+        whole = F.col("length") >= 8
+        ends = (F.substring("content", 1, 4) == F.lit(MAGIC)) & (F.expr("substring(content, -4, 4)") == F.lit(MAGIC))
+        return listed.load(self._path(table)).filter(~(whole & ends)).select("path")
 
     def scan(self, table: str, cluster_id: str | None = None) -> DataFrame:
         """Rows of all runs, or of one cluster (partition-pruned), without deleted runs."""
@@ -41,7 +62,7 @@ class RunStore:
             raise ValueError(f"no table {table} in {self._path('')}")
         if cluster_id is not None:
             rows = rows.filter(F.col("cluster_id") == cluster_id)
-        dead = self._read("tombstones")
+        dead = self._read(TOMBSTONES)
         return rows if dead is None else rows.join(dead.select(*RUN).distinct(), RUN, "left_anti")
 
     def runs(self, cluster_id: str | None = None) -> DataFrame:
@@ -57,7 +78,7 @@ class RunStore:
         found = self.lookup("runs", cluster_id, run_id).select(*RUN)
         existed = not found.isEmpty()
         if existed:
-            found.write.mode("append").parquet(self._path("tombstones"))
+            found.write.mode("append").parquet(self._path(TOMBSTONES))
         return existed
 
     def compact(self, tables: list[str]) -> RunStore:
@@ -70,7 +91,4 @@ class RunStore:
 
 def read_run_documents(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Runs saved as JSON lines: the readable ones, and the text of the unreadable ones."""
-    rows = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
-    good = rows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    bad = spark.read.text(path).filter(F.from_json("value", schema, {"mode": "PERMISSIVE"}).isNull() | F.expr("try_parse_json(value) is null"))
-    return good, bad
+    return read_json_lines(spark, path, schema)

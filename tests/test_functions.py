@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from fleetscope.functions import classify, parsing, text
 from fleetscope.operators import tables
 from fleetscope.sources import event_log, rest_documents as rest
-from fleetscope.sources.run_store import read_run_documents
+from fleetscope.sources.run_store import RunStore, read_run_documents
 
 
 def values(spark, rows, kind, *columns):
@@ -112,3 +114,37 @@ def test_unreadable_runs_are_split_off(spark):
         f.write('{"run_id": "a", "score": 5}\n{"run_id": \n')
     good, bad = read_run_documents(spark, folder, "run_id string, score int")
     assert [r.run_id for r in good.collect()] == ["a"] and bad.count() == 1
+
+
+def test_every_line_is_good_or_bad(spark):
+    folder = tempfile.mkdtemp(prefix="fs-lines-")
+    lines = ['{"run_id":"r1","score":1}', '{"run_id":"r2","score":"abc"}', "{broken", '{"run_id":"r3"}', "[1]", "", '"text"', '{"run_id":4,"score":2}']
+    with open(f"{folder}/runs.json", "w") as f:
+        f.write("\n".join(lines))
+    good, bad = read_run_documents(spark, folder, "run_id string, score int")
+    assert sorted(r.run_id for r in good.collect()) == ["4", "r1", "r3"]
+    assert sorted(r.value for r in bad.collect()) == sorted(['{"run_id":"r2","score":"abc"}', "{broken", "[1]", '"text"'])
+    with open(f"{folder}/runs.json", "w") as f:
+        f.write('{"tick":"x","slot":"jobs","cluster_id":"c","payload":[]}\n{"tick":1,"slot":"jobs","cluster_id":"c","payload":[]}')
+    good, bad = rest.read_documents(spark, folder)
+    assert [r.payload for r in good.collect()] == ["[]"] and bad.count() == 1
+
+
+def test_run_store_keeps_ids_and_names_broken_files(spark):
+    root = tempfile.mkdtemp(prefix="fs-store-")
+    store = RunStore(spark, root)
+    ids = [("007", "0123"), ("7", "123"), ("1", "4e2"), ("2020-01-01", "true")]
+    rows = spark.createDataFrame([(c, r, n) for c, r in ids for n in range(50)], "cluster_id string, run_id string, n int")
+    store.save("runs", rows, files=3)
+    store.save("runs", rows.limit(0))
+    assert sorted({(r.cluster_id, r.run_id) for r in store.scan("runs").collect()}) == sorted(ids) and store.scan("runs").count() == 200
+    assert store.lookup("runs", "007", "0123").count() == 50 and store.lookup("runs", "7", "0123").count() == 0
+    assert store.delete("1", "4e2") and not store.delete("1", "4e2") and not store.delete("1", "400")
+    after = store.compact(["runs"])
+    assert sorted({(r.cluster_id, r.run_id) for r in after.scan("runs").collect()}) == sorted(ids[:2] + ids[3:])
+    assert after.unreadable("runs").count() == 0
+    with open(f"{root}/v1/runs/cluster_id=007/run_id=0123/broken.parquet", "wb") as f:
+        f.write(b"PAR1 cut off")
+    assert [r.path.rsplit("/", 1)[1] for r in after.unreadable("runs").collect()] == ["broken.parquet"]
+    with pytest.raises(Exception, match="broken.parquet|FAILED_READ_FILE|CANNOT_READ"):
+        after.scan("runs").collect()
