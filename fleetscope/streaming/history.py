@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from fleetscope import thresholds as T
 from fleetscope.plans.history import LATEST, TITLE_KEY, next_tick
@@ -42,9 +43,11 @@ def merge_states(states: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class HistoryStream:
-    """``root/state/v<batch>`` holds the merged state after a batch, ``root/ticks/batch=<id>`` the report ticks it brought.
+    """``root/state/even`` and ``odd`` hold the merged state after the last two batches, ``root/ticks/batch=<id>`` the report
+    ticks a batch brought.
 
-    Both are overwritten when a batch is replayed, so each batch counts once.
+    A batch reads the state of the one before and overwrites the older of the two, so a replayed batch counts once and no
+    older state piles up. A batch whose forerunner left no state, or another one's, is refused.
     """
 
     spark: SparkSession
@@ -62,17 +65,32 @@ class HistoryStream:
         """``rows``: insights, plus one heartbeat row per report tick (``category`` null) so that empty reports count."""
         ticks = rows.select(*GROUP, "tick").distinct()
         ticks.write.mode("overwrite").parquet(f"{self.root}/ticks/batch={batch_id}")
-        fresh = partial_state(rows.filter(F.col("category").isNotNull()))
-        before = self._read(f"{self.root}/state/v{batch_id - 1}") if batch_id > 0 else None
-        merged = fresh if before is None else merge_states(before.unionByName(fresh))
-        merged.write.mode("overwrite").parquet(f"{self.root}/state/v{batch_id}")
+        merged = partial_state(rows.filter(F.col("category").isNotNull()))
+        if batch_id > 0:
+            merged = merge_states(self.state(batch_id - 1).unionByName(merged))
+        merged.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(self._state_path(batch_id))
+
+    def _state_path(self, batch_id: int) -> str:
+        return f"{self.root}/state/{'odd' if batch_id % 2 else 'even'}"
+
+    def state(self, batch_id: int) -> DataFrame:
+        """State after a batch: one of the last two."""
+        found = self._read(self._state_path(batch_id)) if self._read(f"{self.root}/ticks/batch={batch_id}") is not None else None
+        if found is None or not found.filter(F.col("batch") != batch_id).isEmpty():
+            raise ValueError(f"{self.root} holds no state after batch {batch_id}; its insights would be lost")
+        return found.drop("batch")
+
+    def start(self, insights: DataFrame, report_ticks: DataFrame, checkpoint: str) -> StreamingQuery:
+        """Merge a stream of insights and a stream of report ticks (``cluster_id, tick``), which may come without findings."""
+        rows = insights.unionByName(report_ticks.select(*GROUP, "tick"), allowMissingColumns=True)
+        return rows.writeStream.foreachBatch(self.merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
     def accumulated(self, batch_id: int) -> DataFrame:
         """The history after a batch, in the shape of ``plans.history.accumulate``."""
         spine = self.spark.read.parquet(f"{self.root}/ticks").filter(F.col("batch") <= batch_id).select(*GROUP, "tick").distinct()
         after = next_tick(spine, GROUP).select(*GROUP, F.col("tick").alias("last_seen"), F.col("next_tick").alias("resolved_at"))
         peak = F.get(F.array(*[F.lit(s) for s in T.SEVERITIES]), F.col("peak_rank"))
-        rows = self.spark.read.parquet(f"{self.root}/state/v{batch_id}").join(after, [*GROUP, "last_seen"], "left")
+        rows = self.state(batch_id).join(after, [*GROUP, "last_seen"], "left")
         return rows.select(
             *KEYS, *[F.col(f"latest.{c}").alias(c) for c in BODY], "first_seen", "last_seen", "resolved_at", "occurrence_count",
             peak.alias("peak_severity"), "peak_rank", "peak_metric_value",

@@ -7,9 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fleetscope import thresholds as T
+from fleetscope.operators.series import slot_facts
 
 SLOT = ["cluster_id", "slot"]
 WATERMARK = "2 minutes"
@@ -66,14 +68,10 @@ def once_per_report(reports: DataFrame, watermark: str = WATERMARK) -> DataFrame
     return reports.withWatermark("poll_ts", watermark).dropDuplicatesWithinWatermark(["cluster_id", "poll_ts"])
 
 
-def stale_slots(polls: DataFrame, window: str, watermark: str = WATERMARK) -> DataFrame:
-    """Per slot and window: good and failed polls, and the newest good one."""
-    return (
-        polls.withWatermark("poll_ts", watermark)
-        .groupBy(F.window("poll_ts", window), *SLOT)
-        .agg(
-            F.count_if(F.col("ok")).alias("good"),
-            F.count_if(~F.col("ok")).alias("failed"),
-            F.max(F.when(F.col("ok"), F.col("poll_ts"))).alias("last_updated"),
-        )
-    )
+def slot_facts_stream(polls: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
+    """Facts of each slot, kept up to date in the table ``name``; ``series.staleness_of`` tells from them what is stale at any time.
+
+    The state is one row per slot and merges polls in any order, so it needs no watermark and drops no late poll.
+    """
+    query = slot_facts(polls).writeStream.format("memory").queryName(name).outputMode("complete")
+    return query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from fleetscope.catalog.all_queries import QUERIES
+from fleetscope.operators import series
 from fleetscope.operators.throttle import throttle
 from fleetscope.plans.history import accumulate
 from fleetscope.plans.report import DiagnosticPlan
@@ -79,6 +82,36 @@ def test_history_merges_in_any_order(spark):
     found.unpersist(), spine.unpersist()
 
 
+def test_history_attached_to_a_stream(spark):
+    p = DiagnosticPlan(SampleViews(spark, SF).telemetry, rules=[r for r in DiagnosticPlan(SampleViews(spark, SF).telemetry).rules if r.ordinal in (1, 9)])
+    found, spine = p.insights.cache(), p.spine.cache()
+    folders = [tempfile.mkdtemp(prefix="fs-at-") for _ in range(4)]
+    late = F.col("tick") % 3 == 1
+    stream = HistoryStream(spark, folders[2])
+    for n, part in enumerate((~late, late)):
+        found.filter(part).coalesce(1).write.mode("append").parquet(folders[0])
+        spine.filter(part).coalesce(1).write.mode("append").parquet(folders[1])
+        read = [spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f) for df, f in ((found, folders[0]), (spine, folders[1]))]
+        stream.start(*read, folders[3]).awaitTermination()
+    last = max(r.batch for r in spark.read.parquet(f"{folders[2]}/ticks").select("batch").distinct().collect())
+    want = accumulate(found, spine, ["cluster_id"])
+    assert last >= 1 and rows(stream.accumulated(last).select(*want.columns)) == rows(want)
+    for start in (last + 2, last + 3):
+        with pytest.raises(ValueError, match="holds no state"):
+            stream.merge(found, start)
+    found.unpersist(), spine.unpersist()
+
+
+def test_staleness_of_a_stream_in_any_order(spark):
+    polls = SampleViews(spark, SF).view("polls")
+    folder, checkpoint = tempfile.mkdtemp(prefix="fs-stale-"), tempfile.mkdtemp(prefix="fs-ck-")
+    polls.repartition(5, F.xxhash64("snapshot_id")).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(polls.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    state.slot_facts_stream(stream, "slot_facts", checkpoint).awaitTermination()
+    at, interval = F.lit("2024-03-25 00:00:00").cast("timestamp_ntz"), F.lit(7200)
+    assert rows(series.staleness_of(spark.table("slot_facts"), at, interval)) == rows(series.staleness(polls, at, interval))
+
+
 def test_keyed_state_equals_batch(spark):
     v = SampleViews(spark, SF)
     polls = v.view("polls").filter("ok").withColumn("at_s", F.expr("cast(unix_seconds(cast(poll_ts as timestamp)) as bigint)"))
