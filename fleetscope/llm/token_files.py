@@ -21,6 +21,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 from pathlib import Path
 
 import numpy as np
@@ -34,71 +35,101 @@ from pyspark.sql import functions as F
 from fleetscope.llm.common import batch_bytes, partitions, stored
 
 NO_ID = -(1 << 63)  # stands for a null doc_id in a file
-CACHED_WORDS = 600_000
+KEPT_WORDS, KEPT_PARTS = 300_000, 500_000  # that a worker remembers
 MANIFEST = "part int, path string, bits int, n_docs long, n_ids long"
 
-#: Letters whose lower case is one letter, then ASCII punctuation without the apostrophe: the vocabulary's word rule always
-#: cuts between the two, so both are encoded apart and kept.
-WORD_THEN_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+#: Letters whose lower case is one letter, then ASCII punctuation without the apostrophe: the vocabulary's word rule cuts
+#: between the two and nowhere else, so each part is one word of the vocabulary's and is encoded and kept by itself.
+WORD_THEN_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+AT_ONCE = 500  # parts encoded by one call
 
 
 class WordEncoder:
-    """Ids of whole texts, from ids of their white-space separated words, which are encoded once and remembered.
+    """Ids of whole texts, from ids of the parts of their white-space separated words, which are encoded once and remembered.
 
-    Right for tokenizers that never join characters across white space and drop it, as those with word ends do.
+    Right for tokenizers that never join characters across white space, drop it, and mark the last id of a word.
     """
 
     def __init__(self, tokenizer_json: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        model = json.loads(tokenizer_json)["model"]
+        self.last = np.zeros(max(model["vocab"].values()) + 1, bool)  # ids that end a word
+        self.last[[i for token, i in model["vocab"].items() if token.endswith(model["end_of_word_suffix"])]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.parts: dict[str, int] = {"": 0}
         self.ids = np.zeros(1 << 16, np.uint32)
-        self.bounds = np.zeros(1 << 16, np.int64)
+        self.bounds = np.zeros(1 << 16, np.int64)  # of the ids of each part; the first part is empty
+        self._forget_words()
 
-    def _learn(self, words: set[bytes]) -> None:
-        split, new = {}, set()
-        for w in words:
-            text = w.decode()
-            parts = WORD_THEN_MARKS.fullmatch(text)
-            split[w] = (parts[1].lower(), parts[2]) if parts else (text,)
-            new.update(p for p in split[w] if p not in self.pieces)
-        listed = list(new)
-        self.pieces.update(zip(listed, (e.ids for e in self.tokenizer.encode_batch_fast(listed, add_special_tokens=False)), strict=True))
-        flat, counts = [], []
-        for w, parts in split.items():
-            before = len(flat)
-            for p in parts:
-                flat += self.pieces[p]
-            counts.append(len(flat) - before)
-            self.words[w] = len(self.words)
-        n, used = len(self.words), int(self.bounds[len(self.words) - len(split)])
-        while len(self.bounds) <= n:
+    def _forget_words(self) -> None:
+        self.words: dict[bytes, int] = {}
+        self.two = np.zeros((1 << 16, 2), np.int32)  # the parts of each word
+
+    def _encode_parts(self, parts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _keep(self, parts: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        n = len(self.parts)
+        used = int(self.bounds[n])
+        self.parts.update(zip(parts, range(n, n + len(parts)), strict=True))
+        while len(self.bounds) <= n + len(parts):
             self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-        while len(self.ids) < used + len(flat):
+        while len(self.ids) < used + len(ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[used : used + len(flat)] = flat
-        self.bounds[n - len(split) + 1 : n + 1] = used + np.cumsum(counts)
+        self.ids[used : used + len(ids)] = ids
+        self.bounds[n + 1 : n + len(parts) + 1] = used + np.cumsum(counts)
+
+    def _learn(self, words: list[bytes]) -> None:
+        split = []
+        single, other = {}, {}  # new parts: one word of the vocabulary's, or any number
+        for w in words:
+            text = w.decode()
+            found = WORD_THEN_MARKS.fullmatch(text)
+            pair = (found[1].lower(), found[2]) if found else (text, "")
+            split.append(pair)
+            for part in pair:
+                if part not in self.parts:
+                    (single if found else other)[part] = None
+        single = [p for p in single if p not in other]
+        if single:
+            rows = self._encode_parts([" ".join(single[i : i + AT_ONCE]) for i in range(0, len(single), AT_ONCE)])
+            ids = np.array([i for r in rows for i in r], np.int64)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(single):
+                raise ValueError("the vocabulary cuts words otherwise than its rule says")
+            self._keep(single, ids, np.diff(ends, prepend=0))
+        if other:
+            rows = self._encode_parts(list(other))
+            self._keep(list(other), np.array([i for r in rows for i in r], np.int64), np.array([len(r) for r in rows]))
+        n = len(self.words)
+        while len(self.two) < n + len(words):
+            self.two = np.concatenate([self.two, np.zeros_like(self.two)])
+        self.two[n : n + len(words)] = [(self.parts[a], self.parts[b]) for a, b in split]
+        self.words.update(zip(words, range(n, n + len(words)), strict=True))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has."""
-        if len(self.words) > CACHED_WORDS:
+        if len(self.parts) > KEPT_PARTS:
             self._forget()
+        elif len(self.words) > KEPT_WORDS:
+            self._forget_words()
         by_text = [t.split() for t in texts]
-        words = [w for ws in by_text for w in ws]
-        at = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
+        words = list(chain.from_iterable(by_text))
+        at = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
         unknown = np.flatnonzero(at < 0)
         if len(unknown):
-            self._learn({words[i] for i in unknown})
-            at[unknown] = [self.words[words[i]] for i in unknown]
-        starts, counts = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+            missed = [words[i] for i in unknown.tolist()]
+            self._learn(list(dict.fromkeys(missed)))
+            at[unknown] = np.fromiter(map(self.words.__getitem__, missed), np.int64, len(missed))
+        parts = self.two[at].ravel()
+        starts, counts = self.bounds[parts], self.bounds[parts + 1] - self.bounds[parts]
         ends = np.cumsum(counts)
         places = np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
-        ends = np.concatenate([[0], ends])[np.cumsum([0, *map(len, by_text)])]
+        ends = np.concatenate([[0], ends])[2 * np.cumsum([0, *map(len, by_text)])]
         return self.ids[places], np.diff(ends)
 
 
