@@ -104,23 +104,23 @@ def _alive(rows: DataFrame, name: str) -> DataFrame:
     return stored(rows.drop("n").join(counts, "node"), name)
 
 
-def leaves(sets: DataFrame, runs: int) -> DataFrame:
+def leaves(sets: DataFrame, runs: int, leaf: int) -> DataFrame:
     """``set, size, run, node, n``: the leaf of each set in each run, if it holds another set too."""
     rows = sets.select("set", "size", "tokens", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
     rows = rows.withColumn("node", F.xxhash64("run", _token(0)))
     own = F.slice("tokens", F.col("run") * DEPTH + 2, DEPTH - 1)
     rows = _alive(rows.select("set", "size", "run", own.alias("tokens"), "node"), "level-1")
-    done = rows.filter(F.col("n") <= LEAF)
+    done = rows.filter(F.col("n") <= leaf)
     for level in range(1, DEPTH):
-        large = rows.filter(F.col("n") > LEAF)
+        large = rows.filter(F.col("n") > leaf)
         if large.isEmpty():
             break
         rows = _alive(large.withColumn("node", F.xxhash64("node", F.get("tokens", F.lit(level - 1)))), f"level-{level + 1}")
-        done = done.unionByName(rows if level == DEPTH - 1 else rows.filter(F.col("n") <= LEAF))
+        done = done.unionByName(rows if level == DEPTH - 1 else rows.filter(F.col("n") <= leaf))
     return done.drop("tokens")
 
 
-def with_news(rows: DataFrame, runs: int) -> DataFrame:
+def with_news(rows: DataFrame, runs: int, leaf: int) -> DataFrame:
     """Leaves in which two sets may meet for the first time; ``met`` has the leaves of a set by run (0: none)."""
     by_run = F.map_from_entries(F.collect_list(F.struct("run", "node")))
     met = F.array(*[F.coalesce(F.try_element_at("_by", F.lit(r)), F.lit(0)) for r in range(runs)])
@@ -137,8 +137,8 @@ def with_news(rows: DataFrame, runs: int) -> DataFrame:
     near = W.partitionBy("node").orderBy("size", "set")
     before = F.coalesce(F.lag("size").over(near) * q >= F.col("size") * p, F.lit(False))
     after = F.coalesce(F.col("size") * q >= F.lead("size").over(near) * p, F.lit(False))
-    small = rows.filter(F.col("n") <= LEAF).withColumn("_fits", before | after).filter("_fits").drop("_fits")
-    return small.unionByName(rows.filter(F.col("n") > LEAF))
+    small = rows.filter(F.col("n") <= leaf).withColumn("_fits", before | after).filter("_fits").drop("_fits")
+    return small.unionByName(rows.filter(F.col("n") > leaf))
 
 
 # comparison -------------------------------------------------------------------------------------------------------
@@ -147,30 +147,34 @@ SQUARE = "node long, run int, x int, y int, set binary, side int, copies long, m
 FOUND = "set binary, links long, root binary"
 
 
-def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The grams of each set once for every square that it takes part in."""
-    names = [part.split()[0] for part in SQUARE.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-    for batch in batches:
-        out: list[list] = [[] for _ in names]
-        size = 0
-        for text, row in zip(_texts(batch.column(0)), batch.select(batch.schema.names[1:]).to_pylist(), strict=True):
-            grams = gram_set(text)
-            if _set_id(grams) != row["set"]:  # another text under the same doc_id
-                continue
-            packed = grams.tobytes()
-            for leaf in row["leaves"]:
-                blocks = -(-leaf["n"] // LEAF)
-                mine = int.from_bytes(row["set"][:8], "little") % blocks
-                for other in range(blocks):
-                    values = [leaf["node"], leaf["run"], min(mine, other), max(mine, other), row["set"], int(mine > other), row["copies"], row["met"], packed]
-                    for column, value in zip(out, values, strict=True):
-                        column.append(value)
-                    size += len(packed)
-                    if size > 1 << 24:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
-                        out, size = [[] for _ in names], 0
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+def _send(side: int):
+    """Sends the grams of each set once for every square of ``side`` sets that it takes part in."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [part.split()[0] for part in SQUARE.split(", ")]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            size = 0
+            for text, row in zip(_texts(batch.column(0)), batch.select(batch.schema.names[1:]).to_pylist(), strict=True):
+                grams = gram_set(text)
+                if _set_id(grams) != row["set"]:  # another text under the same doc_id
+                    continue
+                packed = grams.tobytes()
+                for leaf in row["leaves"]:
+                    blocks = -(-leaf["n"] // side)
+                    mine = int.from_bytes(row["set"][:8], "little") % blocks
+                    for other in range(blocks):
+                        values = [leaf["node"], leaf["run"], min(mine, other), max(mine, other), row["set"], int(mine > other), row["copies"], row["met"], packed]
+                        for column, value in zip(out, values, strict=True):
+                            column.append(value)
+                        size += len(packed)
+                        if size > 1 << 24:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+                            out, size = [[] for _ in names], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+
+    return send
 
 
 def like_pairs(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -249,7 +253,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield answer(out)
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", recall: float = RECALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", recall: float = RECALL, leaf: int = LEAF) -> DataFrame:
     """One row for each document: ``doc_id, class_id`` (least doc_id of its class), ``n_links`` (similar documents besides
     itself), ``_print`` (hash of the text) and ``first`` (whether the row is the one of its class to keep)."""
     p, q = LIKE
@@ -262,10 +266,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", recall: float =
     )
     sets = stored(grouped, "gram-sets")
 
-    rows = with_news(leaves(sets.select("set", "size", "tokens"), runs), runs)
+    rows = with_news(leaves(sets.select("set", "size", "tokens"), runs, leaf), runs, leaf)
     wanted = rows.groupBy("set").agg(F.collect_list(F.struct("node", "run", "n")).alias("leaves"), F.first("met").alias("met"))
     wanted = wanted.join(sets.select("set", "rep", "copies"), "set")
-    sent = keyed.join(wanted, F.col("_key") == F.col("rep")).select("text", "set", "copies", "met", "leaves").mapInArrow(_send, SQUARE)
+    sent = keyed.join(wanted, F.col("_key") == F.col("rep")).select("text", "set", "copies", "met", "leaves").mapInArrow(_send(leaf), SQUARE)
     squares = ["node", "run", "x", "y"]
     dealt = sent.repartition(partitions(docs.sparkSession), *squares).sortWithinPartitions(*squares)
     found = stored(dealt.mapInArrow(_compare, FOUND), "links")

@@ -61,31 +61,35 @@ def _batch(names: list[str], columns: list, kinds: list) -> pa.RecordBatch:
 # blocks -----------------------------------------------------------------------------------------------------------
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    first, n = TaskContext.get().partitionId() << 32, 0
-    pack = zstandard.ZstdCompressor(level=LEVEL)
-    ids: list[int] = []
-    sizes: list[int] = []
-    parts: list[bytes] = []
-
-    def block() -> pa.RecordBatch:
-        row = [[first + n], [_i64(ids)], [_i64(sizes)], [pack.compress(b"".join(parts))], [sum(sizes)]]
-        return _batch(["block", "ids", "sizes", "packed", "n_bytes"], row, [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()])
-
-    for batch in batches:
-        data, offsets = batch_bytes(batch.column(1))
-        names = batch.column(0).fill_null(NO_ID).to_pylist()
-        raw = data.tobytes()
-        for name, a, b in zip(names, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            ids.append(name)
-            sizes.append(b - a)
-            parts.append(raw[a:b])
-            if sum(sizes) >= BLOCK or len(ids) >= 1 << 15:
-                yield block()
-                n += 1
-                ids, sizes, parts = [], [], []
-    if ids:
-        yield block()
+def _pack(block_bytes: int) -> Callable:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, n, held = TaskContext.get().partitionId() << 32, 0, 0
+        packer = zstandard.ZstdCompressor(level=LEVEL)
+        ids: list[int] = []
+        sizes: list[int] = []
+        parts: list[bytes] = []
+
+        def block() -> pa.RecordBatch:
+            row = [[first + n], [_i64(ids)], [_i64(sizes)], [packer.compress(b"".join(parts))], [held]]
+            return _batch(["block", "ids", "sizes", "packed", "n_bytes"], row, [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()])
+
+        for batch in batches:
+            data, offsets = batch_bytes(batch.column(1))
+            names = batch.column(0).fill_null(NO_ID).to_pylist()
+            raw = data.tobytes()
+            for name, a, b in zip(names, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                ids.append(name)
+                sizes.append(b - a)
+                parts.append(raw[a:b])
+                held += b - a
+                if held >= block_bytes or len(ids) >= 1 << 15:
+                    yield block()
+                    n, held = n + 1, 0
+                    ids, sizes, parts = [], [], []
+        if ids:
+            yield block()
+
+    return pack
 
 
 class Block:
@@ -187,21 +191,24 @@ def _bits(packed: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool)
 
 
-def _answer_picks(table: pa.Table) -> pa.Table:
-    rows = table.to_pylist()
-    codes = [np.frombuffer(r["codes"], "<u4") for r in rows]
-    several = np.concatenate([_bits(r["several"], len(c)) for r, c in zip(rows, codes, strict=True)])
-    _, which, counts = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
-    twice = counts > 1
-    twice[which[several]] = True
-    cuts = np.cumsum([len(c) for c in codes])[:-1]
-    out: list[list] = [[], [], [], []]
-    for r, mine in zip(rows, np.split(which, cuts), strict=True):
-        if twice[mine].any():
-            values = [r["bucket"], r["block"], np.packbits(twice[mine]).tobytes(), np.packbits(counts[mine] > HOT_BLOCKS).tobytes()]
-            for column, value in zip(out, values, strict=True):
-                column.append(value)
-    return pa.table([pa.array(c, k) for c, k in zip(out, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["bucket", "block", "twice", "hot"])
+def _answer_picks(hot_blocks: int) -> Callable:
+    def answer(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        codes = [np.frombuffer(r["codes"], "<u4") for r in rows]
+        several = np.concatenate([_bits(r["several"], len(c)) for r, c in zip(rows, codes, strict=True)])
+        _, which, counts = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+        twice = counts > 1
+        twice[which[several]] = True
+        cuts = np.cumsum([len(c) for c in codes])[:-1]
+        out: list[list] = [[], [], [], []]
+        for r, mine in zip(rows, np.split(which, cuts), strict=True):
+            if twice[mine].any():
+                values = [r["bucket"], r["block"], np.packbits(twice[mine]).tobytes(), np.packbits(counts[mine] > hot_blocks).tobytes()]
+                for column, value in zip(out, values, strict=True):
+                    column.append(value)
+        return pa.table([pa.array(c, k) for c, k in zip(out, [pa.int64(), pa.int64(), pa.binary(), pa.binary()], strict=True)], ["bucket", "block", "twice", "hot"])
+
+    return answer
 
 
 # fragments --------------------------------------------------------------------------------------------------------
@@ -382,17 +389,17 @@ def _cut(buckets: int) -> Callable:
     return cut
 
 
-def remove_repeats(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_column: str = "doc_id", block_bytes: int = BLOCK, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """``doc_id, n_bytes, kept`` (the remaining bytes) and ``removed`` (spans ``start, bytes`` of what was cut)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), "text")
-    blocks = stored(rows.mapInArrow(_pack, "block long, ids binary, sizes binary, packed binary, n_bytes long"), "text-blocks")
+    blocks = stored(rows.mapInArrow(_pack(block_bytes), "block long, ids binary, sizes binary, packed binary, n_bytes long"), "text-blocks")
     size = blocks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = max(2 * partitions(spark), size // BUCKET)
     documents = blocks.drop("n_bytes")
 
     picks = documents.mapInArrow(_send_picks(buckets), "bucket long, block long, codes binary, several binary")
-    answers = picks.groupBy("bucket").applyInArrow(_answer_picks, "bucket long, block long, twice binary, hot binary")
+    answers = picks.groupBy("bucket").applyInArrow(_answer_picks(hot_blocks), "bucket long, block long, twice binary, hot binary")
     answers = stored(answers, "repeated-picks").groupBy("block").agg(F.collect_list(F.struct("bucket", "twice", "hot")).alias("answers"))
     fragments = documents.join(answers, "block").mapInArrow(_send_fragments(buckets), "bucket long, block long, texts binary, marks binary, firsts binary")
     found = fragments.groupBy("bucket").applyInArrow(_answer_fragments, "bucket long, block long, found binary")

@@ -40,11 +40,9 @@ def _corpus(seed: int) -> list[tuple[int | None, str | None]]:
 
 
 @pytest.mark.parametrize("hot", [256, 1])
-def test_removes_what_earlier_documents_hold(spark, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", hot)
-    monkeypatch.setattr(suffix_dedup, "BLOCK", 4000)
+def test_removes_what_earlier_documents_hold(spark, hot):
     rows = _corpus(1)
-    got = {r.doc_id: (r.n_bytes, bytes(r.kept), len(r.removed)) for r in suffix_dedup.remove_repeats(_docs(spark, rows)).collect()}
+    got = {r.doc_id: (r.n_bytes, bytes(r.kept), len(r.removed)) for r in suffix_dedup.remove_repeats(_docs(spark, rows), block_bytes=4000, hot_blocks=hot).collect()}
     assert got == brute.cut_repeats(rows)
 
 
@@ -74,12 +72,11 @@ def test_earliest_follows_the_suffix_order():
 
 
 @pytest.mark.parametrize("leaf", [256, 4])
-def test_links_and_classes_equal_brute_force(spark, leaf, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+def test_links_and_classes_equal_brute_force(spark, leaf):
     rows = _corpus(2)
     rows += [(n, rows[0][1] + f" w{n % 7}") for n in range(200, 225)]  # a group larger than a small leaf
     rows += [(300, rows[3][1]), (300, rows[3][1]), (301, rows[4][1]), (301, rows[5][1])]  # repeated rows, one id for two texts
-    got = jaccard_join.near_duplicates(_docs(spark, rows)).collect()
+    got = jaccard_join.near_duplicates(_docs(spark, rows), leaf=leaf).collect()
     key = lambda r: (r[0] is not None, r[0] or 0, *[str(x) for x in r[1:]])
     assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=key) == sorted(brute.similar(rows), key=key)
 
