@@ -2,7 +2,7 @@
 
 Tokens are summed for each cell (one value of every margin). Raking scales the cells' weights to the target shares of one
 margin after the other until all margins fit within ``tolerance``. Fitted weights keep the association between margins that the
-data has. Only cells move between rounds; each round is one stored table, and one row (the largest misfit) reaches the driver.
+data has. Only cells move between rounds; each round is one stored table, and single sums (the largest misfit) reach the driver.
 
 A document's probability is its cell's fitted share over its share of tokens, times the token budget. Without a budget it is
 the largest for which no probability exceeds 1. With a larger budget some exceed 1: the whole part are sure copies, the
@@ -34,8 +34,8 @@ def shares(cells: DataFrame, margin: str, power: float = 1.0, weight: str = "tok
 
 
 def _normal(targets: DataFrame) -> DataFrame:
-    total = targets.agg(F.sum("share").alias("_total"))
-    return targets.join(total).select("value", F.try_divide("share", "_total").alias("share"))
+    total = targets.agg(F.sum("share")).first()[0] or 0.0
+    return targets.select("value", F.try_divide("share", F.lit(float(total))).alias("share"))
 
 
 def _misfit(cells: DataFrame, targets: Mapping[str, DataFrame]) -> float:
@@ -49,8 +49,8 @@ def _misfit(cells: DataFrame, targets: Mapping[str, DataFrame]) -> float:
 
 def rake(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` (margins and ``tokens``) with ``weight``: their shares after fitting. ``targets``: by margin ``value, share``."""
-    total = cells.agg(F.sum("tokens").alias("_total"))
-    fitted = stored(cells.join(total).withColumn("weight", F.coalesce(F.try_divide(F.col("tokens").cast("double"), "_total"), F.lit(0.0))).drop("_total"), "raked")
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    fitted = stored(cells.withColumn("weight", F.coalesce(F.try_divide(F.col("tokens").cast("double"), F.lit(total)), F.lit(0.0))), "raked")
     wanted = {}
     for margin, given in targets.items():
         there = fitted.filter("weight > 0").select(F.col(margin).alias("value")).distinct()
@@ -94,9 +94,8 @@ def mix_to_targets(
     aims = {m: aim if aim is not None else shares(cells, m, (powers or {}).get(m.removeprefix("_margin_"), 1.0)) for m, aim in aims.items()}
     fitted = rake(cells, aims)
     ratio = fitted.withColumn("_ratio", F.coalesce(F.try_divide("weight", F.col("tokens").cast("double")), F.lit(0.0)))
-    scale = F.lit(float(budget)) if budget is not None else F.try_divide(F.lit(1.0), "_most")
-    most = ratio.agg(F.max("_ratio").alias("_most"))
-    chances = ratio.join(most).select(*named, F.coalesce(F.col("_ratio") * scale, F.lit(0.0)).alias("probability"))
+    scale = F.lit(float(budget)) if budget is not None else F.try_divide(F.lit(1.0), F.lit(ratio.agg(F.max("_ratio")).first()[0] or 0.0))
+    chances = ratio.select(*named, F.coalesce(F.col("_ratio") * scale, F.lit(0.0)).alias("probability"))
     drawn = marked.join(stored(chances, "chances"), list(named))
     copies = F.floor(F.col("probability") + uniform(id_column, seed=seed)).cast("int")
     return drawn.select(*docs.columns, "tokens", "probability", copies.alias("copies"))
