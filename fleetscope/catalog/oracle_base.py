@@ -125,7 +125,7 @@ select cluster_id, tick, count_if(is_active) active_n, count_if(worker) worker_n
  avg(case when worker and total_shuffle_read>0 then completed_tasks end) tasks_mean,
  stddev_samp(case when worker and total_shuffle_read>0 then completed_tasks end) tasks_sd,
  count_if(worker and total_duration_ms>0) gc_n,
- round(avg(case when worker and total_duration_ms>0 then gc end),9) gc_mean,
+ round(avg(case when worker and total_duration_ms>0 then gc end),12) gc_mean,
  max(case when worker and total_duration_ms>0 then gc end) gc_max,
  max(case when is_active and total_duration_ms>0 then gc end) active_gc_max,
  sum(case when worker and total_duration_ms>0 then total_shuffle_read+total_shuffle_write end) worker_shuffle,
@@ -135,7 +135,7 @@ select cluster_id, tick, count_if(is_active) active_n, count_if(worker) worker_n
  avg(case when is_active and total_shuffle_read>0 then total_shuffle_read end) aread_mean,
  stddev_samp(case when is_active and total_shuffle_read>0 then total_shuffle_read end) aread_sd,
  sum(case when worker then max_memory end) worker_memory,
- round(max(case when executor_id='driver' and is_active then gc end),9) driver_gc,
+ round(max(case when executor_id='driver' and is_active then gc end),12) driver_gc,
  max(case when executor_id='driver' and is_active then total_duration_ms end) driver_ms,
  max(case when executor_id='driver' and is_active then memory_used end) driver_used,
  max(case when executor_id='driver' and is_active then max_memory end) driver_max,
@@ -145,8 +145,8 @@ CTES["k_stage"] = f"""
 select cluster_id, tick, count_if(status='ACTIVE') active_stages, count_if(status='PENDING') pending_stages,
  count_if(status='FAILED') failed_stages,
  coalesce(sum(case when status='ACTIVE' then mem_spill+disk_spill end),0) spill,
- round(avg(case when status='ACTIVE' and input_bytes>0 then cast(shuffle_read+shuffle_write as double)/input_bytes end),9) shuffle_ratio,
- round(avg(case when status='ACTIVE' and run_ms>0 then {EFF} end),9) cpu_mean,
+ round(avg(case when status='ACTIVE' and input_bytes>0 then cast(shuffle_read+shuffle_write as double)/input_bytes end),12) shuffle_ratio,
+ round(avg(case when status='ACTIVE' and run_ms>0 then {EFF} end),12) cpu_mean,
  count_if(attempt_id>0) retried, count_if(attempt_id in (1,2)) retried_warn, sum(num_killed) killed, sum(num_tasks) tasks
 from tv_stages group by cluster_id, tick"""
 CTES["k_job"] = """select cluster_id, tick, count_if(status='RUNNING') running, sum(num_failed) failed_tasks from tv_jobs group by cluster_id, tick"""
@@ -206,12 +206,12 @@ rule("memory_spill", 2, "SPILL", "tv_stages", [
          entity=STAGE, advice="'memory_spill'", title=f"concat('Memory spill on stage ', stage_id, ' (', {fb('(mem_spill+disk_spill)')}, ')')"),
 ])
 rule("data_skew", 3, "SKEW", "k_exec", [
-    dict(when="read_n>=2 and read_median>0 and round(read_max/read_median,9)>=3", severity=lad("round(read_max/read_median,9)", 3, 5), metric="round(read_max/read_median,9)",
-         threshold=lim("round(read_max/read_median,9)", 3, 5), entity="read_max_executor", advice="'data_skew'",
-         title=f"concat('Data skew detected: ', {fx('round(read_max/read_median,9)', 1)}, 'x shuffle read imbalance')"),
-    dict(when="read_n>=2 and tasks_mean>0 and round(tasks_sd/tasks_mean,9)>=0.5", slot=1, severity=lad("round(tasks_sd/tasks_mean,9)", .5, 1), metric="round(tasks_sd/tasks_mean,9)",
-         threshold=lim("round(tasks_sd/tasks_mean,9)", .5, 1), advice="'task_skew'",
-         title=f"concat('Task distribution skew (CoV=', {fx('round(tasks_sd/tasks_mean,9)', 2)}, ')')"),
+    dict(when="read_n>=2 and read_median>0 and round(read_max/read_median,12)>=3", severity=lad("round(read_max/read_median,12)", 3, 5), metric="round(read_max/read_median,12)",
+         threshold=lim("round(read_max/read_median,12)", 3, 5), entity="read_max_executor", advice="'data_skew'",
+         title=f"concat('Data skew detected: ', {fx('round(read_max/read_median,12)', 1)}, 'x shuffle read imbalance')"),
+    dict(when="read_n>=2 and tasks_mean>0 and round(tasks_sd/tasks_mean,12)>=0.5", slot=1, severity=lad("round(tasks_sd/tasks_mean,12)", .5, 1), metric="round(tasks_sd/tasks_mean,12)",
+         threshold=lim("round(tasks_sd/tasks_mean,12)", .5, 1), advice="'task_skew'",
+         title=f"concat('Task distribution skew (CoV=', {fx('round(tasks_sd/tasks_mean,12)', 2)}, ')')"),
 ])
 LOAD = "cast(shuffle_read+shuffle_write as double)/input_bytes"
 rule("shuffle_bottleneck", 4, "SHUFFLE", "tv_stages", [
@@ -369,8 +369,8 @@ rule("auto_termination", 22, "AUTO_TERMINATION", "k_conf_exec", [
          title="concat('Long auto-termination timeout (', autotermination_minutes, ' min)')"),
 ])
 rule("dynamic_allocation", 23, "DYNAMIC_ALLOCATION", "k_count", [
-    dict(when="points>=3 and mean>0 and round(sd/mean,9)>0.3", severity=W, metric="round(sd/mean,9)", threshold="0.3", advice="'dynamic_allocation'",
-         title=f"concat('Executor count unstable (CoV=', {fx('round(sd/mean,9)', 2)}, ')')"),
+    dict(when="points>=3 and mean>0 and round(sd/mean,12)>0.3", severity=W, metric="round(sd/mean,12)", threshold="0.3", advice="'dynamic_allocation'",
+         title=f"concat('Executor count unstable (CoV=', {fx('round(sd/mean,12)', 2)}, ')')"),
 ])
 ERR = error_class("failure_reason")
 rule("stage_failures", 24, "TASK_FAILURE", "tv_stages", [

@@ -47,7 +47,7 @@ EXECUTOR_FACTS = {
     "worker_tasks_mean": f"avg(completed_tasks) filter (where {_READER})",
     "worker_tasks_sd": f"stddev_samp(completed_tasks) filter (where {_READER})",
     "worker_gc_n": f"count_if({_TIMED})",
-    "worker_gc_mean": f"round(avg({_GC}) filter (where {_TIMED}), 9)",
+    "worker_gc_mean": f"round(avg({_GC}) filter (where {_TIMED}), 12)",
     "worker_gc_max": f"max({_GC}) filter (where {_TIMED})",
     "active_gc_max": f"max({_GC}) filter (where is_active and total_duration_ms > 0)",
     "worker_shuffle": f"coalesce(sum(total_shuffle_read + total_shuffle_write) filter (where {_TIMED}), 0)",
@@ -93,9 +93,9 @@ STAGE_FACTS = {
     "failed_stages": "count_if(status = 'FAILED')",
     "active_spill": "coalesce(sum(memory_spill_bytes + disk_spill_bytes) filter (where status = 'ACTIVE'), 0)",
     "shuffle_ratio": "round(avg(try_divide(cast(shuffle_read_bytes + shuffle_write_bytes as double), input_bytes))"
-    " filter (where status = 'ACTIVE' and input_bytes > 0), 9)",
+    " filter (where status = 'ACTIVE' and input_bytes > 0), 12)",
     "active_cpu_mean": "round(avg(try_divide(cast(executor_cpu_time_ns as double), executor_run_time_ms * 1000000))"
-    " filter (where status = 'ACTIVE' and executor_run_time_ms > 0), 9)",
+    " filter (where status = 'ACTIVE' and executor_run_time_ms > 0), 12)",
     "retried_n": "count_if(attempt_id > 0)",
     "retried_warn_n": f"count_if(attempt_id > 0 and attempt_id < {T.RETRY_CRIT_ATTEMPT})",
     "killed_tasks": "sum(num_killed_tasks)",

@@ -70,7 +70,7 @@ def div(a: str, b: str) -> str:
 
 def steady(a: str) -> str:
     """``a`` without the noise of the last bits, so that a tie with a bound is one however rows were merged."""
-    return f"round({a}, 9)"
+    return f"round({a}, 12)"
 
 
 def rung(value: str, low: float, high: float, at_low: str, at_high: str) -> str:

@@ -40,15 +40,20 @@ def scans(df, table: str) -> int:
     return walk(lines)
 
 
+@pytest.fixture(autouse=True)
+def nothing_kept(spark):
+    """What earlier tests kept would show as already computed."""
+    spark.catalog.clearCache()
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+
+
 @pytest.mark.parametrize("name", ["diagnostic_report", "insight_union", "insight_rank", "insight_sequence", "health_components", "health_score", "top_recommendations", "health_history", "accumulate"])
 def test_reports_read_the_tasks_twice(spark, name):
-    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     assert scans(QUERIES[name](spark, SF), "lineitem") <= 2
 
 
 @pytest.mark.parametrize("name", ["task_quantiles", "is_skewed", "partition_issues"])
 def test_single_results_read_the_tasks_twice(spark, name):
-    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     assert scans(QUERIES[name](spark, SF), "lineitem") <= 2
 
 
