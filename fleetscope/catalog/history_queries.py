@@ -287,8 +287,11 @@ CTES["u_spine"] = "select s.cluster_id, s.tick, r.run_id from k_spine s join tv_
 CTES["u_rows"] = "select a.*, r.run_id from a_rows a join tv_runs r on a.cluster_id=r.cluster_id and a.tick between r.start_tick and r.stop_tick"
 CTES["u_acc"] = _acc_sql("u_rows", "u_spine", "cluster_id, run_id")
 CTES["u_health"] = "select h.*, u.run_id, (cast(floor(h.tick/10) as bigint)*4+h.tick%10)*13 at_s from h_score h join u_spine u on h.cluster_id=u.cluster_id and h.tick=u.tick"
-# ticks are 13 s apart here, so a gap of 30 s keeps every third report of a run
-CTES["u_snap"] = "select * from (select *, row_number() over (partition by run_id order by tick) rn from u_health) x where rn%3=1"
+CTES["u_snap"] = """select h.* from u_health h join (
+ with recursive pts as (select distinct run_id, at_s s from u_health),
+ walk as (select run_id, min(s) at_s from pts group by run_id
+  union all select k.run_id, (select min(s) from pts p where p.run_id=k.run_id and p.s>=k.at_s+30) from walk k where k.at_s is not null)
+ select * from walk where at_s is not null) z on h.run_id=z.run_id and h.at_s=z.at_s"""
 CTES["u_final"] = "select * from (select *, row_number() over (partition by run_id order by tick desc) last_rn from u_snap) x where last_rn=1"
 CTES["u_pairs"] = "select concat('run_a_', cast(r_regionkey as varchar)) run_a, concat('run_b_', cast((r_regionkey+1)%5 as varchar)) run_b from region"
 SECONDS = "(cast(floor(tick/10) as bigint)*4 + tick%10)*13"

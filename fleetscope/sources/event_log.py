@@ -21,8 +21,12 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).json(path)
 
 
-def finished_tasks(events: DataFrame, cluster_id: str | None = None) -> DataFrame:
-    """``SparkListenerTaskEnd`` events as task rows; unlisted metrics are 0."""
+def finished_tasks(events: DataFrame, cluster_id: str | None = None, tick_seconds: int | None = None) -> DataFrame:
+    """``SparkListenerTaskEnd`` events as task rows; unlisted metrics are 0.
+
+    With ``tick_seconds`` a task gets the tick in which it finished (seconds since 1970 over the tick's length), so that
+    the rows can be rolled up by key to the stage and executor tables of an analysis.
+    """
     ends = events.filter(F.col("Event") == "SparkListenerTaskEnd")
     metric = {
         "executor_run_time_ms": "`Executor Run Time`", "executor_cpu_time_ns": "`Executor CPU Time`", "jvm_gc_time_ms": "`JVM GC Time`",
@@ -37,6 +41,8 @@ def finished_tasks(events: DataFrame, cluster_id: str | None = None) -> DataFram
     info, reason = "`Task Info`", "`Task End Reason`"
     metrics = ", ".join(f"'{k}', coalesce(`Task Metrics`.{v}, 0)" for k, v in metric.items())
     key = [f"'{cluster_id}' as cluster_id"] if cluster_id is not None else [c for c in ("cluster_id", "tick") if c in events.columns]
+    if tick_seconds is not None:
+        key = [k for k in key if k != "tick"] + [f"cast(floor({info}.`Finish Time` / {1000 * tick_seconds}) as int) as tick"]
     return ends.selectExpr(
         *key, "`Stage ID` as stage_id", "`Stage Attempt ID` as attempt_id", f"{info}.`Task ID` as task_id", f"{info}.Index as index",
         f"{info}.Attempt as attempt",

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetscope.functions import classify, parsing, text
-from fleetscope.operators import tables
+from fleetscope.operators import rollups, tables
 from fleetscope.sources import event_log, rest_documents as rest
 from fleetscope.sources.run_store import RunStore, read_run_documents
 
@@ -106,6 +106,12 @@ def test_event_log(spark):
     r = row[0]
     assert (r.cluster_id, r.stage_id, r.task_id, r.status, r.duration_ms, r.error_message) == ("c", 2, 9, "FAILED", 500, "boom")
     assert (r.metrics.jvm_gc_time_ms, r.metrics.shuffle_read_bytes, r.metrics.input_bytes) == (40, 5, 0)
+    log = event_log.read_event_log(spark, folder)
+    tasks = event_log.finished_tasks(log.union(log), "c", tick_seconds=1)
+    stage = rollups.stage_rollup(tasks).collect()
+    assert [(s.cluster_id, s.tick, s.stage_id, s.num_tasks, s.num_failed_tasks, s.jvm_gc_time_ms) for s in stage] == [("c", 1, 2, 2, 2, 80)]
+    executor = rollups.executor_rollup(tasks).collect()
+    assert [(e.tick, e.executor_id, e.failed_tasks, e.total_duration_ms) for e in executor] == [(1, "4", 2, 1000)]
 
 
 def test_unreadable_runs_are_split_off(spark):

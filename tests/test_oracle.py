@@ -25,6 +25,13 @@ def test_query_equals_sql(spark, con, name):
     assert compare(spark, con, name, QUERIES[name], ORACLES[name], SF) is None
 
 
+@pytest.mark.slow
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in QUICK])
+def test_every_other_query_equals_sql(spark, con, name):
+    spark.catalog.clearCache()
+    assert compare(spark, con, name, QUERIES[name], ORACLES[name], SF) is None
+
+
 def test_every_query_has_its_sql():
     assert set(QUERIES) == set(ORACLES)
 
