@@ -21,10 +21,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the least doc_id; of rows that repeat it, one."""
-    firsts = jaccard_join.near_duplicates(docs).filter("first").select(F.col("doc_id").alias("_first"), "_print").distinct()
-    marked = docs.withColumns({"_id": F.col("doc_id"), "_own": F.xxhash64(F.coalesce("text", F.lit("")))})
-    kept = marked.join(firsts, F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_own") == F.col("_print")), "left_semi")
-    return kept.dropDuplicates(["_id", "_own"]).select(*docs.columns)
+    key = lambda c: F.coalesce(F.col(c), F.lit(jaccard_join.NO_ID))
+    firsts = jaccard_join.near_duplicates(docs).filter("first").select(key("doc_id").alias("_id"), F.col("_print").alias("_own")).distinct()
+    marked = docs.withColumns({"_id": key("doc_id"), "_own": F.xxhash64(F.coalesce("text", F.lit("")))})
+    # join and removal of repeated rows share one exchange, being on the same keys
+    return marked.join(firsts, ["_id", "_own"], "left_semi").dropDuplicates(["_id", "_own"]).select(*docs.columns)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
