@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.llm import decontamination, jaccard_join, mixing, quality_rules, sharding
 from fleetscope.llm.common import stored
-from fleetscope.llm.query_list.corpus import POWERS, margins, tokens
+from fleetscope.llm.query_list.corpus import BUDGET_SHARE, POWERS, margins, tokens
 from fleetscope.llm.query_list.texts import contaminated
 
 SHARDS = 8
@@ -35,9 +35,12 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose expected tokens have the target shares of sources, languages and topics."""
-    mixed = mixing.mix_to_targets(docs, margins(), tokens(), powers=POWERS)
-    return mixed.filter("copies > 0").select(*docs.columns)
+    """A sample whose expected tokens have the target shares of sources, languages and topics and are as many as the input's.
+
+    A document of a cell that is raised has a row for each of its copies.
+    """
+    mixed = mixing.mix_to_targets(docs, margins(), tokens(), powers=POWERS, budget_share=BUDGET_SHARE)
+    return mixed.filter("copies > 0").withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,9 +4,9 @@ Tokens are summed for each cell (one value of every margin). Raking scales the c
 margin after the other until all margins fit within ``tolerance``. Fitted weights keep the association between margins that the
 data has. Only cells move between rounds; each round is one stored table, and single sums (the largest misfit) reach the driver.
 
-A document's probability is its cell's fitted share over its share of tokens, times the token budget. Without a budget it is
-the largest for which no probability exceeds 1. With a larger budget some exceed 1: the whole part are sure copies, the
-rest is drawn. The draw is a hash of doc_id and a seed, so a repeated task draws alike, at any partitioning.
+A document's expected copies are its cell's fitted share over its tokens, times the token budget, given in tokens or as a share
+of the input's. Where they exceed 1, the whole part are sure copies, the rest is drawn. Without a budget it is the largest for
+which none exceeds 1, so the rarest cell decides how little of all the others is drawn; give one wherever a corpus is to last. The draw is a hash of doc_id and a seed, so a repeated task draws alike, at any partitioning.
 
 Defined results: a null margin is a value of its own (``(null)``); targets of values that don't occur are shared out among
 the rest, values without a target get none; a cell of weight 0 has probability 0; documents without tokens take their
@@ -81,11 +81,15 @@ def mix_to_targets(
     budget: float | None = None,
     seed: int = 0,
     id_column: str = "doc_id",
+    budget_share: float | None = None,
 ) -> DataFrame:
     """``docs`` with ``tokens``, ``probability`` (expected copies) and ``copies`` (drawn).
 
     ``margins``: name and expression. A margin's target comes from ``targets``, or from its own shares to a power in ``powers``.
+    ``budget``: expected tokens of all copies; ``budget_share``: the same as a share of the tokens of ``docs``. At most one is given.
     """
+    if budget is not None and budget_share is not None:
+        raise ValueError("give budget or budget_share, not both")
     docs = docs.drop("tokens", "probability", "copies")
     named = {f"_margin_{m}": F.coalesce(c.cast("string"), F.lit(NULL)) for m, c in margins.items()}
     marked = docs.withColumns(named | {"tokens": F.coalesce(tokens.cast("long"), F.lit(0))})
@@ -93,6 +97,8 @@ def mix_to_targets(
     aims = {f"_margin_{m}": (targets or {}).get(m) for m in margins}
     aims = {m: aim if aim is not None else shares(cells, m, (powers or {}).get(m.removeprefix("_margin_"), 1.0)) for m, aim in aims.items()}
     fitted = rake(cells, aims)
+    if budget_share is not None:
+        budget = budget_share * (cells.agg(F.sum("tokens")).first()[0] or 0)
     ratio = fitted.withColumn("_ratio", F.coalesce(F.try_divide("weight", F.col("tokens").cast("double")), F.lit(0.0)))
     scale = F.lit(float(budget)) if budget is not None else F.try_divide(F.lit(1.0), F.lit(ratio.agg(F.max("_ratio")).first()[0] or 0.0))
     chances = ratio.select(*named, F.coalesce(F.col("_ratio") * scale, F.lit(0.0)).alias("probability"))

@@ -24,6 +24,8 @@ def margins() -> dict[str, Column]:
 
 #: Targets: the tokens of a source, language or topic to these powers.
 POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.9}
+#: Token budget as a share of the input's tokens: what large cells lose, small cells gain in copies.
+BUDGET_SHARE = 1.0
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +43,7 @@ def op4_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    mixed = mixing.mix_to_targets(docs, margins(), tokens(), powers=POWERS)
+    mixed = mixing.mix_to_targets(docs, margins(), tokens(), powers=POWERS, budget_share=BUDGET_SHARE)
     return mixed.select("doc_id", "source", "lang", margins()["topic"].alias("topic"), "tokens", "probability", "copies")
 
 

@@ -202,6 +202,14 @@ def test_a_budget_above_the_data_gives_copies(spark):
     assert {r.copies for r in got} == {2, 3} and abs(sum(r.copies for r in got) / 500 - 2.5) < 0.1
 
 
+def test_a_budget_may_be_a_share_of_the_tokens(spark):
+    rows = [(n, "t", "en", "s" if n else "stray", 10) for n in range(500)]
+    got = _mixed(spark, rows, powers={"source": 0.5}, budget_share=0.5)
+    assert abs(sum(r.probability * r.tokens for r in got) - 2500) < 0.1
+    with pytest.raises(ValueError):
+        _mixed(spark, rows, budget=1.0, budget_share=1.0)
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None, None, None)], [(1, "t", "en", "s", 0)] * 3])
 def test_mixing_without_tokens(spark, rows):
     got = _mixed(spark, rows)

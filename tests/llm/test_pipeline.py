@@ -74,3 +74,11 @@ def test_copies_leave_one_row(spark):
     rows = [(3, text, "en", "s", 9), (3, text, "en", "s", 9), (4, text + " more", "en", "s", 9), (5, "other " * 9, "en", "s", 9), (3, "two texts of one id", "en", "s", 9)]
     got = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(rows, DOC_SCHEMA), SF).collect()
     assert sorted((r.doc_id, r.text) for r in got) == sorted([(3, text), (3, "two texts of one id"), (5, "other " * 9)])
+
+
+def test_a_rare_source_takes_nothing_from_the_others(spark):
+    text = lambda n: " ".join(f"w{n}x{k}" for k in range(60))
+    rows = [(n, text(n), "en" if n % 5 else "de", "s" if n % 4 else "u", 9) for n in range(400)] + [(1000, text(1000), "en", "stray", 9)]
+    got = _ids(corpus_pipeline.mix(spark, spark.createDataFrame(rows, DOC_SCHEMA), SF))
+    assert len(set(got)) > 0.85 * len(rows) and got.count(1000) > 1
+    assert abs(len(got) / len(rows) - 1) < 0.1  # texts of equal length: rows stand for tokens
