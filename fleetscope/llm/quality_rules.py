@@ -4,6 +4,13 @@ The ratio (bytes over compressed bytes) of prose grows with its length, so each
 whole text is judged, and each chunk of ``CHUNK`` bytes by the limits for its length, so a junk part of a long text shows
 even where the rest hides it: more than ``BAD_SHARE`` of the bytes in chunks out of band reject the text.
 
+Limits of ``BANDS`` come from the base-passing texts of sf0.1 and their chunks, in four languages of Latin script: the least ratio
+is 7% (short bands) to 19% below theirs, the greatest 15% above. Two things don't show in the ratio of a short text: digits
+and letters in turn (hexadecimal has the ratio of prose), so a text or chunk is out of band too if such changes inside words of
+``CODE_WORD`` bytes or more exceed a quarter of its bytes without white space; and passages told a few times, so each band has
+a limit for the share of repeated words of the whole text. Scripts of which most bytes aren't ASCII have other ratios and
+keep the wide limits of ``OTHER_BANDS``.
+
 Base figures (exact): words ``[^\\x20\\x09-\\x0D]+``, their code points, symbols, repeated lines, words inside 3-word windows
 that occur twice or more. ``base_failed``: fewer than 50 words, or more than half of the words in repeated windows.
 
@@ -14,6 +21,7 @@ the result are replaced. One text must fit into a worker's memory; no text is cu
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 
 import numpy as np
@@ -25,8 +33,21 @@ from pyspark.sql import functions as F
 LEVEL = 3
 CHUNK = 8192
 BAD_SHARE = 0.25
-#: From this many bytes: least and greatest ratio.
-BANDS = [(256, 1.10, 3.2), (1024, 1.20, 4.2), (4096, 1.25, 5.2), (16384, 1.30, 6.5), (131072, 1.30, 8.0)]
+#: From this many bytes: least and greatest ratio, greatest percentage of repeated words.
+BANDS = [
+    (256, 1.25, 2.12, 45),  # found: ratios 1.34 to 1.84
+    (512, 1.33, 2.48, 40),  # 1.43 to 2.15
+    (1024, 1.45, 2.78, 28),  # 1.69 to 2.41
+    (2048, 1.60, 3.00, 25),  # 1.92 to 2.61
+    (4096, 1.70, 3.18, 25),  # 2.09 to 2.77
+    (16384, 1.90, 3.33, 40),  # 2.33 to 2.90
+    (131072, 1.90, 3.33, 50),  # one text, 2.57
+]
+OTHER_BANDS = [(256, 1.10, 3.2, 50), (1024, 1.20, 4.2, 50), (4096, 1.25, 5.2, 50), (16384, 1.30, 6.5, 50), (131072, 1.30, 8.0, 50)]
+CODE_WORD = 8
+CODE_WORDS = re.compile(rb"[^ \t-\r]{%d,}" % CODE_WORD)
+CHANGES = re.compile(rb"[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])")
+DIGITS = b"0123456789"
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 LEAST_WORDS = 50
@@ -62,9 +83,23 @@ def repeated_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def in_band(size: int, packed: int) -> bool:
-    at = bisect_right([b[0] for b in BANDS], size) - 1
-    return at < 0 or BANDS[at][1] <= size / packed <= BANDS[at][2]
+def coded(text: bytes) -> bool:
+    """Whether digits and letters take turns in long words, as in hexadecimal; each change needs a digit on one side."""
+    least = len(text.translate(None, SPACES)) / 4
+    if 2 * (len(text) - len(text.translate(None, DIGITS))) <= least:
+        return False
+    return sum(len(CHANGES.findall(w)) for w in CODE_WORDS.findall(text)) > least
+
+
+def in_band(text: bytes, packed: int, repeated_percent: float = 0.0) -> bool:
+    size = len(text)
+    other = 2 * int(np.count_nonzero(np.frombuffer(text, np.uint8) & 0x80)) > size
+    bands = OTHER_BANDS if other else BANDS
+    at = bisect_right([b[0] for b in bands], size) - 1
+    if at < 0:
+        return True
+    _, least, greatest, most = bands[at]
+    return least <= size / packed <= greatest and repeated_percent <= most and not coded(text)
 
 
 def judge(text: bytes, pack: zstandard.ZstdCompressor) -> tuple:
@@ -77,7 +112,7 @@ def judge(text: bytes, pack: zstandard.ZstdCompressor) -> tuple:
     if size > CHUNK:
         for at in range(0, size, CHUNK):
             chunk = text[at : at + CHUNK]
-            bad += 0 if in_band(len(chunk), len(pack.compress(chunk))) else len(chunk)
+            bad += 0 if in_band(chunk, len(pack.compress(chunk))) else len(chunk)
     share = bad / size if size else 0.0
     points = np.frombuffer(text, np.uint8)
     return (
@@ -89,7 +124,7 @@ def judge(text: bytes, pack: zstandard.ZstdCompressor) -> tuple:
         failed,
         size / packed,
         share,
-        not failed and in_band(size, packed) and share <= BAD_SHARE,
+        not failed and in_band(text, packed, 100 * repeated / len(words)) and share <= BAD_SHARE,
     )
 
 

@@ -60,6 +60,57 @@ def test_a_junk_part_shows_in_the_chunks(spark):
     assert row.bad_chunk_share > quality_rules.BAD_SHARE and not row.kept
 
 
+def _wrapped(text: str, width: int) -> str:
+    return " ".join(text[at : at + width] for at in range(0, len(text), width))
+
+
+@pytest.mark.parametrize("size", [450, 900, 1900, 3900, 7000, 15_000, 20_000, 60_000, 140_000, 200_000])
+def test_coded_and_random_texts_fail_at_every_length(size):
+    draw = np.random.default_rng(size)
+    raw = draw.bytes(size)
+    codes = {
+        "base64": base64.b64encode(raw).decode()[:size],
+        "hex": raw.hex()[:size],
+        "ascii": draw.integers(33, 127, size).astype(np.uint8).tobytes().decode(),
+    }
+    pack = quality_rules.zstandard.ZstdCompressor(level=quality_rules.LEVEL)
+    for name, text in codes.items():
+        for width in (8, 12, 76) if size > 5000 else (8,):
+            row = quality_rules.judge(_wrapped(text, width).encode(), pack)
+            assert row[5] or not row[8], (name, width)
+        assert not quality_rules.in_band(_wrapped(text, 76).encode(), len(pack.compress(_wrapped(text, 76).encode()))), name
+
+
+def _texts_of(spark) -> list[str]:
+    return [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+
+
+def test_half_repeated_texts_fail_and_prose_stays(spark):
+    pack = quality_rules.zstandard.ZstdCompressor(level=quality_rules.LEVEL)
+    clean = [t.encode() for t in _texts_of(spark)]
+    judged = [quality_rules.judge(t, pack) for t in clean]
+    base = [t for t, r in zip(clean, judged) if not r[5]]
+    lost = sum(not r[5] and not r[8] for r in judged)
+    assert len(base) > 500 and lost <= 0.001 * len(base)
+    words = b" ".join(sorted(base)).split()
+    for n, block, times in [(56, 9, 3), (80, 10, 4), (150, 14, 5), (300, 40, 3), (700, 40, 6), (1500, 40, 16), (3300, 40, 33), (25_000, 40, 290)]:
+        for apart in (False, True):
+            own = words[1000 : 1000 + n - block * times]
+            part = words[-block:]
+            step = len(own) // times
+            rows = [own[k * step : (k + 1) * step] for k in range(times)] + [own[times * step :]]
+            text = b" ".join(w for row in rows for w in [*row, *(part if apart and row is not rows[-1] else [])]) if apart else b" ".join(own + part * times)
+            assert not quality_rules.judge(text, pack)[8], (n, block, apart)
+
+
+def test_other_scripts_keep_wide_limits():
+    pack = quality_rules.zstandard.ZstdCompressor(level=quality_rules.LEVEL)
+    draw = random.Random(5)
+    words = ["".join(chr(draw.randrange(0xAC00, 0xAC00 + 900)) for _ in range(draw.randint(1, 4))) for _ in range(3000)]
+    text = " ".join(draw.choice(words) for _ in range(1500)).encode()
+    assert len(text) / len(pack.compress(text)) > 1.25 and quality_rules.judge(text, pack)[8]
+
+
 def test_clashing_columns_are_replaced(spark):
     docs = _docs(spark, ["x"]).withColumns({"kept": F.lit("old"), "N_words": F.lit("old"), "lang": F.lit("en")})
     got = quality_rules.compression_bands(docs)
