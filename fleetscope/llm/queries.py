@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fleetscope.llm.query_list import corpus, dedup, native, texts
+from fleetscope.llm.query_list import corpus, dedup, models, native, texts
 
-QUERIES = {**corpus.QUERIES, **dedup.QUERIES, **native.QUERIES, **texts.QUERIES}
-ORACLES = {**corpus.ORACLES, **dedup.ORACLES, **native.ORACLES, **texts.ORACLES}
+QUERIES = {**corpus.QUERIES, **dedup.QUERIES, **models.QUERIES, **native.QUERIES, **texts.QUERIES}
+ORACLES = {**corpus.ORACLES, **dedup.ORACLES, **models.ORACLES, **native.ORACLES, **texts.ORACLES}
