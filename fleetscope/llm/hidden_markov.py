@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.llm.common import batch_bytes, mix, stored
+from fleetscope.llm.common import batch_bytes, mix, partitions, stored
 
 STATES = 8
 FREQUENT = 8192
@@ -141,37 +141,50 @@ class Vocabulary:
         return np.where(own, at + 1, 1 + len(self.frequent) + classes), np.where(own, 0.0, share)
 
 
+def _recoded(vocabulary: Vocabulary, chunk: int, body: pa.StructScalar, places: list[np.ndarray], known: list[np.ndarray]) -> pa.RecordBatch:
+    """The documents of a chunk as symbols, given the counts of its known words."""
+    names = [part.split()[0] for part in CODED.split(", ")]
+    kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+    keys, classes, lengths = (body[c].values.to_numpy(zero_copy_only=False) for c in ("keys", "classes", "lengths"))
+    counts = np.zeros(len(keys), np.int64)
+    for at, count in zip(places, known, strict=True):
+        counts[at] = count
+    tokens = np.frombuffer(zstandard.ZstdDecompressor().decompress(body["tokens"].as_py()), "<i4")
+    symbol, within = vocabulary.symbols(keys, counts, classes)
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+
+    def sums(per_word: np.ndarray) -> np.ndarray:
+        every = per_word[tokens]
+        return np.array([every[a:b].sum() for a, b in zip(ends[:-1], ends[1:], strict=True)])
+
+    coded = np.insert(symbol.astype("<u2")[tokens], ends[1:], 0)
+    bounds = ends + np.arange(len(ends))
+    part = (mix(np.uint64(chunk) + np.arange(len(lengths), dtype=np.uint64)) % np.uint64(PARTS)).astype(np.int32)
+    columns = [
+        body["ids"].values, body["train"].values, part, lengths + 1, sums((counts > 0).astype(np.int64)).astype(np.int64) + (vocabulary.ends > 0),
+        sums(vocabulary.base(counts)) + vocabulary.base(np.float64(vocabulary.ends)), sums(within),
+        [coded[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)],
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
 def _recode(vocabulary: Vocabulary):
     def recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        names = [part.split()[0] for part in CODED.split(", ")]
-        kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+        """Each chunk's own row comes first, then a row for each of its known words."""
+        chunk, body, places, known = None, None, [], []
         for batch in batches:
-            for i in range(batch.num_rows):
-                value = lambda name, i=i, batch=batch: batch.column(batch.schema.get_field_index(name))[i]
-                listed = lambda name: value(name).values.to_numpy(zero_copy_only=False)
-                keys, classes, lengths = listed("keys"), listed("classes"), listed("lengths")
-                counts = np.zeros(len(keys), np.int64)
-                if value("known").is_valid:
-                    known = value("known").values
-                    counts[known.field("at").to_numpy()] = known.field("count").to_numpy()
-                tokens = np.frombuffer(unpack.decompress(value("tokens").as_py()), "<i4")
-                symbol, within = vocabulary.symbols(keys, counts, classes)
-                ends = np.concatenate([[0], np.cumsum(lengths)])
-
-                def sums(per_word: np.ndarray, tokens=tokens, ends=ends) -> np.ndarray:
-                    total = np.concatenate([[0], per_word[tokens]])
-                    return np.array([total[a + 1 : b + 1].sum() for a, b in zip(ends[:-1], ends[1:], strict=True)])
-
-                coded = np.insert(symbol.astype("<u2")[tokens], ends[1:], 0)
-                bounds = ends + np.arange(len(ends))
-                part = (mix(np.uint64(value("chunk").as_py()) + np.arange(len(lengths), dtype=np.uint64)) % np.uint64(PARTS)).astype(np.int32)
-                columns = [
-                    value("ids").values, value("train").values, part, lengths + 1, sums((counts > 0).astype(np.int64)).astype(np.int64) + (vocabulary.ends > 0),
-                    sums(vocabulary.base(counts)) + vocabulary.base(np.float64(vocabulary.ends)), sums(within),
-                    [coded[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)],
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            at, count = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            edges = np.unique([0, *np.flatnonzero(at < 0), len(at)]).tolist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if at[a] < 0:
+                    if body is not None:
+                        yield _recoded(vocabulary, chunk, body, places, known)
+                    chunk, body, places, known = batch.column(0)[a].as_py(), batch.column(3)[a], [], []
+                    a += 1
+                places.append(at[a:b])
+                known.append(count[a:b])
+        if body is not None:
+            yield _recoded(vocabulary, chunk, body, places, known)
 
     return recode
 
@@ -356,9 +369,10 @@ def encode(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
     by_class = words.filter(~often).groupBy("class").agg(F.sum("count"), F.count("*")).collect()  # CLASSES rows at most
     vocabulary = Vocabulary(tokens, distinct + (ends > 0), ends, frequent, {c: (n, v) for c, n, v in by_class})
 
-    asked = pairs.select("key", "chunk", "at").join(words.select("key", "count"), "key")
-    known = asked.groupBy("chunk").agg(F.collect_list(F.struct("at", "count")).alias("known"))
-    coded = chunks.drop("counts").join(known, "chunk", "left").mapInArrow(_recode(vocabulary), CODED)
+    own = chunks.select("chunk", F.lit(-1).alias("at"), F.lit(0).cast("long").alias("count"), F.struct("keys", "classes", "ids", "train", "lengths", "tokens").alias("body"))
+    known = pairs.select("key", "chunk", "at").join(words.select("key", "count"), "key").select("chunk", "at", "count", F.lit(None).cast(own.schema["body"].dataType).alias("body"))
+    dealt = own.unionByName(known).repartition(partitions(docs.sparkSession), "chunk").sortWithinPartitions("chunk", "at")
+    coded = dealt.mapInArrow(_recode(vocabulary), CODED)
     return stored(coded, "symbols"), vocabulary
 
 
