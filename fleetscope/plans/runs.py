@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from fleetscope import thresholds as T
 from fleetscope.functions.classify import redact_conf
-from fleetscope.operators.skew import dense_number, skew_join
+from fleetscope.operators.intervals import inside
+from fleetscope.operators.skew import dense_number
 from fleetscope.operators.throttle import throttle
 from fleetscope.plans.history import TITLE_KEY, accumulate
 from fleetscope.plans.report import COMPONENTS
@@ -29,9 +30,7 @@ def start_runs(requests: DataFrame, clusters: DataFrame) -> DataFrame:
 def assign(reports: DataFrame, runs: DataFrame) -> DataFrame:
     """Rows of ``reports`` (any table with ``cluster_id, tick``) that fall into a run of their cluster."""
     windows = runs.select(*RUN, "start_tick", "stop_tick")
-    joined = skew_join(reports, windows, ["cluster_id"], "inner")
-    inside = (F.col("tick") >= F.col("start_tick")) & (F.col("stop_tick").isNull() | (F.col("tick") <= F.col("stop_tick")))
-    return joined.filter(inside).drop("start_tick", "stop_tick")
+    return inside(reports, windows, ["cluster_id"], "tick", "start_tick", "stop_tick").drop("start_tick", "stop_tick")
 
 
 def stop_runs(insights: DataFrame, report_ticks: DataFrame, runs: DataFrame) -> DataFrame:
