@@ -241,8 +241,7 @@ def pinned_sort(v):
     from fleetscope.operators.skew import dense_number
 
     order = tables.pinned_order("jobs", "num_completed_tasks", True, F.col("status") == "RUNNING")
-    pinned = F.when(F.col("status") == "RUNNING", 0).otherwise(1)
-    return dense_number(jobs(v), KEY, [*order, F.col("job_id")], [pinned, -F.col("num_completed_tasks")], "place").select(*KEY, "job_id", "status", "place")
+    return dense_number(jobs(v), KEY, [*order, F.col("job_id").asc()], None, "place").select(*KEY, "job_id", "status", "place")
 
 
 @query(
@@ -253,9 +252,7 @@ def executor_order(v):
     from fleetscope.operators.skew import dense_number
 
     order = tables.executor_order("memory_used", descending=True)
-    group = F.when(F.col("executor_id") == "driver", 0).when(F.col("is_active"), 1).otherwise(2)
-    band = -F.floor(F.log2(1.0 + F.col("memory_used")))
-    return dense_number(executors(v), KEY, [*order, F.col("pos")], [group, band], "place").select(*KEY, "executor_id", "place")
+    return dense_number(executors(v), KEY, [*order, F.col("pos").asc()], None, "place").select(*KEY, "executor_id", "place")
 
 
 @query(

@@ -19,3 +19,15 @@ def shared_folder(spark: SparkSession) -> str:
     """A folder that driver and executors share: the session's checkpoint folder, else its warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return (configured or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed and written to the session's checkpoint folder, so that plans built on it start anew.
+
+    Where no folder is set (a session of its own, as in tests) one in the warehouse is used. Spark removes the files with the
+    session's references to them, if told so (``spark.cleaner.referenceTracking.cleanCheckpoints``).
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(f"{shared_folder(df.sparkSession)}/checkpoints")
+    return df.checkpoint()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetscope import thresholds as T
 from fleetscope.functions.numbers import memory_pct, ratio
 from fleetscope.operators import timeline
+from fleetscope.operators.blocks import equal_blocks
 from fleetscope.operators.skew import skew_join
 from fleetscope.schemas import KEY
 
@@ -22,7 +23,7 @@ def tick_block() -> Column:
 def ring_buffer(polls: DataFrame, size: int = T.RING_SIZE) -> DataFrame:
     """Every good poll of a slot with the snapshots then in its buffer: count, oldest, sum of values."""
     good = polls.filter("ok")
-    order = timeline.numbered(good, SLOT, ["poll_ts", "snapshot_id"], timeline.day_of(F.col("poll_ts")))
+    order = timeline.numbered(good, SLOT, ["poll_ts", "snapshot_id"])
     frames = {"buffered": F.count("snapshot_id"), "oldest": F.min("poll_ts"), "total_value": F.sum("value")}
     return timeline.sliding(order, SLOT, "idx", size, frames)
 
@@ -63,14 +64,19 @@ def newest_points(points: DataFrame, column: str, cap: int = T.HISTORY_CAP) -> D
     return ranked.filter(F.col("age") <= cap).select(*KEY, column, "age")
 
 
+def _before(polls: DataFrame, value: Column, out: str) -> DataFrame:
+    """``value`` of the poll before, per cluster."""
+    order = ["poll_ts", "snapshot_id"]
+    blocked = equal_blocks(polls, ["cluster_id"], [F.col(c).asc() for c in order], "_eq")
+    return timeline.previous(blocked, ["cluster_id"], order, F.col("_eq"), value, out).drop("_eq")
+
+
 def state_changes(polls: DataFrame) -> DataFrame:
     """Polls at which the cluster state differs from the poll before.
 
     ``spark_unavailable`` marks the Spark slots bad; ``rediscover`` asks for a new application lookup.
     """
-    seen = timeline.previous(
-        polls, ["cluster_id"], ["poll_ts", "snapshot_id"], timeline.day_of(F.col("poll_ts")), F.col("state"), "previous_state"
-    )
+    seen = _before(polls, F.col("state"), "previous_state")
     changed = seen.filter(~F.col("state").eqNullSafe(F.col("previous_state")))
     return changed.withColumns(
         {
@@ -84,9 +90,7 @@ def state_changes(polls: DataFrame) -> DataFrame:
 def context_changes(polls: DataFrame) -> DataFrame:
     """Polls whose non-empty context id differs from the last non-empty one."""
     known = polls.filter(F.col("spark_context_id") != "")
-    seen = timeline.previous(
-        known, ["cluster_id"], ["poll_ts", "snapshot_id"], timeline.day_of(F.col("poll_ts")), F.col("spark_context_id"), "previous_id"
-    )
+    seen = _before(known, F.col("spark_context_id"), "previous_id")
     return seen.filter(F.col("previous_id").isNotNull() & (F.col("previous_id") != F.col("spark_context_id")))
 
 
@@ -99,9 +103,9 @@ def slot_asof(spine: DataFrame, polls: DataFrame) -> DataFrame:
     marks = spine.select(*SLOT, F.col("at").alias("ts"), F.lit(1).alias("is_mark"), F.lit(None).cast("bigint").alias("snapshot_id"))
     data = polls.filter("ok").select(*SLOT, F.col("poll_ts").alias("ts"), F.lit(0).alias("is_mark"), "snapshot_id")
     both = marks.unionByName(data).withColumn("tie", F.coalesce("snapshot_id", F.lit(0)))
-    found = timeline.last_known(
-        both, SLOT, ["ts", "is_mark", "tie"], timeline.day_of(F.col("ts")), F.col("snapshot_id"), "asof_snapshot"
-    )
+    order = ["ts", "is_mark", "tie"]
+    both = equal_blocks(both, SLOT, [F.col(c).asc() for c in order], "_eq")
+    found = timeline.last_known(both, SLOT, order, F.col("_eq"), F.col("snapshot_id"), "asof_snapshot")
     return found.filter(F.col("is_mark") == 1).select(*SLOT, F.col("ts").alias("at"), "asof_snapshot")
 
 

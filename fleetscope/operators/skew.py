@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fleetscope.operators.blocks import equal_blocks
+
 
 def skew_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Equi-join of rows with a table of facts, open to a split of skewed keys at run time.
@@ -53,15 +55,15 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFr
 
 
 def dense_number(
-    df: DataFrame, keys: list[str], order: list[Column], block: list[Column], out: str
+    df: DataFrame, keys: list[str], order: list[Column], block: list[Column] | None, out: str
 ) -> DataFrame:
     """``row_number`` per key without bringing a key together.
 
-    ``block`` must be a coarsening of ``order`` (a prefix, or a monotone bucket of it).
-    Rows are numbered inside their block and shifted by the rows of earlier blocks.
+    ``block`` must be a coarsening of ``order`` (a prefix, or a monotone bucket of it) that bounds a block's rows; without one,
+    blocks of equal rows are cut from the data. Rows are numbered inside their block and shifted by the rows of earlier blocks.
     """
-    names = [f"_b{i}" for i in range(len(block))]
-    blocked = df.select("*", *[b.alias(n) for b, n in zip(block, names)])
+    names = ["_b0"] if block is None else [f"_b{i}" for i in range(len(block))]
+    blocked = equal_blocks(df, keys, order, "_b0") if block is None else df.select("*", *[b.alias(n) for b, n in zip(block, names)])
     earlier = W.partitionBy(*keys).orderBy(*[F.col(n).asc() for n in names]).rowsBetween(W.unboundedPreceding, -1)
     shifts = (
         blocked.groupBy(*keys, *names)

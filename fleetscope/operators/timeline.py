@@ -1,6 +1,7 @@
-"""Ordered operators per series, cut into time blocks so that a long series spans many tasks.
+"""Ordered operators per series, cut into blocks so that a long series spans many tasks.
 
-``block`` is any monotone integer of the ordering column (a day number, ``tick div 4096``).
+``block`` is any monotone integer of the order: ``tick div 4096`` where a series has one row a tick, else the blocks of
+``operators.blocks.equal_blocks``.
 """
 
 from __future__ import annotations
@@ -14,10 +15,6 @@ from fleetscope.operators.skew import dense_number
 SLIDE_BLOCK = 4096
 
 
-def day_of(ts: Column) -> Column:
-    return F.unix_date(F.to_date(ts))
-
-
 def previous(df: DataFrame, keys: list[str], order: list[str], block: Column, value: Column, out: str) -> DataFrame:
     """``lag(value)``: null only on the first row of a series or where the earlier value is null."""
     df = df.withColumn("_blk", block).withColumn("_val", F.struct(value.alias("v")))
@@ -64,9 +61,25 @@ def last_known(df: DataFrame, keys: list[str], order: list[str], block: Column,
     )
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], block: Column, out: str = "idx") -> DataFrame:
+def next_known(df: DataFrame, keys: list[str], order: list[str], block: Column, value: Column, out: str) -> DataFrame:
+    """First non-null ``value`` from the row on."""
+    df = df.withColumn("_blk", block).withColumn("_val", value)
+    onwards = W.partitionBy(*keys, "_blk").orderBy(*[F.col(c).desc() for c in order]).rowsBetween(W.unboundedPreceding, 0)
+    known = F.when(F.col("_val").isNotNull(), F.struct(*order))
+    first = df.groupBy(*keys, "_blk").agg(F.min_by("_val", known).alias("_carry"))
+    later = W.partitionBy(*keys).orderBy(F.col("_blk").desc()).rowsBetween(W.unboundedPreceding, -1)
+    carry = first.withColumn("_carry", F.last("_carry", ignorenulls=True).over(later))
+    return (
+        df.withColumn("_seen", F.last("_val", ignorenulls=True).over(onwards))
+        .join(carry, [*keys, "_blk"], "left")
+        .withColumn(out, F.coalesce("_seen", "_carry"))
+        .drop("_blk", "_val", "_seen", "_carry")
+    )
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], block: Column | None = None, out: str = "idx") -> DataFrame:
     """Place of the row in its series, from 1."""
-    return dense_number(df, keys, [F.col(c) for c in order], [block], out)
+    return dense_number(df, keys, [F.col(c).asc() for c in order], None if block is None else [block], out)
 
 
 def sliding(df: DataFrame, keys: list[str], idx: str, size: int, aggs: dict, span: int = SLIDE_BLOCK) -> DataFrame:

@@ -83,8 +83,7 @@ def accumulated_order(accumulated: DataFrame, group: list[str], out: str = "plac
     resolved = F.col("resolved_at").isNotNull()
     rank = F.when(resolved, -F.col("resolved_at")).otherwise(F.col("peak_rank"))
     order = [F.col("first_seen").asc(), *[F.col(c).asc() for c in TITLE_KEY]]
-    block = [resolved.cast("int"), rank, F.col("first_seen")]
-    return dense_number(accumulated, group, [resolved.cast("int").asc(), rank.asc(), *order], block, out)
+    return dense_number(accumulated, group, [resolved.cast("int").asc(), rank.asc(), *order], None, out)
 
 
 def top_issues(accumulated: DataFrame, group: list[str], active: int = T.TOP_ACTIVE, resolved: int = T.TOP_RESOLVED) -> DataFrame:

@@ -136,7 +136,7 @@ def limit_diff(diff: DataFrame, limit: int = T.DIFF_INSIGHTS) -> DataFrame:
     """The first ``limit`` insights of each change class, with the number left out."""
     group = ["run_a", "run_b", "change"]
     order = [F.col("peak_rank").asc(), F.col("first_seen").asc(), *[F.col(c).asc() for c in TITLE_KEY]]
-    numbered = dense_number(diff, group, order, [F.col("peak_rank"), F.col("first_seen")], "place")
+    numbered = dense_number(diff, group, order, None, "place")
     totals = diff.groupBy(*group).agg(F.count(F.lit(1)).alias("total"))
     listed = numbered.filter(F.col("place") <= limit).join(totals, group)
     return listed.withColumn("more", F.greatest(F.lit(0), F.col("total") - limit)).drop("total")

@@ -7,7 +7,7 @@ import statistics
 
 from pyspark.sql import functions as F
 
-from fleetscope.operators import skew, timeline
+from fleetscope.operators import blocks, skew, timeline
 from fleetscope.operators.quantiles import task_quantiles
 from fleetscope.operators.throttle import throttle
 from fleetscope.plans.history import accumulate, episodes
@@ -57,6 +57,7 @@ def test_timeline_operators(spark):
     prev = {r.t: r.x for r in timeline.previous(df, ["k"], ["t"], block, F.col("v"), "x").collect()}
     nxt = {r.t: r.x for r in timeline.following(df, ["k"], ["t"], block, F.col("t"), "x").collect()}
     last = {r.t: r.x for r in timeline.last_known(df, ["k"], ["t"], block, F.col("v"), "x").collect()}
+    ahead = {r.t: r.x for r in timeline.next_known(df, ["k"], ["t"], block, F.col("v"), "x").collect()}
     index = timeline.numbered(df, ["k"], ["t"], block)
     slid = {r.t: (r.n, r.lo) for r in timeline.sliding(index, ["k"], "idx", 6, {"n": F.count("t"), "lo": F.min("t")}, span=16).collect()}
     known = None
@@ -65,6 +66,7 @@ def test_timeline_operators(spark):
         assert prev[t] == (rows[i - 1][2] if i else None)
         assert nxt[t] == (times[i + 1] if i + 1 < len(times) else None)
         assert last[t] == known
+        assert ahead[t] == next((x for _, _, x in rows[i:] if x is not None), None)
         assert slid[t] == (min(i + 1, 6), times[max(0, i - 5)])
 
 
@@ -83,14 +85,35 @@ def test_throttle_equals_greedy(spark):
         series[f"r{n}"] = [random.randrange(0, 4000) for _ in range(random.randrange(1, 400))]
     series["gaps"] = [x for base in (0, 10_000, 10_050, 90_000) for x in range(base, base + 200, 7)]
     df = frame(spark, [(k, t) for k, ts in series.items() for t in ts], "run string, ts long")
-    for gap, block in ((30, 100), (30, 37), (30, None), (7, 1000)):
+    df = df.unionByName(frame(spark, [("one", None), (None, 5)], "run string, ts long"))
+    for gap in (30, 1):
         out = {}
-        for r in throttle(df, ["run"], "ts", gap, block).collect():
+        for r in throttle(df, ["run"], "ts", gap).collect():
             out.setdefault(r.run, []).append(r.ts)
         assert {k: sorted(v) for k, v in out.items()} == {k: greedy(ts, gap) for k, ts in series.items()}
     assert greedy(series["fixed"], 30) == [0, 30, 60, 95]
 
 
+def test_throttle_of_a_million_polls_of_one_slot_over_fifty_tasks(spark):
+    polls = spark.range(0, 1_000_000, 1, 50).select(F.lit("slot").alias("run"), (F.col("id") * 3 + F.col("id") % 2).alias("ts"))
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    kept = sorted(r.ts for r in throttle(polls, ["run"], "ts", 20_000).collect())
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.catalog.clearCache()
+    assert kept == greedy([i * 3 + i % 2 for i in range(1_000_000)], 20_000)
+
+
+def test_blocks_are_equal_for_one_key_one_day_and_one_tick(spark):
+    rows = spark.range(0, 60_000).select(F.lit("c").alias("k"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("ts"), ((F.col("id") * 7919) % 60_000).alias("i"))
+    blocked = blocks.equal_blocks(rows, ["k"], [F.col("ts").asc(), F.col("i").asc()], "b", 12)
+    found = blocked.groupBy("b").agg(F.count("*").alias("n"), F.min("i").alias("lo"), F.max("i").alias("hi")).orderBy("b").collect()
+    assert len(found) == 12 and max(r.n for r in found) < 2 * 60_000 / 12
+    assert all(a.hi < b.lo for a, b in zip(found, found[1:]))
+    placed = skew.dense_number(rows, ["k"], [F.col("ts").asc(), F.col("i").asc()], None, "n")
+    assert placed.filter("n <> i + 1").count() == 0 and placed.count() == 60_000
+    spark.catalog.clearCache()
+
+
 def test_quantiles(spark):
     random.seed(2)
     values = [random.choice([0, 0, 3, -7, 50, 10**9]) + random.randrange(40) for _ in range(97)]
