@@ -35,6 +35,7 @@ TABLE = bytes(c if c in _KEEP else ord(chr(c).lower()) if 65 <= c <= 90 else 32
 
 RESULT = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 NAMES = ["n_words", "n_hit", "items", "spans"]
+OWN = ["_key", "_print"]
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -94,13 +95,13 @@ def _document_grams(filter_bits: bytes, short: tuple[int, ...]):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(np.frombuffer(filter_bits, np.uint8)).astype(bool)
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            by_text = [words_of(t) for t in _texts(batch.column(1))]
+            keys, prints = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            by_text = [words_of(t) for t in _texts(batch.column(2))]
             hashes = HASHES.of([w for ws in by_text for w in ws])
             grams, owners = kept_grams(hashes, np.array([len(ws) for ws in by_text], np.int64), short)
             hit = wanted[(grams & np.uint64(FILTER_BITS - 1)).astype(np.int64)]
-            rows = np.unique(np.rec.fromarrays([keys[owners[hit]], grams[hit].view(np.int64)]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows.f0), pa.int64()), pa.array(np.ascontiguousarray(rows.f1), pa.int64())], ["_key", "gram"])
+            rows = np.unique(np.rec.fromarrays([keys[owners[hit]], prints[owners[hit]], grams[hit].view(np.int64)]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[f]), pa.int64()) for f in ("f0", "f1", "f2")], [*OWN, "gram"])
 
     return find
 
@@ -201,9 +202,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "
     bits[np.array(facts["slots"], np.int64)] = True
     short = tuple(sorted(set(facts["short"]) - {0}))
 
-    key = F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID))
-    own = docs.select(key.alias("_key"), "text").mapInArrow(_document_grams(np.packbits(bits).tobytes(), short), "_key long, gram long")
-    pairs = own.join(grams.select("gram", "item"), "gram").select("_key", "item").distinct()
-    listed = pairs.join(items, "item").groupBy("_key").agg(F.collect_list(F.struct("item", "text")).alias("_items"))
-    joined = docs.withColumn("_key", key).join(listed, "_key", "left")
+    # rows are told apart by doc_id and text, so that many without an id, or with one, don't share each other's items
+    own = {"_key": F.coalesce(F.col(id_column).cast("long"), F.lit(NO_ID)), "_print": F.xxhash64(F.coalesce("text", F.lit("")))}
+    found = docs.select(*[c.alias(n) for n, c in own.items()], "text").mapInArrow(_document_grams(np.packbits(bits).tobytes(), short), "_key long, _print long, gram long")
+    pairs = found.join(grams.select("gram", "item"), "gram").select(*OWN, "item").distinct()
+    listed = pairs.join(items, "item").groupBy(*OWN).agg(F.collect_list(F.struct("item", "text")).alias("_items"))
+    joined = docs.withColumns(own).join(listed, OWN, "left")
     return joined.select(*docs.columns, F.arrow_udf(_judge, RESULT)("text", "_items").alias("_judged")).select(*docs.columns, "_judged.*")

@@ -52,7 +52,8 @@ EMISSION_PRIOR, MOVE_PRIOR = 50.0, 1.0
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SPACE = b" \t\n\r\x0b\x0c"
 
-CHUNKS = "chunk long, keys array<long>, counts array<long>, classes array<int>, ids array<long>, train array<boolean>, lengths array<long>, tokens binary"
+CHUNKS = "chunk long, keys array<long>, counts array<long>, classes array<int>, body binary"
+BODY = pa.schema([("ids", pa.int64()), ("train", pa.bool_()), ("lengths", pa.int64())])
 CODED = "doc_id long, train boolean, part int, n_tokens long, n_known long, base_score double, within double, symbols binary"
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -81,10 +82,33 @@ def word_class(word: bytes) -> int:
     return xxhash.xxh32_intdigest(word[-3:]) % CLASSES
 
 
+def packed(ids: list, train: list, lengths: list, classes: np.ndarray, tokens: np.ndarray) -> bytes:
+    """The documents of a chunk in one value: a column of lists would be sized anew for each row on its way to Python."""
+    with pa.BufferOutputStream() as out:
+        with pa.ipc.new_stream(out, BODY.with_metadata({"classes": pack(classes), "tokens": pack(tokens)})) as stream:
+            stream.write_batch(pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((ids, train, lengths), BODY.types, strict=True)], schema=BODY))
+        return out.getvalue().to_pybytes()
+
+
+def unpacked(body: bytes) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, whether they teach, their lengths, the classes of the chunk's words, and the tokens."""
+    stream = pa.ipc.open_stream(body)
+    table, more = stream.read_all().combine_chunks(), stream.schema.metadata
+    ids, train, lengths = (table[c].combine_chunks() for c in BODY.names)
+    return ids, train, lengths.to_numpy(), unpack(more[b"classes"]), unpack(more[b"tokens"])
+
+
+def pack(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values.astype("<i4").tobytes())
+
+
+def unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i4")
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
     names = [part.split()[0] for part in CHUNKS.split(", ")]
-    pack = zstandard.ZstdCompressor(level=1)
     first, done = TaskContext.get().partitionId() << 32, 0
 
     def record(words: Words, ids: list, train: list, lengths: list, tokens: list) -> pa.RecordBatch:
@@ -92,7 +116,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.bincount(flat[np.repeat(np.array(train, bool), lengths)], minlength=len(words)) if len(words) else np.zeros(0, np.int64)
         keys = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
         classes = np.fromiter(map(word_class, words), np.int32, len(words))
-        row = [first + done, keys, counts.astype(np.int64), classes, ids, train, lengths, pack.compress(flat.astype("<i4").tobytes())]
+        row = [first + done, keys, counts.astype(np.int64), classes, packed(ids, train, lengths, classes, flat)]
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
     words, ids, train, lengths, tokens, size = Words(), [], [], [], [], 0
@@ -133,23 +157,21 @@ class Vocabulary:
         return np.log10((counts + 1.0) / (self.tokens + self.distinct + 1.0))
 
     def symbols(self, keys: np.ndarray, counts: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The symbol of each word, and the log10 of its share of that symbol."""
+        """The symbol of each word, and the log10 of its share of that symbol. ``keys`` are 0 for words that aren't frequent."""
         at = np.searchsorted(self.frequent, keys)
-        at[at == len(self.frequent)] = 0
-        own = self.frequent[at] == keys if len(self.frequent) else np.zeros(len(keys), bool)
+        own = keys != 0
         share = np.log10((counts + 1.0) / (self.class_tokens[classes] + self.class_words[classes] + 1.0))
         return np.where(own, at + 1, 1 + len(self.frequent) + classes), np.where(own, 0.0, share)
 
 
-def _recoded(vocabulary: Vocabulary, chunk: int, body: pa.StructScalar, places: list[np.ndarray], known: list[np.ndarray]) -> pa.RecordBatch:
+def _recoded(vocabulary: Vocabulary, chunk: int, body: bytes, places: list[np.ndarray], known: list[np.ndarray], often: list[np.ndarray]) -> pa.RecordBatch:
     """The documents of a chunk as symbols, given the counts of its known words."""
     names = [part.split()[0] for part in CODED.split(", ")]
     kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
-    keys, classes, lengths = (body[c].values.to_numpy(zero_copy_only=False) for c in ("keys", "classes", "lengths"))
-    counts = np.zeros(len(keys), np.int64)
-    for at, count in zip(places, known, strict=True):
-        counts[at] = count
-    tokens = np.frombuffer(zstandard.ZstdDecompressor().decompress(body["tokens"].as_py()), "<i4")
+    ids, train, lengths, classes, tokens = unpacked(body)
+    counts, keys = np.zeros(len(classes), np.int64), np.zeros(len(classes), np.int64)
+    for at, count, key in zip(places, known, often, strict=True):
+        counts[at], keys[at] = count, key
     symbol, within = vocabulary.symbols(keys, counts, classes)
     ends = np.concatenate([[0], np.cumsum(lengths)])
 
@@ -161,7 +183,7 @@ def _recoded(vocabulary: Vocabulary, chunk: int, body: pa.StructScalar, places:
     bounds = ends + np.arange(len(ends))
     part = (mix(np.uint64(chunk) + np.arange(len(lengths), dtype=np.uint64)) % np.uint64(PARTS)).astype(np.int32)
     columns = [
-        body["ids"].values, body["train"].values, part, lengths + 1, sums((counts > 0).astype(np.int64)).astype(np.int64) + (vocabulary.ends > 0),
+        ids, train, part, lengths + 1, sums((counts > 0).astype(np.int64)).astype(np.int64) + (vocabulary.ends > 0),
         sums(vocabulary.base(counts)) + vocabulary.base(np.float64(vocabulary.ends)), sums(within),
         [coded[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)],
     ]
@@ -171,20 +193,21 @@ def _recoded(vocabulary: Vocabulary, chunk: int, body: pa.StructScalar, places:
 def _recode(vocabulary: Vocabulary):
     def recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each chunk's own row comes first, then a row for each of its known words."""
-        chunk, body, places, known = None, None, [], []
+        chunk, body, places, known, often = None, None, [], [], []
         for batch in batches:
-            at, count = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            at, count, key = (batch.column(c).to_numpy() for c in (1, 2, 3))
             edges = np.unique([0, *np.flatnonzero(at < 0), len(at)]).tolist()
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if at[a] < 0:
                     if body is not None:
-                        yield _recoded(vocabulary, chunk, body, places, known)
-                    chunk, body, places, known = batch.column(0)[a].as_py(), batch.column(3)[a], [], []
+                        yield _recoded(vocabulary, chunk, body, places, known, often)
+                    chunk, body, places, known, often = batch.column(0)[a].as_py(), batch.column(4)[a].as_py(), [], [], []
                     a += 1
                 places.append(at[a:b])
                 known.append(count[a:b])
+                often.append(key[a:b])
         if body is not None:
-            yield _recoded(vocabulary, chunk, body, places, known)
+            yield _recoded(vocabulary, chunk, body, places, known, often)
 
     return recode
 
@@ -361,7 +384,7 @@ def encode(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
     pairs = chunks.select("chunk", entry).select("chunk", "at", F.col("w.keys").alias("key"), F.col("w.counts").alias("n"), F.col("w.classes").alias("class"))
     counted = pairs.filter("n > 0").groupBy("key").agg(F.sum("n").alias("count"), F.first("class").alias("class"))
     words = stored(counted, "word-counts")
-    ends = chunks.agg(F.coalesce(F.sum(F.size(F.filter("train", lambda t: t))), F.lit(0))).first()[0]
+    ends = rows.filter("train").count()
     total, distinct = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     tokens = total + ends
     often = F.col("count") * FREQUENT >= tokens
@@ -369,8 +392,10 @@ def encode(docs: DataFrame) -> tuple[DataFrame, Vocabulary]:
     by_class = words.filter(~often).groupBy("class").agg(F.sum("count"), F.count("*")).collect()  # CLASSES rows at most
     vocabulary = Vocabulary(tokens, distinct + (ends > 0), ends, frequent, {c: (n, v) for c, n, v in by_class})
 
-    own = chunks.select("chunk", F.lit(-1).alias("at"), F.lit(0).cast("long").alias("count"), F.struct("keys", "classes", "ids", "train", "lengths", "tokens").alias("body"))
-    known = pairs.select("key", "chunk", "at").join(words.select("key", "count"), "key").select("chunk", "at", "count", F.lit(None).cast(own.schema["body"].dataType).alias("body"))
+    head, zero = F.lit(-1).alias("at"), F.lit(0).cast("long")
+    own = chunks.select("chunk", head, zero.alias("count"), zero.alias("often"), "body")
+    marked = words.select("key", "count", F.when(often, F.col("key")).otherwise(zero).alias("often"))
+    known = pairs.select("key", "chunk", "at").join(marked, "key").select("chunk", "at", "count", "often", F.lit(None).cast("binary").alias("body"))
     dealt = own.unionByName(known).repartition(partitions(docs.sparkSession), "chunk").sortWithinPartitions("chunk", "at")
     coded = dealt.mapInArrow(_recode(vocabulary), CODED)
     return stored(coded, "symbols"), vocabulary

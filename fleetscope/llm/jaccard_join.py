@@ -153,14 +153,15 @@ def _send(side: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [part.split()[0] for part in SQUARE.split(", ")]
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        done: set[bytes] = set()  # rows repeated under one doc_id come to one task and send their set once
         for batch in batches:
             out: list[list] = [[] for _ in names]
             size = 0
             for text, row in zip(_texts(batch.column(0)), batch.select(batch.schema.names[1:]).to_pylist(), strict=True):
-                grams = gram_set(text)
-                if _set_id(grams) != row["set"]:  # another text under the same doc_id
+                if row["set"] in done:
                     continue
-                packed = grams.tobytes()
+                done.add(row["set"])
+                packed = gram_set(text).tobytes()
                 for leaf in row["leaves"]:
                     blocks = -(-leaf["n"] // side)
                     mine = int.from_bytes(row["set"][:8], "little") % blocks
@@ -262,14 +263,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", recall: float =
     keyed = docs.select(key.alias("_key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_print"), "text")
     signed = stored(keyed.mapInArrow(_sign(runs * DEPTH), "_key long, _print long, set binary, size long, tokens array<long>"), "signatures")
     grouped = signed.filter("set is not null").groupBy("set").agg(
-        F.min("_key").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("tokens").alias("tokens")
+        F.min(F.struct("_key", "_print")).alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("tokens").alias("tokens")
     )
     sets = stored(grouped, "gram-sets")
 
     rows = with_news(leaves(sets.select("set", "size", "tokens"), runs, leaf), runs, leaf)
     wanted = rows.groupBy("set").agg(F.collect_list(F.struct("node", "run", "n")).alias("leaves"), F.first("met").alias("met"))
     wanted = wanted.join(sets.select("set", "rep", "copies"), "set")
-    sent = keyed.join(wanted, F.col("_key") == F.col("rep")).select("text", "set", "copies", "met", "leaves").mapInArrow(_send(leaf), SQUARE)
+    # the text of a set comes from one row's doc_id and text together: rows without an id share the former
+    named = wanted.select("*", "rep.*").drop("rep")
+    sent = keyed.join(named, ["_key", "_print"]).select("text", "set", "copies", "met", "leaves").mapInArrow(_send(leaf), SQUARE)
     squares = ["node", "run", "x", "y"]
     dealt = sent.repartition(partitions(docs.sparkSession), *squares).sortWithinPartitions(*squares)
     found = stored(dealt.mapInArrow(_compare, FOUND), "links")
@@ -278,7 +281,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", recall: float =
     roots = components(found.select(F.col("set").alias("a"), F.col("root").alias("b")))
     known = sets.select("set", "rep", "copies").join(links, "set", "left").join(roots.withColumnRenamed("node", "set"), "set", "left")
     known = stored(known.select("set", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "set").alias("root")), "sets-known")
-    classes = stored(known.groupBy("root").agg(F.min("rep").alias("class_id")), "classes")
+    classes = stored(known.groupBy("root").agg(F.min("rep._key").alias("class_id")), "classes")
     classed = known.join(classes, "root").select("set", "copies", "links", "root", "class_id")
     members = signed.select("_key", "_print", "set").join(stored(classed, "sets-classed"), "set", "left")
     best = members.filter("set is not null").groupBy("root").agg(F.min(F.struct("_key", "_print")).alias("_best"))

@@ -4,8 +4,8 @@ A text is a bag of passages of ``PASSAGE`` words. Each passage becomes shares of
 a small tanh layer encodes it. Gated attention, learnt from the documents' labels alone, weighs the encoded passages; a logistic
 unit scores their weighted sum.
 
-Fitting takes at most ``TRAIN_DOCS`` labelled documents (those with the least hash of doc_id; the documented bound) to the
-driver as passage features. Everything else, features and scores of all documents, runs in tasks on whole texts. The weights
+Fitting takes at most ``TRAIN_DOCS`` labelled documents (those with the least hash of doc_id) and of each at most
+``TRAIN_PASSAGES`` passages (drawn evenly) to the driver as features, 104 MB however long the texts are; these are the documented bounds. Everything else, features and scores of all documents, runs in tasks on whole texts. The weights
 (some 10,000 numbers) go with the tasks.
 
 Defined results: null and wordless texts have one passage of zeros and so a score; rows are scored one by one; labels that
@@ -27,6 +27,7 @@ from fleetscope.llm.common import batch_bytes
 PASSAGE = 64
 BINS = 256
 TRAIN_DOCS = 6_000
+TRAIN_PASSAGES = 32  # of a document, drawn if it has more
 HIDDEN, GATE = 24, 12
 EPOCHS, BAGS, RATE, DECAY = 30, 64, 0.01, 1e-4
 
@@ -103,12 +104,19 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, counts
 
 
+def _drawn(passages: np.ndarray) -> np.ndarray:
+    if len(passages) <= TRAIN_PASSAGES:
+        return passages
+    some = np.random.default_rng(len(passages)).choice(len(passages), TRAIN_PASSAGES, replace=False)
+    return passages[np.sort(some)]
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
             found, counts = features(*batch_bytes(part.column(1)))
-            rows = np.split(found, np.cumsum(counts)[:-1])
+            rows = [_drawn(r) for r in np.split(found, np.cumsum(counts)[:-1])]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([r.astype(np.float16).tobytes() for r in rows], pa.binary())], ["label", "passages"]
             )

@@ -21,7 +21,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain, repeat
+from itertools import repeat
 from pathlib import Path
 
 import numpy as np
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from fleetscope.llm.common import batch_bytes, partitions, stored
 
 NO_ID = -(1 << 63)  # stands for a null doc_id in a file
-KEPT_WORDS, KEPT_PARTS = 300_000, 500_000  # that a worker remembers
+KEPT_WORDS, KEPT_PARTS = 600_000, 600_000  # that a worker remembers
 MANIFEST = "part int, path string, bits int, n_docs long, n_ids long"
 
 #: Letters whose lower case is one letter, then ASCII punctuation without the apostrophe: the vocabulary's word rule cuts
@@ -44,16 +44,20 @@ WORD_THEN_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 AT_ONCE = 500  # parts encoded by one call
 
 
+END = b" "  # no word; stands for the end of a text
+
+
 class WordEncoder:
-    """Ids of whole texts, from ids of the parts of their white-space separated words, which are encoded once and remembered.
+    """Ids of whole texts, from ids of their white-space separated words, each kept in one table; new words are put together
+    from parts, which are encoded once and remembered too.
 
     Right for tokenizers that never join characters across white space, drop it, and mark the last id of a word.
     """
 
-    def __init__(self, tokenizer_json: str) -> None:
+    def __init__(self, tokenizer_json: str, end_id: int) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.tokenizer, self.end_id = Tokenizer.from_str(tokenizer_json), end_id
         model = json.loads(tokenizer_json)["model"]
         self.last = np.zeros(max(model["vocab"].values()) + 1, bool)  # ids that end a word
         self.last[[i for token, i in model["vocab"].items() if token.endswith(model["end_of_word_suffix"])]] = True
@@ -66,8 +70,10 @@ class WordEncoder:
         self._forget_words()
 
     def _forget_words(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.two = np.zeros((1 << 16, 2), np.int32)  # the parts of each word
+        self.words: dict[bytes, int] = {END: 0}
+        self.word_ids = np.full(1 << 16, self.end_id, np.uint32)
+        self.word_bounds = np.zeros(1 << 16, np.int64)
+        self.word_bounds[1] = 1
 
     def _encode_parts(self, parts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
@@ -105,61 +111,82 @@ class WordEncoder:
         if other:
             rows = self._encode_parts(list(other))
             self._keep(list(other), np.array([i for r in rows for i in r], np.int64), np.array([len(r) for r in rows]))
-        n = len(self.words)
-        while len(self.two) < n + len(words):
-            self.two = np.concatenate([self.two, np.zeros_like(self.two)])
-        self.two[n : n + len(words)] = [(self.parts[a], self.parts[b]) for a, b in split]
+        two = np.array([(self.parts[a], self.parts[b]) for a, b in split], np.int64).ravel()
+        ids, counts = _gathered(self.ids, self.bounds, two)
+        counts = counts.reshape(-1, 2).sum(axis=1)
+        n, used = len(self.words), int(self.word_bounds[len(self.words)])
+        while len(self.word_bounds) <= n + len(words):
+            self.word_bounds = np.concatenate([self.word_bounds, np.zeros_like(self.word_bounds)])
+        while len(self.word_ids) < used + len(ids):
+            self.word_ids = np.concatenate([self.word_ids, np.zeros_like(self.word_ids)])
+        self.word_ids[used : used + len(ids)] = ids
+        self.word_bounds[n + 1 : n + len(words) + 1] = used + np.cumsum(counts)
         self.words.update(zip(words, range(n, n + len(words)), strict=True))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and how many each text has."""
+        """All ids one after the other, each text's with the end id, and how many each text has."""
         if len(self.parts) > KEPT_PARTS:
             self._forget()
         elif len(self.words) > KEPT_WORDS:
             self._forget_words()
-        by_text = [t.split() for t in texts]
-        words = list(chain.from_iterable(by_text))
+        words, sizes = [], []
+        for text in texts:
+            words += text.split()
+            words.append(END)
+            sizes.append(len(words))
         at = np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
         unknown = np.flatnonzero(at < 0)
         if len(unknown):
             missed = [words[i] for i in unknown.tolist()]
             self._learn(list(dict.fromkeys(missed)))
             at[unknown] = np.fromiter(map(self.words.__getitem__, missed), np.int64, len(missed))
-        parts = self.two[at].ravel()
-        starts, counts = self.bounds[parts], self.bounds[parts + 1] - self.bounds[parts]
-        ends = np.cumsum(counts)
-        places = np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
-        ends = np.concatenate([[0], ends])[2 * np.cumsum([0, *map(len, by_text)])]
-        return self.ids[places], np.diff(ends)
+        ids, counts = _gathered(self.word_ids, self.word_bounds, at)
+        ends = np.cumsum(counts)[np.array(sizes, np.int64) - 1] if texts else np.zeros(0, np.int64)
+        return ids, np.diff(ends, prepend=0)
+
+
+def _gathered(ids: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the entries ``at``, one after the other, and how many each has."""
+    starts = bounds[at]
+    counts = bounds[at + 1] - starts
+    ends = np.cumsum(counts)
+    return ids[np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)], counts
 
 
 class TextEncoder:
     """Ids by one call a batch: for any tokenizer of the library."""
 
-    def __init__(self, tokenizer_json: str) -> None:
+    def __init__(self, tokenizer_json: str, end_id: int) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.tokenizer, self.end_id = Tokenizer.from_str(tokenizer_json), end_id
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        rows = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        rows = [[*e.ids, self.end_id] for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
         return np.array([i for r in rows for i in r], np.uint32), np.array([len(r) for r in rows], np.int64)
 
 
+#: The steps, as the vocabulary file words them, that ``WordEncoder`` does itself.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
 def cuts_at_spaces(tokenizer: dict) -> bool:
-    """Whether white space is dropped and words carry an end mark, so that words can be encoded apart."""
-    model, steps = tokenizer["model"], json.dumps(tokenizer.get("pre_tokenizer"))
-    plain = '"add_prefix_space": false' in steps and '"behavior": "Removed", "invert": true' in steps and r"[^\\s\\p{L}\\p{N}]+" in steps
-    return model.get("end_of_word_suffix") == "</w>" and plain and tokenizer.get("post_processor") is None
+    """Whether the vocabulary has exactly the normalizer and word rule of ``WordEncoder``; any other one is left to ``TextEncoder``."""
+    model, steps = tokenizer["model"], tokenizer.get("pre_tokenizer")
+    plain = model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and tokenizer.get("post_processor") is None
+    cut = tokenizer.get("truncation") is None and tokenizer.get("padding") is None
+    return plain and cut and tokenizer.get("normalizer") == NORMALIZER and steps == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]}
 
 
 ENCODERS: dict[int, object] = {}  # of this worker, by checksum of the vocabulary file
 
 
-def _encoder(vocabulary: str):
-    key = zlib.crc32(vocabulary.encode())
+def _encoder(vocabulary: str, end_id: int):
+    key = zlib.crc32(vocabulary.encode(), end_id)
     if key not in ENCODERS:
-        ENCODERS[key] = (WordEncoder if cuts_at_spaces(json.loads(vocabulary)) else TextEncoder)(vocabulary)
+        ENCODERS[key] = (WordEncoder if cuts_at_spaces(json.loads(vocabulary)) else TextEncoder)(vocabulary, end_id)
     return ENCODERS[key]
 
 
@@ -177,7 +204,7 @@ def _slices(texts: list[bytes], most: int = 1 << 22) -> Iterator[tuple[int, int]
 
 def _writer(vocabulary: str, folder: str, bits: int, end_id: int) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = _encoder(vocabulary), TaskContext.get().partitionId()
+        encoder, part = _encoder(vocabulary, end_id), TaskContext.get().partitionId()
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         name, own = f"{root}/part-{part:05d}", f"{root}/.{uuid.uuid4().hex}"
@@ -191,9 +218,7 @@ def _writer(vocabulary: str, folder: str, bits: int, end_id: int) -> Callable:
             texts = [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             for a, b in _slices(texts):
                 ids, counts = encoder.encode(texts[a:b])
-                ends = np.cumsum(counts)
-                ids = np.insert(ids, ends, end_id)
-                starts = n_ids + np.concatenate([[0], (ends + np.arange(1, len(ends) + 1))[:-1]])
+                starts = n_ids + np.cumsum(counts) - counts
                 out["bin"].write(ids.astype(f"<u{bits // 8}").tobytes())
                 out["idx"].write(starts.astype("<i8").tobytes())
                 n_ids += len(ids)

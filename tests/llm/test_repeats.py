@@ -111,3 +111,14 @@ def test_components_of_a_long_chain(spark):
     random.Random(1).shuffle(edges)
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 103: 100, 105: 100, 200: 200, 201: 200}
+
+
+def test_many_rows_without_an_id_are_compared_as_with_ids(spark):
+    words, draw = _vocabulary(9), random.Random(9)
+    rows = []
+    for i in range(2500):
+        own = [draw.choice(words) for _ in range(60)]
+        rows += [(None, " ".join(own)), (None if i % 2 else 3, " ".join([*own[:-1], "other"]))]
+    got = jaccard_join.near_duplicates(_docs(spark, rows)).collect()
+    assert len(got) == 5000 and all(r.n_links == 1 for r in got)
+    assert all(r.class_id is None for r in got) and sum(r.first for r in got) == 2500

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import random
+import json
 import zlib
 
 import numpy as np
@@ -132,10 +133,33 @@ def _library(texts, path=PATH):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from("aB cé É.,'!?09<|\n\t́ ß#Σ“”s'tl"), max_size=30) | st.text(max_size=20) | st.just("x<|endoftext|> end's ok."), max_size=6))
 def test_words_apart_give_the_librarys_ids(texts):
-    encoder = ENCODERS.setdefault(0, token_files.WordEncoder(open(PATH).read()))
+    encoder = ENCODERS.setdefault(0, token_files.WordEncoder(open(PATH).read(), 2))
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
     ids, counts = encoder.encode([t.encode() for t in texts])
-    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])][: len(texts)] == _library(texts)[: len(texts)] or not texts
+    assert len(counts) == len(texts) and int(counts.sum()) == len(ids)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])][: len(texts)] == [[*x, 2] for x in _library(texts)] or not texts
+
+
+@pytest.mark.parametrize("change", ["none", "cased", "marks", "rule"])
+def test_other_vocabularies_get_the_librarys_ids_too(change):
+    """Vocabularies of the same kind but with another normalizer or word rule are encoded whole."""
+    from tokenizers import Tokenizer
+
+    vocabulary = json.loads(open(PATH).read())
+    if change == "none":
+        vocabulary["normalizer"] = None
+    elif change == "cased":
+        vocabulary["normalizer"]["normalizers"].pop()
+    elif change == "marks":
+        vocabulary["normalizer"]["normalizers"].append({"type": "StripAccents"})
+    else:
+        vocabulary["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": r"[^\s\p{L}\p{N}]+|[\p{L}]+|[\p{N}]+"}
+    text = json.dumps(vocabulary)
+    texts = ["Hello World", "ÉTÉ, 12 Don't", "a  b\n C"]
+    want = [[*e.ids, 2] for e in Tokenizer.from_str(text).encode_batch(texts, add_special_tokens=False)]
+    ids, counts = token_files._encoder(text, 2).encode([t.encode() for t in texts])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+    assert token_files.cuts_at_spaces(json.loads(open(PATH).read())) and not token_files.cuts_at_spaces(vocabulary)
 
 
 ENCODERS: dict = {}
@@ -144,10 +168,10 @@ ENCODERS: dict = {}
 def test_forgetting_words_changes_nothing(monkeypatch):
     monkeypatch.setattr(token_files, "KEPT_WORDS", 5)
     monkeypatch.setattr(token_files, "KEPT_PARTS", 60)
-    encoder = token_files.WordEncoder(open(PATH).read())
+    encoder = token_files.WordEncoder(open(PATH).read(), 2)
     texts = [_prose(n % 3, 40) for n in range(9)]
     for t, want in zip(texts, _library(texts)):
-        assert encoder.encode([t.encode()])[0].tolist() == want
+        assert encoder.encode([t.encode()])[0].tolist() == [*want, 2]
 
 
 @pytest.mark.parametrize(("file", "bits"), [("word_bpe_49k.json", 16), ("byte_bpe_50k.json", 16)])
@@ -275,3 +299,13 @@ def test_labels_of_one_kind_give_their_share(spark, labels):
     docs = _docs(spark, ["a b", None]).withColumn("score", F.lit("clash"))
     model = mil_quality.fit_quality(docs, spark.createDataFrame(labels, "doc_id long, label int"))
     assert {r.score for r in mil_quality.score_quality(docs, model).collect()} == {1.0 if labels[:1] == [(0, 1)] else 0.5}
+
+
+def test_many_rows_without_an_id_are_judged_as_fast_as_with_ids(spark):
+    """5,000 documents, each with an item of its own in it: no row is held against another's items."""
+    items = [(str(i), " ".join(f"w{i}x{j}" for j in range(14))) for i in range(5000)]
+    rows = [(None if i % 2 else 7, f"start {t} end {i % 5}") for i, (_, t) in enumerate(items)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    got = decontamination.find_contamination(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), bench).select("doc_id", "n_words", "n_hit", "items").collect()
+    assert len(got) == 5000 and all((r.n_words, r.n_hit, len(r["items"])) == (17, 14, 1) for r in got)
+    assert sorted(r["items"][0] for r in got) == sorted(i for i, _ in items)
