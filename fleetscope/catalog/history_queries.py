@@ -185,19 +185,33 @@ def report_dedup(v):
     return once.groupBy(*KEY).agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("rows"))
 
 
+def _node(name: str, metrics: str = "array()", children: str | None = None) -> str:
+    below = "" if children is None else f", 'children', array({children})"
+    return f"named_struct('nodeName', '{name}', 'metrics', {metrics}{below})"
+
+
+def _metric(name: str, value: str) -> str:
+    return f"named_struct('name', '{name}', 'value', {value})"
+
+
+_SPREAD = "' KiB (0.0 B, 1.0 KiB, 2.0 KiB (stage 3.0: task 5))'"
+_PARQUET = _node("Scan parquet", f"array({_metric('size of files read', 'concat(duration_ms * 400, chr(32), chr(66))')}, {_metric('number of output rows', 'format_number(duration_ms, 0)')})")
+_ORC = _node("FileScan orc", f"array({_metric('bytesRead', 'cast(duration_ms * 600 as string)')}, {_metric('scan time', '(chr(55))')})")
+_SHUFFLE = f"concat('total (min, med, max (stageId: taskId))', chr(10), duration_ms * 7, {_SPREAD})"
+
+
 @query(
     "sql_io",
     """select cluster_id, tick, execution_id, duration_ms*1000 scan_bytes, duration_ms rows_scanned,
- case when failed_jobs>0 then null else duration_ms*7 end shuffle_bytes from tv_sqls""",
+ case when failed_jobs>0 then null else duration_ms*7*1024 end shuffle_bytes from tv_sqls""",
 )
 def sql_io(v):
-    nodes = F.expr(
-        "array(named_struct('nodeName', 'Scan parquet', 'metrics', array(named_struct('name','bytesRead','value', concat(duration_ms*400, ' B')),"
-        " named_struct('name','number of output rows','value', cast(duration_ms as string)))),"
-        " named_struct('nodeName', 'FileScan orc', 'metrics', array(named_struct('name','bytesRead','value', cast(duration_ms*600 as string)))),"
-        " case when size(failed_job_ids) = 0 then named_struct('nodeName', 'Exchange', 'metrics', array(named_struct('name','data size total','value', cast(duration_ms*7 as string)))) end)"
-    )
-    return reports.sql_io(sqls(v).select(*KEY, "execution_id", nodes.alias("nodes")))
+    """Plan documents of three to five levels, with sizes, grouped digits and spread texts as metrics."""
+    scans = _node("Union", "array()", f"{_node('WholeStageCodegen (1)', 'array()', _PARQUET)}, {_node('ColumnarToRow', 'array()', _ORC)}")
+    exchange = _node("Exchange", f"array({_metric('data size', _SHUFFLE)})", scans)
+    plain, shuffled = _node("AdaptiveSparkPlan", "array()", scans), _node("AdaptiveSparkPlan", "array()", exchange)
+    plan_ = F.expr(f"case when size(failed_job_ids) > 0 then to_json({plain}) else to_json({shuffled}) end")
+    return reports.sql_io(sqls(v).select(*KEY, "execution_id", plan_.alias("plan")))
 
 
 # ---------------------------------------------------------------- accumulated insights

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fleetscope.catalog.oracle_base import CTES
 from fleetscope.catalog.registry import query
 from fleetscope.schemas import KEY
+from fleetscope.sources import event_log
 from fleetscope.sources import rest_documents as rest
 
 GMT = "date_format({0}, \"yyyy-MM-dd'T'HH:mm:ss.SSS'GMT'\")"
@@ -215,3 +216,82 @@ def ingest_libraries(v):
     return rest.ingest_libraries(raw).select(F.col("pos").alias("p_partkey"), "library_type", "name", "status")
 
 
+
+
+# ---------------------------------------------------------------- event log
+
+YEAR_S = 31_536_000
+_TICK = f"cast(floor({{0}} / {1000 * YEAR_S}) as int)"
+CTES["g_tasks"] = "select *, epoch_us(launch_time)//1000 + duration_ms done_ms from tv_tasks where status<>'RUNNING'"
+CTES["g_spans"] = f"""
+select cluster_id, 'job' kind, cast(job_id as varchar) id, epoch_us(submission_time)//1000 a, epoch_us(completion_time)//1000 b, status final, num_tasks n1, cast(1 as bigint) n2 from tv_jobs
+union all select cluster_id, 'sql', cast(execution_id as varchar), epoch_us(submission_time)//1000, case when status<>'RUNNING' then epoch_us(submission_time)//1000 + duration_ms end, status, duration_ms, 0 from tv_sqls
+union all select cluster_id, 'stage', cast(stage_id as varchar), min(epoch_us(launch_time)//1000), case when stage_id%2=0 then max(done_ms) end, case when stage_id=4 then 'FAILED' else 'COMPLETE' end, 0, 0 from g_tasks group by cluster_id, stage_id
+union all select cluster_id, 'executor', executor_id, min(epoch_us(launch_time)//1000), case when executor_id='6' then max(done_ms) end, 'REMOVED', 0, 0 from g_tasks group by cluster_id, executor_id"""
+CTES["g_ticks"] = f"""select distinct cluster_id, {_TICK.format('ms')} tick from
+ (select cluster_id, unnest([a, b]) ms from g_spans union all select cluster_id, done_ms from g_tasks) e where ms is not null"""
+CTES["g_shown"] = f"""select s.*, t.tick, b is not null and t.tick>={_TICK.format('b')} ended from g_spans s join g_ticks t
+ on s.cluster_id=t.cluster_id and t.tick>={_TICK.format('a')} and (b is null or t.tick<={_TICK.format('b')})"""
+CTES["g_counts"] = f"""select cluster_id, {_TICK.format('done_ms')} tick, 'stage' kind, cast(stage_id as varchar) id, count_if(status='SUCCESS') c1, sum(shuffle_read) c2 from g_tasks group by all
+union all select cluster_id, {_TICK.format('done_ms')}, 'executor', executor_id, count_if(status='SUCCESS'), sum(gc_ms) from g_tasks group by all"""
+
+
+@query(
+    "ingest_event_log",
+    f"""select g.cluster_id, g.tick, g.kind, g.id,
+ case when not ended then case g.kind when 'stage' then 'ACTIVE' when 'executor' then 'ADDED' else 'RUNNING' end else final end status,
+ cast(case g.kind when 'job' then n1 when 'sql' then case when ended then n1 else 0 end else coalesce(c1, 0) end as bigint) first_count,
+ cast(case g.kind when 'job' then n2 when 'sql' then case when j.b is not null and {_TICK.format('j.b')}<=g.tick and j.final='FAILED' then 1 else 0 end else coalesce(c2, 0) end as bigint) second_count
+ from g_shown g left join g_counts c on g.cluster_id=c.cluster_id and g.tick=c.tick and g.kind=c.kind and g.id=c.id
+ left join (select * from g_spans where kind='job') j on g.kind='sql' and g.cluster_id=j.cluster_id and g.id=j.id""",
+)
+def ingest_event_log(v):
+    """Jobs, queries, stages and executors of the log that Spark writes of the sample's work, as text lines, at ticks of a year."""
+    log = event_log.EventLog(event_log.parse_events(_event_lines(v)), YEAR_S)
+    jobs = log.jobs.selectExpr(*KEY, "'job' kind", "cast(job_id as string) id", "status", "num_tasks first_count", "cast(size(stage_ids) as bigint) second_count")
+    sql = log.sql_queries.selectExpr(*KEY, "'sql' kind", "cast(execution_id as string) id", "status", "duration_ms first_count", "cast(size(failed_job_ids) as bigint) second_count")
+    stages = log.stages.selectExpr(*KEY, "'stage' kind", "cast(stage_id as string) id", "status", "num_complete_tasks first_count", "shuffle_read_bytes second_count")
+    executors = log.executors.selectExpr(
+        *KEY, "'executor' kind", "executor_id id", "if(is_active, 'ADDED', 'REMOVED') status", "completed_tasks first_count", "total_gc_time_ms second_count"
+    )
+    return jobs.unionByName(sql).unionByName(stages).unionByName(executors)
+
+
+def _event_lines(v):
+    """JSON lines of an event log, with start and end events in separate lines."""
+    ms = lambda c: f"cast(floor(unix_micros(cast({c} as timestamp)) / 1000) as bigint)"
+    lines = lambda df, *fields: df.selectExpr("cluster_id", "to_json(named_struct(" + ", ".join(fields) + ")) value")
+    event = lambda name: f"'Event', '{name}'"
+    tasks = v.view("tasks").filter("status <> 'RUNNING'").selectExpr("*", f"{ms('launch_time')} + duration_ms done_ms", f"{ms('launch_time')} from_ms")
+    out = [
+        lines(
+            tasks, event("SparkListenerTaskEnd"), "'Stage ID', stage_id", "'Stage Attempt ID', 0",
+            "'Task End Reason', named_struct('Reason', if(status = 'SUCCESS', 'Success', 'ExceptionFailure'), 'Description', error_message)",
+            "'Task Info', named_struct('Task ID', task_id, 'Attempt', attempt, 'Launch Time', from_ms, 'Finish Time', done_ms, 'Executor ID', executor_id,"
+            " 'Failed', status = 'FAILED', 'Killed', status = 'KILLED')",
+            "'Task Metrics', named_struct('Executor Run Time', duration_ms, 'JVM GC Time', gc_ms, 'Shuffle Read Metrics', named_struct('Remote Bytes Read', shuffle_read))",
+        )
+    ]
+    jobs = v.jobs
+    stage_infos = "array(named_struct('Stage ID', stage_ref, 'Number of Tasks', num_tasks))"
+    out.append(lines(jobs, event("SparkListenerJobStart"), "'Job ID', job_id", f"'Submission Time', {ms('submission_time')}", "'Stage IDs', stage_ids",
+                     f"'Stage Infos', {stage_infos}", "'Properties', map('spark.job.description', name, 'spark.sql.execution.id', cast(job_id as string))"))
+    out.append(lines(jobs.filter("completion_time is not null"), event("SparkListenerJobEnd"), "'Job ID', job_id", f"'Completion Time', {ms('completion_time')}",
+                     "'Job Result', named_struct('Result', if(status = 'SUCCEEDED', 'JobSucceeded', 'JobFailed'))"))
+    sql = v.view("sqls")
+    start = f"'time', {ms('submission_time')}"
+    out.append(lines(sql, event(f"{event_log.SQL}Start"), "'executionId', execution_id", "'description', description", start, "'sparkPlanInfo', named_struct('nodeName', 'Range')"))
+    out.append(lines(sql.filter("status <> 'RUNNING'"), event(f"{event_log.SQL}End"), "'executionId', execution_id", f"'time', {ms('submission_time')} + duration_ms",
+                     "'errorMessage', if(status = 'FAILED', 'boom', '')"))
+    stages = tasks.groupBy("cluster_id", "stage_id").agg(F.min("from_ms").alias("a"), F.max("done_ms").alias("b"), F.count("*").alias("n"))
+    info = "'Stage ID', stage_id, 'Stage Attempt ID', 0, 'Stage Name', 'step', 'Number of Tasks', n, 'Submission Time', a"
+    out.append(lines(stages, event("SparkListenerStageSubmitted"), f"'Stage Info', named_struct({info})"))
+    out.append(lines(stages.filter("stage_id % 2 = 0"), event("SparkListenerStageCompleted"),
+                     f"'Stage Info', named_struct({info}, 'Completion Time', b, 'Failure Reason', if(stage_id = 4, 'boom', null))"))
+    executors = tasks.groupBy("cluster_id", "executor_id").agg(F.min("from_ms").alias("a"), F.max("done_ms").alias("b"))
+    out.append(lines(executors, event("SparkListenerExecutorAdded"), "'Timestamp', a", "'Executor ID', executor_id", "'Executor Info', named_struct('Host', 'h', 'Total Cores', 4)"))
+    out.append(lines(executors.filter("executor_id = '6'"), event("SparkListenerExecutorRemoved"), "'Timestamp', b", "'Executor ID', executor_id", "'Removed Reason', 'worker lost'"))
+    all_lines = out[0]
+    for more in out[1:]:
+        all_lines = all_lines.unionByName(more)
+    return all_lines

@@ -181,21 +181,58 @@ def activity_points(executors: DataFrame) -> DataFrame:
     )
 
 
+NODE = "struct<nodeName:string,metrics:array<struct<name:string,value:string>>,children:array<string>>"
+#: Units of metric texts, as what one of them counts (bytes, milliseconds)
+UNITS = {
+    "B": 1, "KiB": 1 << 10, "MiB": 1 << 20, "GiB": 1 << 30, "TiB": 1 << 40, "PiB": 1 << 50, "EiB": 1 << 60,
+    "ms": 1, "s": 1000, "m": 60_000, "min": 60_000, "h": 3_600_000,
+}
+
+
+def plan_nodes(plan: Column) -> Column:
+    """All nodes of a plan document, whatever their depth: ``array<struct<nodeName, metrics>>``, level by level.
+
+    Each step reads one level and keeps the texts of its children for the next; a plan has no more levels than nodes.
+    """
+    empty = F.from_json(F.lit("[]"), f"array<{NODE}>")
+    first = F.struct(F.array(plan).alias("ahead"), empty.alias("nodes"))
+
+    def step(state: Column, _: Column) -> Column:
+        level = F.filter(F.transform(state["ahead"], lambda text: F.from_json(text, NODE)), lambda n: n.isNotNull())
+        children = F.flatten(F.transform(level, lambda n: F.coalesce(n["children"], F.array().cast("array<string>"))))
+        return F.when(F.size(state["ahead"]) == 0, state).otherwise(F.struct(children.alias("ahead"), F.concat(state["nodes"], level).alias("nodes")))
+
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.regexp_count(plan, F.lit('"nodeName"'))))
+    return F.aggregate(steps, first, step, lambda s: s["nodes"])
+
+
+def metric_value(text: Column) -> Column:
+    """The total of a metric text: ``1,234``, ``10.5 MiB``, or the first figure of the last line of ``total (min, med, max ...)``.
+
+    Sizes are in bytes, times in milliseconds, rounded; null if there is no figure.
+    """
+    last = F.element_at(F.split(F.trim(text), "\n"), -1)
+    number = F.regexp_replace(F.regexp_extract(last, r"^\s*([0-9][0-9,]*(?:\.[0-9]+)?)", 1), ",", "")
+    unit = F.regexp_extract(last, r"^\s*[0-9][0-9,.]*\s*([A-Za-z]+)", 1)
+    size = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in UNITS.items() for x in (pair[0], float(pair[1]))]), unit), F.lit(1.0))
+    return F.when((unit == "") & ~F.contains(number, F.lit(".")), number.try_cast("bigint")).otherwise(F.round(number.try_cast("double") * size).cast("bigint"))
+
+
 def sql_io(plans: DataFrame) -> DataFrame:
-    """Scan bytes, rows scanned and shuffle bytes per query from its plan nodes.
+    """Scan bytes, rows scanned and shuffle bytes of each query from its plan document; null where no node tells.
 
-    ``plans``: key, ``execution_id`` and ``nodes array<struct<nodeName, metrics array<struct<name, value>>>>``
-    with values as text.
+    ``plans``: key, ``execution_id`` and ``plan``, the JSON text of the root node (``nodeName``, ``metrics`` of ``name`` and ``value``,
+    nested ``children``). Nodes that only wrap others (stages of generated code, adaptive parts) are passed through.
     """
-    nodes = plans.select(*KEY, "execution_id", F.explode_outer("nodes").alias("node"))
+    nodes = plans.select(*KEY, "execution_id", F.explode_outer(plan_nodes(F.col("plan"))).alias("node"))
     metrics = nodes.select(*KEY, "execution_id", F.col("node.nodeName").alias("node"), F.explode_outer("node.metrics").alias("metric"))
-    value = F.expr("try_cast(regexp_replace(metric.value, '[^0-9]', '') as bigint)")
-    scan, exchange = F.col("node").contains("Scan"), F.col("node").contains("Exchange")
-    name = F.col("metric.name")
+    value, name = metric_value(F.col("metric.value")), F.col("metric.name")
+    scan, exchange = F.contains("node", F.lit("Scan")), F.contains("node", F.lit("Exchange"))
+    size = name.isin("bytesRead", "size of files read")
     return metrics.groupBy(*KEY, "execution_id").agg(
-        F.sum(F.when(scan & (name == "bytesRead"), value)).alias("scan_bytes"),
-        F.sum(F.when(scan & name.contains("output rows"), value)).alias("rows_scanned"),
-        F.sum(F.when(exchange & name.contains("data size"), value)).alias("shuffle_bytes"),
+        F.sum(F.when(scan & size, value)).alias("scan_bytes"),
+        F.sum(F.when(scan & F.contains(name, F.lit("output rows")), value)).alias("rows_scanned"),
+        F.sum(F.when(exchange & F.contains(name, F.lit("data size")), value)).alias("shuffle_bytes"),
     )
 
 

@@ -1,12 +1,34 @@
-"""Spark event logs (JSON lines) -> raw tasks: one row per finished task."""
+"""Spark event logs (JSON lines) -> the tables of an analysis.
+
+One schema reads all kinds of events in one pass. Start and end events of a job, stage, query or executor meet in one aggregate by its
+id (map-side merged, in any order, delivered twice or not), which gives its span in ticks; the ticks of the log within the
+span come from the interval join, so an entity is shown at every tick from its start to its end, running until then.
+Counters are those of the tasks that finished in the tick. What never ended is running at the last tick of its log.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetscope.operators.intervals import inside
+from fleetscope.operators.rollups import executor_rollup, stage_rollup
+from fleetscope.operators.skew import skew_join
+from fleetscope.schemas import CLUSTERS, EXECUTORS, JOBS, KEY, SQL_QUERIES, STAGES, Telemetry, conform
+
+_STAGE_INFO = (
+    "struct<`Stage ID`:bigint,`Stage Attempt ID`:int,`Stage Name`:string,`Number of Tasks`:bigint,`Submission Time`:bigint,"
+    "`Completion Time`:bigint,`Failure Reason`:string>"
+)
 SCHEMA = (
-    "Event string, `Stage ID` bigint, `Stage Attempt ID` int, `Task End Reason` struct<Reason:string,`Full Stack Trace`:string,Description:string>,"
+    "Event string, Timestamp bigint, `App Name` string, `Spark Properties` map<string,string>,"
+    "`Job ID` bigint, `Submission Time` bigint, `Completion Time` bigint, `Job Result` struct<Result:string>, `Stage IDs` array<bigint>,"
+    f" `Stage Infos` array<{_STAGE_INFO}>, Properties map<string,string>, `Stage Info` {_STAGE_INFO},"
+    "`Executor ID` string, `Executor Info` struct<Host:string,`Total Cores`:int>, `Removed Reason` string,"
+    "executionId bigint, description string, time bigint, errorMessage string, sparkPlanInfo string,"
+    " `Stage ID` bigint, `Stage Attempt ID` int, `Task End Reason` struct<Reason:string,`Full Stack Trace`:string,Description:string>,"
     "`Task Info` struct<`Task ID`:bigint,Index:bigint,Attempt:int,`Launch Time`:bigint,`Executor ID`:string,Host:string,Locality:string,"
     "Speculative:boolean,`Finish Time`:bigint,Failed:boolean,Killed:boolean>,"
     "`Task Metrics` struct<`Executor Run Time`:bigint,`Executor CPU Time`:bigint,`JVM GC Time`:bigint,`Memory Bytes Spilled`:bigint,"
@@ -21,6 +43,12 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).json(path)
 
 
+def parse_events(lines: DataFrame) -> DataFrame:
+    """Events from the text column ``value``; other columns stay. A line that isn't an object has no ``Event`` and is in no table."""
+    kept = [c for c in lines.columns if c != "value"]
+    return lines.select(*kept, F.from_json("value", SCHEMA).alias("_e")).select(*kept, "_e.*")
+
+
 def finished_tasks(events: DataFrame, cluster_id: str | None = None, tick_seconds: int | None = None) -> DataFrame:
     """``SparkListenerTaskEnd`` events as task rows; unlisted metrics are 0.
 
@@ -53,3 +81,133 @@ def finished_tasks(events: DataFrame, cluster_id: str | None = None, tick_second
         f"coalesce({info}.Speculative, false) as speculative", f"coalesce({info}.Locality, '') as task_locality",
         f"named_struct({metrics}) as metrics",
     )
+
+
+SQL = "org.apache.spark.sql.execution.ui.SparkListenerSQLExecution"
+EXECUTION_ID = "spark.sql.execution.id"
+
+
+@dataclass(frozen=True)
+class EventLog:
+    """The tables in the events of any number of logs. ``events`` has ``cluster_id`` and the columns of ``SCHEMA``."""
+
+    events: DataFrame
+    tick_seconds: int
+
+    def _tick(self, millis: Column) -> Column:
+        return F.floor(millis / (1000 * self.tick_seconds)).cast("int")
+
+    def _of(self, *kinds: str) -> DataFrame:
+        return self.events.filter(F.col("Event").isin(*kinds))
+
+    @property
+    def ticks(self) -> DataFrame:
+        """Ticks in which anything happened."""
+        info = [F.col("`Stage Info`").getField(c) for c in ("Completion Time", "Submission Time")]
+        at = F.coalesce("Timestamp", "Completion Time", "Submission Time", F.col("`Task Info`").getField("Finish Time"), *info, "time")
+        return self.events.select("cluster_id", self._tick(at).alias("tick")).dropna().distinct()
+
+    @property
+    def tasks(self) -> DataFrame:
+        return finished_tasks(self.events, tick_seconds=self.tick_seconds)
+
+    def _shown(self, spans: DataFrame) -> DataFrame:
+        """A row for each tick from ``_start`` to ``_end`` (milliseconds; a null end is open), and whether it has ended by then."""
+        placed = spans.withColumns({"_from": self._tick(F.col("_start")), "_upto": self._tick(F.col("_end"))})
+        rows = inside(self.ticks, placed, ["cluster_id"], "tick", "_from", "_upto")
+        return rows.withColumn("_ended", F.col("_upto").isNotNull() & (F.col("tick") >= F.col("_upto"))).drop("_from", "_upto")
+
+    @property
+    def job_spans(self) -> DataFrame:
+        start, result = F.col("Event") == "SparkListenerJobStart", F.col("`Job Result`").getField("Result")
+        infos = F.col("`Stage Infos`")
+        tasks = F.aggregate(F.coalesce(infos, F.array()), F.lit(0).cast("long"), lambda n, i: n + F.coalesce(i["Number of Tasks"], F.lit(0)))
+        first = F.struct(F.col("`Stage IDs`").alias("stage_ids"), tasks.alias("num_tasks"), F.col("Properties").alias("properties"))
+        return self._of("SparkListenerJobStart", "SparkListenerJobEnd").groupBy("cluster_id", F.col("`Job ID`").alias("job_id")).agg(
+            F.min("Submission Time").alias("_start"), F.max("Completion Time").alias("_end"), F.any_value(F.when(start, first), ignoreNulls=True).alias("f"), F.max(result).alias("_result")
+        )
+
+    @property
+    def jobs(self) -> DataFrame:
+        rows = self._shown(self.job_spans)
+        status = F.when(~F.col("_ended"), "RUNNING").when(F.col("_result") == "JobSucceeded", "SUCCEEDED").otherwise("FAILED")
+        name = F.coalesce(F.try_element_at("f.properties", F.lit("spark.job.description")), F.concat(F.lit("job "), "job_id"))
+        shown = rows.select(
+            *KEY, F.col("job_id").alias("pos"), "job_id", status.alias("status"), name.alias("name"), F.timestamp_millis("_start").alias("submission_time"),
+            F.when(F.col("_ended"), F.timestamp_millis("_end")).alias("completion_time"), F.col("f.num_tasks").alias("num_tasks"),
+            F.coalesce("f.stage_ids", F.array().cast("array<bigint>")).alias("stage_ids"),
+        )
+        return conform(shown.withColumn("num_stages", F.size("stage_ids")), JOBS)
+
+    @property
+    def stages(self) -> DataFrame:
+        events = self._of("SparkListenerStageSubmitted", "SparkListenerStageCompleted").select("cluster_id", "`Stage Info`.*")
+        spans = events.groupBy("cluster_id", F.col("`Stage ID`").alias("stage_id"), F.col("`Stage Attempt ID`").alias("attempt_id")).agg(
+            F.min("Submission Time").alias("_start"), F.max("Completion Time").alias("_end"), F.max("Stage Name").alias("name"),
+            F.max("Number of Tasks").alias("num_tasks"), F.max("Failure Reason").alias("_reason"),
+        )
+        rows = self._shown(spans)
+        id_ = [*KEY, "stage_id", "attempt_id"]
+        counted = stage_rollup(self.tasks, id_).drop("num_tasks", "submission_time")
+        status = F.when(~F.col("_ended"), "ACTIVE").when(F.col("_reason").isNull(), "COMPLETE").otherwise("FAILED")
+        rows = rows.withColumns({"status": status, "failure_reason": F.when(F.col("_ended"), F.col("_reason")), "pos": F.col("stage_id"),
+                                 "submission_time": F.timestamp_millis("_start"), "completion_time": F.when(F.col("_ended"), F.timestamp_millis("_end"))})
+        joined = skew_join(rows, counted, id_, "left")
+        return conform(joined.na.fill(0, [c for c in counted.columns if c not in id_]), STAGES)
+
+    @property
+    def executors(self) -> DataFrame:
+        added = F.col("Event") == "SparkListenerExecutorAdded"
+        spans = self._of("SparkListenerExecutorAdded", "SparkListenerExecutorRemoved").groupBy("cluster_id", F.col("`Executor ID`").alias("executor_id")).agg(
+            F.min(F.when(added, F.col("Timestamp"))).alias("_start"), F.max(F.when(~added, F.col("Timestamp"))).alias("_end"),
+            F.max(F.col("`Executor Info`").getField("Host")).alias("host_port"), F.max(F.col("`Executor Info`").getField("Total Cores")).alias("total_cores"),
+            F.max("Removed Reason").alias("_reason"),
+        )
+        rows = self._shown(spans)
+        id_ = [*KEY, "executor_id"]
+        counted = executor_rollup(self.tasks, id_)
+        rows = rows.withColumns({"is_active": ~F.col("_ended"), "max_tasks": F.col("total_cores"), "remove_reason": F.when(F.col("_ended"), F.col("_reason")).otherwise(""),
+                                 "pos": F.coalesce(F.expr("try_cast(executor_id as bigint)"), F.lit(0)), "add_time": F.timestamp_millis("_start"),
+                                 "remove_time": F.when(F.col("_ended"), F.timestamp_millis("_end"))})
+        joined = skew_join(rows, counted, id_, "left")
+        return conform(joined.na.fill(0, [c for c in counted.columns if c not in id_]), EXECUTORS)
+
+    @property
+    def sql_spans(self) -> DataFrame:
+        start = F.col("Event") == f"{SQL}Start"
+        return self._of(f"{SQL}Start", f"{SQL}End").groupBy("cluster_id", F.col("executionId").alias("execution_id")).agg(
+            F.min(F.when(start, F.col("time"))).alias("_start"), F.max(F.when(~start, F.col("time"))).alias("_end"),
+            F.max("description").alias("description"), F.max("errorMessage").alias("_error"), F.max("sparkPlanInfo").alias("plan"),
+        )
+
+    @property
+    def sql_queries(self) -> DataFrame:
+        rows = self._shown(self.sql_spans)
+        id_ = F.expr(f"try_cast(try_element_at(f.properties, '{EXECUTION_ID}') as bigint)")
+        jobs = self.job_spans.select("cluster_id", id_.alias("execution_id"), "job_id", "_end", (F.col("_result") == "JobSucceeded").alias("good")).filter("execution_id is not null")
+        ended = F.col("_job_tick").isNotNull() & (F.col("_job_tick") <= F.col("tick"))
+        # a query's own jobs, at each tick it is shown
+        started = jobs.withColumn("_job_tick", self._tick(F.col("_end"))).drop("_end")
+        facts = rows.select(*KEY, "execution_id").join(started, ["cluster_id", "execution_id"]).groupBy(*KEY, "execution_id").agg(
+            F.count_if(~ended).cast("int").alias("running_jobs"), F.count_if(ended & F.col("good")).cast("int").alias("success_jobs"),
+            F.sort_array(F.collect_list(F.when(ended & ~F.col("good"), F.col("job_id")))).alias("failed_job_ids"),
+        )
+        error = F.coalesce(F.col("_error"), F.lit("")) != ""
+        status = F.when(~F.col("_ended"), "RUNNING").when(error, "FAILED").otherwise("COMPLETED")
+        rows = rows.withColumns({"status": status, "pos": F.col("execution_id"), "submission_time": F.timestamp_millis("_start"),
+                                 "duration_ms": F.when(F.col("_ended"), F.col("_end") - F.col("_start"))})
+        joined = rows.join(facts, [*KEY, "execution_id"], "left").na.fill(0, ["running_jobs", "success_jobs", "duration_ms"])
+        return conform(joined.withColumn("failed_job_ids", F.coalesce("failed_job_ids", F.array().cast("array<bigint>"))), SQL_QUERIES)
+
+    @property
+    def clusters(self) -> DataFrame:
+        """Name and configuration, which hold for every tick."""
+        rows = self._of("SparkListenerApplicationStart", "SparkListenerEnvironmentUpdate").groupBy("cluster_id").agg(
+            F.max("App Name").alias("cluster_name"), F.any_value("Spark Properties", ignoreNulls=True).alias("spark_conf")
+        )
+        filled = rows.withColumn("spark_conf", F.coalesce("spark_conf", F.create_map().cast("map<string,string>")))
+        return conform(filled, CLUSTERS)
+
+    @property
+    def telemetry(self) -> Telemetry:
+        return Telemetry(executors=self.executors, stages=self.stages, jobs=self.jobs, sql_queries=self.sql_queries, clusters=self.clusters)

@@ -16,7 +16,7 @@ from fleetscope.plans.report import DiagnosticPlan
 from fleetscope.schemas import KEY, conform
 from fleetscope.plans.insights import SCHEMAS
 from fleetscope.sources.sample_views import SampleViews
-from fleetscope.streaming import state
+from fleetscope.streaming import ordered, state
 from fleetscope.streaming.history import HistoryStream
 from fleetscope.streaming.reports import TICKED, ReportStream
 from fleetscope.streaming.rules import row_findings, row_rules
@@ -102,27 +102,81 @@ def test_history_attached_to_a_stream(spark):
     found.unpersist(), spine.unpersist()
 
 
-def test_staleness_of_a_stream_in_any_order(spark):
-    polls = SampleViews(spark, SF).view("polls")
-    folder, checkpoint = tempfile.mkdtemp(prefix="fs-stale-"), tempfile.mkdtemp(prefix="fs-ck-")
-    polls.repartition(5, F.xxhash64("snapshot_id")).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(polls.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    state.slot_facts_stream(stream, "slot_facts", checkpoint).awaitTermination()
-    at, interval = F.lit("2024-03-25 00:00:00").cast("timestamp_ntz"), F.lit(7200)
-    assert rows(series.staleness_of(spark.table("slot_facts"), at, interval)) == rows(series.staleness(polls, at, interval))
+def shuffled(df, seconds):
+    """``df`` in six files that overlap in time, and a last poll of no one's that moves the watermark past all others."""
+    folder = tempfile.mkdtemp(prefix="fs-poll-")
+    df = df.withColumn("poll_ts", F.col("poll_ts").cast("timestamp"))
+    end = df.agg(F.max("poll_ts") + F.make_interval(secs=F.lit(seconds))).first()[0]
+    for n in range(6):
+        df.filter(F.pmod(F.xxhash64("snapshot_id"), F.lit(6)) == n).coalesce(1).write.mode("append").parquet(folder)
+    columns = [F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(df.columns, ("nobody", "none", end, 10**9, True))]
+    df.sparkSession.range(1).select(*columns).write.mode("append").parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+
+
+def landed(stream):
+    """The table that the stream fills, and its query."""
+    out, checkpoint = tempfile.mkdtemp(prefix="fs-out-"), tempfile.mkdtemp(prefix="fs-ck-")
+    query = ordered.append_to(stream, out, checkpoint)
+    query.awaitTermination()
+    return ordered.read_table(stream.sparkSession, out, stream).filter("cluster_id <> 'nobody'"), query
 
 
-def test_keyed_state_equals_batch(spark):
+POLL = ["cluster_id", "slot", "poll_ts", "snapshot_id", "ok"]
+
+
+def test_ordered_state_of_shuffled_files_equals_batch(spark):
     v = SampleViews(spark, SF)
-    polls = v.view("polls").filter("ok").withColumn("at_s", F.expr("cast(unix_seconds(cast(poll_ts as timestamp)) as bigint)"))
-    folder = tempfile.mkdtemp(prefix="fs-poll-")
-    for lo in (0, 300, 600):  # files in time order: the state is a last kept time
-        polls.filter((F.col("snapshot_id") >= lo) & (F.col("snapshot_id") < (lo + 300 if lo < 600 else 10**9))).coalesce(1).write.mode("append").parquet(folder)
-    read = spark.readStream.schema(polls.schema).option("maxFilesPerTrigger", 1)
-    kept = run(state.throttle_stream(read.parquet(folder), 21600), "kept")
-    assert rows(kept) == rows(throttle(polls, ["cluster_id", "slot"], "at_s", 21600).select("cluster_id", "slot", "at_s"))
-    ring = run(state.ring_buffer_stream(read.parquet(folder)), "ring")
-    assert rows(ring) == rows(QUERIES["ring_buffer_stream"](spark, SF))
+    polls = v.view("polls").filter("cluster_id in ('c0', 'c1')").select(*POLL)
+    good = polls.filter("ok")
+    ring, query = landed(state.ring_buffer_stream(shuffled(good, 40 * 86400), watermark="40 days"))
+    want = QUERIES["ring_buffer_stream"](spark, SF).filter("cluster_id in ('c0', 'c1')")
+    assert rows(ring) == rows(want.select(*ring.columns)) and ordered.late_rows(query) == 0
+    kept, _ = landed(state.throttle_stream(shuffled(good, 40 * 86400), 21600, watermark="40 days"))
+    at = F.expr("cast(unix_seconds(cast(poll_ts as timestamp)) as bigint)")
+    assert rows(kept) == rows(throttle(good.withColumn("at_s", at), ["cluster_id", "slot"], "at_s", 21600).select("cluster_id", "slot", "at_s"))
+
+
+def test_rows_behind_the_watermark_are_counted(spark):
+    polls = [("c", "s", f"2024-01-01 0{h}:00:00", h, True) for h in range(1, 8)]
+    order = [1, 5, 6, 2, 7]
+    folder = tempfile.mkdtemp(prefix="fs-late-")
+    frame = spark.createDataFrame(polls, "cluster_id string, slot string, poll_ts string, snapshot_id long, ok boolean").withColumn("poll_ts", F.col("poll_ts").cast("timestamp"))
+    stream = spark.readStream.schema(frame.schema).parquet(folder)
+    out, checkpoint = tempfile.mkdtemp(prefix="fs-out-"), tempfile.mkdtemp(prefix="fs-ck-")
+    late = 0
+    for h in order:  # one trigger each, so that the watermark has moved on before hour 2 arrives
+        frame.filter(F.col("snapshot_id") == h).coalesce(1).write.mode("append").parquet(folder)
+        query = ordered.append_to(state.ring_buffer_stream(stream, 3), out, checkpoint)
+        query.awaitTermination()
+        late += ordered.late_rows(query)
+    got = ordered.read_table(spark, out, state.ring_buffer_stream(stream, 3))
+    assert late == 1 and sorted((r.snapshot_id, r.buffered, r.oldest_id) for r in got.collect()) == [(1, 1, 1), (5, 2, 1), (6, 3, 1)]
+
+
+def test_history_cap_on_a_stream_equals_batch(spark):
+    ticks = spark.range(90).select(
+        (F.concat(F.lit("c"), (F.col("id") % 2).cast("string"))).alias("cluster_id"), F.lit("s").alias("slot"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 15).alias("poll_ts"), F.col("id").alias("snapshot_id"), F.lit(True).alias("ok"),
+    )
+    stream = shuffled(ticks, 7200).withColumnRenamed("snapshot_id", "tick")
+    marks, _ = landed(state.history_cap_stream(stream, 20, watermark="1 hour"))
+    points = ticks.withColumnRenamed("snapshot_id", "tick").select("cluster_id", "tick", F.col("tick").alias("value"))
+    want = series.newest_points(points, "value", 20).select("cluster_id", "tick", "value")
+    assert marks.count() == 90 and rows(state.newest_of(points, marks).select("cluster_id", "tick", "value")) == rows(want)
+
+
+def test_staleness_by_timers_equals_batch_at_any_time(spark):
+    polls = SampleViews(spark, SF).view("polls").filter("cluster_id = 'c2' and slot in ('executors', 'cluster')").select(*POLL)
+    intervals, other = {"executors": 7200}, 36000
+    changes, _ = landed(state.freshness_stream(shuffled(polls, 80 * 86400), intervals, other, watermark="40 days"))
+    assert changes.filter("cause = 'age' and stale").count() > 0
+    ends = polls.agg(F.min("poll_ts"), F.max("poll_ts")).first()
+    interval = F.when(F.col("slot") == "executors", 7200).otherwise(other)
+    for share in (0.1, 0.37, 0.5, 0.81, 1.0, 1.2):
+        at = F.lit(ends[0] + (ends[1] - ends[0]) * share)
+        want = series.staleness(polls, at, interval).select("cluster_id", "slot", "stale")
+        assert rows(state.stale_at(changes, at).select("cluster_id", "slot", "stale")) == rows(want), share
 
 
 def test_a_report_is_fed_once(spark):
