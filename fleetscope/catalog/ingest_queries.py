@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.catalog.oracle_base import CTES
 from fleetscope.catalog.registry import query
+from fleetscope.lineage import keep
 from fleetscope.schemas import KEY
 from fleetscope.sources import event_log
 from fleetscope.sources import rest_documents as rest
@@ -239,15 +240,15 @@ union all select cluster_id, {_TICK.format('done_ms')}, 'executor', executor_id,
 @query(
     "ingest_event_log",
     f"""select g.cluster_id, g.tick, g.kind, g.id,
- case when not ended then case g.kind when 'stage' then 'ACTIVE' when 'executor' then 'ADDED' else 'RUNNING' end else final end status,
- cast(case g.kind when 'job' then n1 when 'sql' then case when ended then n1 else 0 end else coalesce(c1, 0) end as bigint) first_count,
- cast(case g.kind when 'job' then n2 when 'sql' then case when j.b is not null and {_TICK.format('j.b')}<=g.tick and j.final='FAILED' then 1 else 0 end else coalesce(c2, 0) end as bigint) second_count
+ case when not g.ended then case g.kind when 'stage' then 'ACTIVE' when 'executor' then 'ADDED' else 'RUNNING' end else g.final end status,
+ cast(case g.kind when 'job' then g.n1 when 'sql' then case when g.ended then g.n1 else 0 end else coalesce(c1, 0) end as bigint) first_count,
+ cast(case g.kind when 'job' then g.n2 when 'sql' then case when j.b is not null and {_TICK.format('j.b')}<=g.tick and j.final='FAILED' then 1 else 0 end else coalesce(c2, 0) end as bigint) second_count
  from g_shown g left join g_counts c on g.cluster_id=c.cluster_id and g.tick=c.tick and g.kind=c.kind and g.id=c.id
  left join (select * from g_spans where kind='job') j on g.kind='sql' and g.cluster_id=j.cluster_id and g.id=j.id""",
 )
 def ingest_event_log(v):
     """Jobs, queries, stages and executors of the log that Spark writes of the sample's work, as text lines, at ticks of a year."""
-    log = event_log.EventLog(event_log.parse_events(_event_lines(v)), YEAR_S)
+    log = event_log.EventLog(keep(event_log.parse_events(_event_lines(v))), YEAR_S)
     jobs = log.jobs.selectExpr(*KEY, "'job' kind", "cast(job_id as string) id", "status", "num_tasks first_count", "cast(size(stage_ids) as bigint) second_count")
     sql = log.sql_queries.selectExpr(*KEY, "'sql' kind", "cast(execution_id as string) id", "status", "duration_ms first_count", "cast(size(failed_job_ids) as bigint) second_count")
     stages = log.stages.selectExpr(*KEY, "'stage' kind", "cast(stage_id as string) id", "status", "num_complete_tasks first_count", "shuffle_read_bytes second_count")

@@ -9,10 +9,12 @@ Counters are those of the tasks that finished in the tick. What never ended is r
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetscope.lineage import keep
 from fleetscope.operators.intervals import inside
 from fleetscope.operators.rollups import executor_rollup, stage_rollup
 from fleetscope.operators.skew import skew_join
@@ -87,9 +89,13 @@ SQL = "org.apache.spark.sql.execution.ui.SparkListenerSQLExecution"
 EXECUTION_ID = "spark.sql.execution.id"
 
 
-@dataclass(frozen=True)
+@dataclass
 class EventLog:
-    """The tables in the events of any number of logs. ``events`` has ``cluster_id`` and the columns of ``SCHEMA``."""
+    """The tables in the events of any number of logs. ``events`` has ``cluster_id`` and the columns of ``SCHEMA``.
+
+    The ticks and the spans of jobs, which several tables read, are kept from their first use; ``lineage.keep`` the events as well
+    where lines would be parsed for every table.
+    """
 
     events: DataFrame
     tick_seconds: int
@@ -100,12 +106,12 @@ class EventLog:
     def _of(self, *kinds: str) -> DataFrame:
         return self.events.filter(F.col("Event").isin(*kinds))
 
-    @property
+    @cached_property
     def ticks(self) -> DataFrame:
         """Ticks in which anything happened."""
         info = [F.col("`Stage Info`").getField(c) for c in ("Completion Time", "Submission Time")]
         at = F.coalesce("Timestamp", "Completion Time", "Submission Time", F.col("`Task Info`").getField("Finish Time"), *info, "time")
-        return self.events.select("cluster_id", self._tick(at).alias("tick")).dropna().distinct()
+        return keep(self.events.select("cluster_id", self._tick(at).alias("tick")).dropna().distinct())
 
     @property
     def tasks(self) -> DataFrame:
@@ -117,14 +123,18 @@ class EventLog:
         rows = inside(self.ticks, placed, ["cluster_id"], "tick", "_from", "_upto")
         return rows.withColumn("_ended", F.col("_upto").isNotNull() & (F.col("tick") >= F.col("_upto"))).drop("_from", "_upto")
 
-    @property
+    @cached_property
     def job_spans(self) -> DataFrame:
         start, result = F.col("Event") == "SparkListenerJobStart", F.col("`Job Result`").getField("Result")
         infos = F.col("`Stage Infos`")
         tasks = F.aggregate(F.coalesce(infos, F.array()), F.lit(0).cast("long"), lambda n, i: n + F.coalesce(i["Number of Tasks"], F.lit(0)))
         first = F.struct(F.col("`Stage IDs`").alias("stage_ids"), tasks.alias("num_tasks"), F.col("Properties").alias("properties"))
-        return self._of("SparkListenerJobStart", "SparkListenerJobEnd").groupBy("cluster_id", F.col("`Job ID`").alias("job_id")).agg(
-            F.min("Submission Time").alias("_start"), F.max("Completion Time").alias("_end"), F.any_value(F.when(start, first), ignoreNulls=True).alias("f"), F.max(result).alias("_result")
+        ends = self._of("SparkListenerJobStart", "SparkListenerJobEnd").groupBy("cluster_id", F.col("`Job ID`").alias("job_id"))
+        return keep(
+            ends.agg(
+                F.min("Submission Time").alias("_start"), F.max("Completion Time").alias("_end"),
+                F.any_value(F.when(start, first), ignoreNulls=True).alias("f"), F.max(result).alias("_result"),
+            )
         )
 
     @property
