@@ -14,6 +14,7 @@ from fleetscope.lineage import keep, shared_folder
 from fleetscope.operators import series
 from fleetscope.operators.throttle import throttle
 from fleetscope.plans import history, reports, runs
+from fleetscope.plans.recording import RunComparison, record
 from fleetscope.plans.report import COMPONENTS, DiagnosticPlan
 from fleetscope.schemas import KEY
 from fleetscope.sources.run_store import RunStore
@@ -315,10 +316,18 @@ def started(v):
     return runs.start_runs(v.view("runs"), clusters(v))
 
 
-def pairs(v):
-    """Each cluster's later run against its neighbour's earlier one, named in the wrong order."""
+def compared(v, *tables: str) -> RunComparison:
+    """Runs recorded in a store of their own (only the tables named, and the runs), then read back from it.
+
+    Each cluster's later run against its neighbour's earlier one, named in the wrong order.
+    """
+    store = record(_empty_store(v), plan(v), started(v), F.expr(SECONDS), ("runs", *tables))
     named = v.view("region").selectExpr("concat('run_b_', cast((r_regionkey+1)%5 as string)) left_run", "concat('run_a_', cast(r_regionkey as string)) right_run")
-    return runs.order_pairs(named, v.view("runs"))
+    return RunComparison(store, named)
+
+
+def _empty_store(v) -> RunStore:
+    return RunStore(v.spark, f"{shared_folder(v.spark)}/runs-{uuid.uuid4().hex}")
 
 
 def exported(v):
@@ -380,11 +389,7 @@ def run_stats(v):
  from u_pairs p left join u_final fa on fa.run_id=run_a left join u_final fb on fb.run_id=run_b join u_stats sa on sa.run_id=run_a join u_stats sb on sb.run_id=run_b""",
 )
 def compare_runs(v):
-    p = plan(v)
-    acc = runs.stop_runs(p.insights, p.key_scope.select(*KEY), v.view("runs"))
-    stats = runs.run_stats(p.health, acc, v.view("runs"))
-    finals = runs.final_snapshots(runs.snapshots(p.health, v.view("runs"), F.expr(SECONDS)))
-    return runs.compare_health(finals, stats, pairs(v)).withColumns(
+    return compared(v, "run_health", "run_snapshots").health.withColumns(
         {"avg_score_a": F.round("avg_score_a", 6), "avg_score_b": F.round("avg_score_b", 6)}
     )
 
@@ -399,7 +404,7 @@ from (select p.run_a, p.run_b, u.* from u_pairs p join u_acc u on u.run_id=p.run
 
 @query("insight_diff", "select run_a, run_b, category, affected_entity, title, change, severity, round(metric_delta,6) metric_delta from u_diff")
 def insight_diff(v):
-    return runs.insight_diff(exported(v), pairs(v)).select(
+    return compared(v, "run_insights").insights.select(
         "run_a", "run_b", *history.TITLE_KEY, "change", "severity", r6("metric_delta")
     )
 
@@ -410,7 +415,7 @@ def insight_diff(v):
  (select *, row_number() over (partition by run_a, change order by peak_rank, first_seen, category, affected_entity, title) place, count(*) over (partition by run_a, change) n from u_diff) x where place<=10""",
 )
 def diff_limits(v):
-    return runs.limit_diff(runs.insight_diff(exported(v), pairs(v))).select("run_a", "run_b", "category", "title", "change", "place", "more")
+    return runs.limit_diff(compared(v, "run_insights").insights).select("run_a", "run_b", "category", "title", "change", "place", "more")
 
 
 @query(
@@ -422,7 +427,7 @@ def diff_limits(v):
     ),
 )
 def component_diff(v):
-    return runs.component_diff(runs.final_snapshots(kept_snapshots(v)), pairs(v))
+    return compared(v, "run_snapshots").components
 
 
 CTES["u_conf"] = "select r.run_id, conf_key, conf_value from tv_runs r join r_conf c on r.cluster_id=c.cluster_id where conf_key<>'fs.s3a.access.key'"
@@ -435,15 +440,15 @@ from (select p.run_a, p.run_b, c.* from u_pairs p join u_conf c on c.run_id=p.ru
 
 @query("conf_diff", "select run_a, run_b, conf_key, value_a, value_b from u_cdiff")
 def conf_diff(v):
-    return runs.conf_diff(started(v), pairs(v))
+    return compared(v).conf
 
 
 # ---------------------------------------------------------------- run store
 
 
 def _stored(v) -> RunStore:
-    """A fresh store in the shared folder with every run and the health of its reports."""
-    store = RunStore(v.spark, f"{shared_folder(v.spark)}/runs-{uuid.uuid4().hex}")
+    """A fresh store in the shared folder with every run and the executor counts of its reports."""
+    store = _empty_store(v)
     store.save("runs", started(v).withColumn("conf", F.to_json("conf")))
     points = reports.activity_points(executors(v)).select(*KEY, "executor_count", "active_tasks")
     store.save("run_points", runs.assign(points, v.view("runs")))
@@ -458,6 +463,20 @@ def run_sink(v):
     return _stored(v).scan("run_points").select("cluster_id", "run_id", "tick", "executor_count", "active_tasks")
 
 
+@query(
+    "run_record",
+    """select h.cluster_id, h.run_id, h.tick, score, executor_count, (select count(*) from u_acc a where a.run_id=h.run_id) insights,
+ h.tick in (select tick from u_snap s where s.run_id=h.run_id) snapshot from u_health h join w_fleet f on h.cluster_id=f.cluster_id and h.tick=f.tick""",
+)
+def run_record(v):
+    """Whole runs as they are read back: score and executors of each report, whether it is a snapshot, and the run's insights."""
+    store = record(_empty_store(v), plan(v), started(v), F.expr(SECONDS))
+    found = store.scan("run_insights").groupBy("run_id").agg(F.count("*").alias("insights"))
+    kept = store.scan("run_snapshots").select("run_id", "tick", F.lit(True).alias("snapshot"))
+    health = store.scan("run_health").join(found, "run_id", "left").join(kept, ["run_id", "tick"], "left").na.fill(0, ["insights"]).na.fill(False, ["snapshot"])
+    return health.select("cluster_id", "run_id", "tick", "score", "executor_count", "insights", "snapshot")
+
+
 @query("run_scan", "select cluster_id, run_id, name, start_tick, row_number() over (order by start_tick desc, run_id) place from tv_runs where cluster_id='c1'")
 def run_scan(v):
     rows = _stored(v).runs("c1").select("cluster_id", "run_id", "name", "start_tick")

@@ -57,7 +57,7 @@ def run_stats(health: DataFrame, accumulated: DataFrame, runs: DataFrame) -> Dat
 def export_insights(accumulated: DataFrame) -> DataFrame:
     """Columns of a saved insight."""
     return accumulated.select(
-        *RUN, "category", "severity", "peak_severity", "title", "description", "recommendation", "affected_entity", "first_seen",
+        *RUN, "category", "severity", "peak_severity", "peak_rank", "title", "description", "recommendation", "affected_entity", "first_seen",
         "last_seen", "resolved_at", "occurrence_count", "peak_metric_value", "metric_value", "threshold_value",
     )
 
