@@ -1,9 +1,9 @@
 """Removal of passages that an earlier document holds, from suffix order.
 
 A byte goes when a string of ``SPAN`` bytes over it also starts in a document with a smaller doc_id. For each place the
-longest previous factor tells: the places just before and after it in suffix order that belong to an earlier document share
-the longest prefixes with it. Only factors of ``SPAN`` bytes count, so suffixes are ordered by that prefix, ties by document,
-and a factor exists when the previous smaller document lies inside the same run of equal prefixes.
+longest previous factor tells: of all places of earlier documents, the last before it and the first after it in suffix
+order share the longest prefixes with it (previous and next smaller values over the documents in suffix order, with the least
+of the shared lengths between). Factors of ``SPAN`` bytes or more are earlier matches.
 
 A suffix array of everything doesn't fit one task, so places are dealt out by content first. Every ``SPAN``-byte window picks
 the least hash among its ``GRAM``-byte grams; neighbouring windows with one pick form a fragment (about 16 windows). Equal
@@ -11,8 +11,9 @@ windows pick alike, so all copies of a window meet where their pick goes:
 
 1. documents are packed into blocks of about ``BLOCK`` bytes, stored once in the shared folder;
 2. blocks send the picks they hold, once each, to buckets, which answer which picks occur in two documents at least;
-3. blocks send the fragments of those picks, equal ones once; each bucket orders the suffixes of its fragments and answers
-   the earliest document of each window where that is earlier than the block knows;
+3. blocks send the fragments of those picks, equal ones once; each bucket sorts the suffixes of its fragments, takes the factors
+   and answers the windows whose factor tells of a document earlier than the block knows (a fragment that shares its pick with no
+   other fragment has no factor to look for);
 4. blocks mark the windows and cut the texts.
 
 Exact copies, frequent lines and common passages are one entry per block and bucket. A pick that more than ``HOT_BLOCKS``
@@ -269,23 +270,60 @@ def _send_fragments(buckets: int) -> Callable:
     return send
 
 
-def earliest(texts: list[bytes], firsts: np.ndarray) -> list[np.ndarray]:
-    """Earliest document of each window of each fragment, by the suffix order of all windows."""
-    counts = np.fromiter((len(t) - SPAN + 1 for t in texts), np.int64, len(texts))
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    lengths = counts + SPAN - 1
-    places = np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    docs = np.repeat(firsts, counts)
-    suffixes = np.lib.stride_tricks.sliding_window_view(data, SPAN)[places]
-    suffixes = np.ascontiguousarray(suffixes).view(f"S{SPAN}").ravel()
-    by_doc = np.argsort(docs, kind="stable")
-    order = by_doc[np.argsort(suffixes[by_doc], kind="stable")]
-    ordered = suffixes[order]
-    shared = np.concatenate([[False], ordered[1:] == ordered[:-1]])  # whether the neighbours share SPAN bytes
-    first = np.maximum.accumulate(np.where(shared, 0, np.arange(len(order))))  # the run's first: its earliest document
-    out = np.empty(len(order), np.int64)
-    out[order] = docs[order[first]]
-    return np.split(out, np.cumsum(counts)[:-1])
+def suffix_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes of at least ``SPAN`` bytes of all texts: their order, the bytes each shares with the one before it in that order
+    (0 for the first), and how many each text has. A suffix ends with its text."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    counts, width = lengths - SPAN + 1, int(lengths.max())
+    data = np.frombuffer(b"".join(t + bytes(width) for t in texts), np.uint8)
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    rows = np.lib.stride_tricks.sliding_window_view(data, width)[np.repeat(np.cumsum(lengths + width) - lengths - width, counts) + nth]
+    left = np.repeat(lengths, counts) - nth
+    order = np.lexsort((left, np.ascontiguousarray(rows).view(f"S{width}").ravel()))  # zero bytes at the end don't count as more text
+    rows, left = rows[order], left[order]
+    other = rows[1:] != rows[:-1]
+    same = np.where(other.any(axis=1), other.argmax(axis=1), width)
+    shared = np.minimum(same, np.minimum(left[1:], left[:-1]))
+    return order, np.concatenate([[0], shared])[: len(order)], counts
+
+
+def nearest_smaller(docs: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of the order the last place before it with a smaller document (-1: none), and the bytes shared with it.
+
+    Places point to their neighbour at first. One that points to no smaller document takes over that one's pointer, since
+    all between are no smaller either; so pointers reach twice as far each round.
+    """
+    to, bytes_ = np.arange(len(docs)) - 1, shared.copy()
+    going = np.arange(len(docs))
+    while len(going):
+        going = going[(to[going] >= 0) & (docs[to[going]] >= docs[going])]
+        over = to[going]
+        to[going], bytes_[going] = to[over], np.minimum(bytes_[going], bytes_[over])
+    return to, np.where(to < 0, 0, bytes_)
+
+
+def previous_factors(texts: list[bytes], firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Longest previous factor of each suffix (text by text): its bytes and the earlier document that holds it; and suffixes a text.
+
+    The previous and the next smaller document in suffix order are the earlier ones that share most with a suffix.
+    """
+    order, shared, counts = suffix_order(texts)
+    docs = np.repeat(firsts, counts)[order]
+    before, left = nearest_smaller(docs, shared)
+    after, right = nearest_smaller(docs[::-1], np.concatenate([[0], shared[:0:-1]])[: len(docs)])
+    after, right = np.where(after < 0, -1, len(docs) - 1 - after)[::-1], right[::-1]
+    longest, holder = np.empty(len(docs), np.int64), np.empty(len(docs), np.int64)
+    near = np.where(left >= right, before, after)
+    longest[order] = np.maximum(left, right)
+    holder[order] = np.where(near < 0, docs, docs[near])
+    return longest, holder, counts
+
+
+def earlier_documents(texts: list[bytes], firsts: np.ndarray) -> list[np.ndarray]:
+    """For each window of each fragment an earlier document that holds it, by factors of ``SPAN`` bytes or more; else its own."""
+    longest, holder, counts = previous_factors(texts, firsts)
+    docs = np.where(longest >= SPAN, holder, np.repeat(firsts, counts))
+    return np.split(docs, np.cumsum(counts)[:-1])
 
 
 def _answer_fragments(table: pa.Table) -> pa.Table:
@@ -313,10 +351,10 @@ def _answer_fragments(table: pa.Table) -> pa.Table:
     windows: dict[int, np.ndarray] = {}
     cuts = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]])).tolist() if len(order) else []
     start = 0
-    for cut in [*cuts[1:], len(order)] if cuts else []:  # whole groups, about 20,000 fragments at a time
-        if cut - start >= 20_000 or cut == len(order):
+    for cut in [*cuts[1:], len(order)] if cuts else []:  # whole groups, about 10,000 fragments at a time
+        if cut - start >= 10_000 or cut == len(order):
             some = order[start:cut].tolist()
-            windows.update(zip(some, earliest([texts[i] for i in some], first[some]), strict=True))
+            windows.update(zip(some, earlier_documents([texts[i] for i in some], first[some]), strict=True))
             start = cut
     changes = {}
     for i, docs in windows.items():

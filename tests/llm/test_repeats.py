@@ -57,18 +57,29 @@ def test_empty_table_has_no_cuts(spark):
     assert suffix_dedup.remove_repeats(_docs(spark, [])).count() == 0
 
 
-def test_earliest_follows_the_suffix_order():
+def test_previous_factors_equal_brute_force():
     draw = random.Random(3)
-    texts = ["".join(draw.choice("ab") for _ in range(draw.randint(50, 60))).encode() for _ in range(40)]
-    texts += [t[1:] + b"b" for t in texts[:20]]
+    texts = ["".join(draw.choice("ab") for _ in range(draw.randint(50, 70))).encode() for _ in range(25)]
+    texts += [t[1:] + b"b" for t in texts[:12]] + [b"\0" * 55, b"a" + b"\0" * 55, texts[0][:50], b"x" * 80]
     texts = [t for t in dict.fromkeys(texts) if len(t) >= 50]
-    firsts = np.array([draw.randrange(100) for _ in texts])
-    known: dict[bytes, int] = {}
-    for t, d in zip(texts, firsts.tolist()):
-        for p in range(len(t) - 49):
-            known[t[p : p + 50]] = min(known.get(t[p : p + 50], d), d)
-    for t, docs in zip(texts, suffix_dedup.earliest(texts, firsts)):
-        assert docs.tolist() == [known[t[p : p + 50]] for p in range(len(t) - 49)]
+    firsts = np.array([draw.choice([-(1 << 63), *range(20)]) for _ in texts])
+    longest, holder, counts = suffix_dedup.previous_factors(texts, firsts)
+    at = 0
+    for t, d, n in zip(texts, firsts.tolist(), counts.tolist()):
+        assert n == len(t) - 49
+        for p in range(n):
+            best = 0
+            for o, e in zip(texts, firsts.tolist()):
+                for q in range(len(o) - 49) if e < d else ():
+                    k = 0
+                    while p + k < len(t) and q + k < len(o) and t[p + k] == o[q + k]:
+                        k += 1
+                    best = max(best, k)
+            assert longest[at] == best and (best == 0 or holder[at] < d)
+            at += 1
+    for t, d, docs in zip(texts, firsts.tolist(), suffix_dedup.earlier_documents(texts, firsts)):
+        held = [any(e < d and t[p : p + 50] in o for o, e in zip(texts, firsts.tolist())) for p in range(len(t) - 49)]
+        assert (docs < d).tolist() == held
 
 
 @pytest.mark.parametrize("leaf", [256, 4])
