@@ -330,13 +330,16 @@ def _empty_store(v) -> RunStore:
     return RunStore(v.spark, f"{shared_folder(v.spark)}/runs-{uuid.uuid4().hex}")
 
 
+def ticks_of(v):
+    return v.executors.select(*KEY).distinct()
+
+
 def exported(v):
-    p = plan(v)
-    return runs.stop_runs(p.insights, p.key_scope.select(*KEY), v.view("runs"))
+    return runs.stop_runs(plan(v).insights, ticks_of(v), v.view("runs"))
 
 
 def kept_snapshots(v):
-    return runs.snapshots(plan(v).health, v.view("runs"), F.expr(SECONDS))
+    return runs.snapshots(plan(v).health, v.view("runs"), F.expr(SECONDS), ticks=ticks_of(v))
 
 
 @query("run_start", "select r.cluster_id, r.run_id, name, start_tick, stop_tick, count(c.conf_key) conf_size from tv_runs r join r_conf c on r.cluster_id=c.cluster_id where conf_key<>'fs.s3a.access.key' group by all")
@@ -378,8 +381,8 @@ left join (select run_id, count(*) insights from u_acc group by run_id) a on r.r
 @query("run_stats", "select cluster_id, run_id, name, round(avg_score,6) avg_score, worst_score, cycles, insights from u_stats")
 def run_stats(v):
     p = plan(v)
-    acc = runs.stop_runs(p.insights, p.key_scope.select(*KEY), v.view("runs"))
-    return runs.run_stats(p.health, acc, v.view("runs")).select("cluster_id", "run_id", "name", r6("avg_score"), "worst_score", "cycles", "insights")
+    acc = runs.stop_runs(p.insights, ticks_of(v), v.view("runs"))
+    return runs.run_stats(p.health, acc, v.view("runs"), ticks_of(v)).select("cluster_id", "run_id", "name", r6("avg_score"), "worst_score", "cycles", "insights")
 
 
 @query(

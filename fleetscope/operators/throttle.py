@@ -47,7 +47,7 @@ def throttle(df: DataFrame, keys: list[str], ts: str, gap: int) -> DataFrame:
     number, the longest chain there may be, comes to the driver.
     """
     gap = max(gap, 1)
-    times = df.select(*keys, F.col(ts).cast("long").alias("_t")).dropna().distinct()
+    times = cut(df.select(*keys, F.col(ts).cast("long").alias("_t")).dropna().distinct())
     links = cut(successors(times, keys, gap))
     reach = links.groupBy(*keys).agg(F.least(F.floor((F.max("_t") - F.min("_t")) / gap), F.count("*") - 1).alias("_n"))
     left, rounds = int(reach.agg(F.max("_n")).first()[0] or 0), []

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope import thresholds as T
+from fleetscope.lineage import keep
 from fleetscope.operators import timeline
 from fleetscope.operators.skew import dense_number
 from fleetscope.plans.insights import order_struct
@@ -83,11 +84,13 @@ def accumulated_order(accumulated: DataFrame, group: list[str], out: str = "plac
     resolved = F.col("resolved_at").isNotNull()
     rank = F.when(resolved, -F.col("resolved_at")).otherwise(F.col("peak_rank"))
     order = [F.col("first_seen").asc(), *[F.col(c).asc() for c in TITLE_KEY]]
-    return dense_number(accumulated, group, [resolved.cast("int").asc(), rank.asc(), *order], None, out)
+    # kept, since cutting the order into blocks reads the rows once more
+    return dense_number(keep(accumulated), group, [resolved.cast("int").asc(), rank.asc(), *order], None, out)
 
 
 def top_issues(accumulated: DataFrame, group: list[str], active: int = T.TOP_ACTIVE, resolved: int = T.TOP_RESOLVED) -> DataFrame:
     """The panel's list: the first open and resolved insights, and how many more there are of each."""
+    accumulated = keep(accumulated)
     ordered = accumulated_order(accumulated, group)
     counts = open_counts(accumulated, group)
     is_open = F.col("resolved_at").isNull()

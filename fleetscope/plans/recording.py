@@ -22,11 +22,12 @@ def record(store: RunStore, plan: DiagnosticPlan, started: DataFrame, seconds: C
 
     ``seconds``: time of a report, by which snapshots are thinned.
     """
+    ticks = plan.tables.executors.select(*KEY).distinct()  # a light plan for the ticks of all reports
     parts = {
         "runs": lambda: started.withColumn("conf", F.to_json("conf")),
-        "run_health": lambda: runs.assign(plan.report.select(*KEY, "score", "executor_count", *COMPONENTS), started),
-        "run_snapshots": lambda: runs.snapshots(plan.health, started, seconds),
-        "run_insights": lambda: runs.export_insights(runs.stop_runs(plan.insights, plan.spine, started)),
+        "run_health": lambda: runs.assign(plan.report.select(*KEY, "score", "executor_count", *COMPONENTS), started, ticks),
+        "run_snapshots": lambda: runs.snapshots(plan.health, started, seconds, ticks=ticks),
+        "run_insights": lambda: runs.export_insights(runs.stop_runs(plan.insights, ticks, started)),
     }
     for table in tables:
         store.save(table, parts[table]())

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from fleetscope import thresholds as T
 from fleetscope.functions.classify import redact_conf
+from fleetscope.lineage import keep
 from fleetscope.operators.intervals import inside
-from fleetscope.operators.skew import dense_number
+from fleetscope.operators.skew import dense_number, skew_join
 from fleetscope.operators.throttle import throttle
 from fleetscope.plans.history import TITLE_KEY, accumulate
 from fleetscope.plans.report import COMPONENTS
@@ -27,26 +28,33 @@ def start_runs(requests: DataFrame, clusters: DataFrame) -> DataFrame:
     return requests.join(conf, "cluster_id", "left").withColumn("conf", F.coalesce("conf", F.create_map().cast("map<string,string>")))
 
 
-def assign(reports: DataFrame, runs: DataFrame) -> DataFrame:
-    """Rows of ``reports`` (any table with ``cluster_id, tick``) that fall into a run of their cluster."""
+def assign(reports: DataFrame, runs: DataFrame, ticks: DataFrame | None = None) -> DataFrame:
+    """Rows of ``reports`` (any table with ``cluster_id, tick``) that fall into a run of their cluster.
+
+    The join reads the ticks more than once: those of ``ticks`` (``cluster_id, tick`` of all reports) where given, else of the
+    reports themselves, which are kept for that.
+    """
     windows = runs.select(*RUN, "start_tick", "stop_tick")
-    return inside(reports, windows, ["cluster_id"], "tick", "start_tick", "stop_tick").drop("start_tick", "stop_tick")
+    held = lambda rows: inside(rows, windows, ["cluster_id"], "tick", "start_tick", "stop_tick").drop("start_tick", "stop_tick")
+    if ticks is None:
+        return held(keep(reports))
+    return skew_join(reports, held(keep(ticks.select("cluster_id", "tick").distinct())), ["cluster_id", "tick"], "inner")
 
 
 def stop_runs(insights: DataFrame, report_ticks: DataFrame, runs: DataFrame) -> DataFrame:
     """Accumulated insights of every run, as exported when it stops."""
-    return accumulate(assign(insights, runs), assign(report_ticks, runs), RUN)
+    return accumulate(assign(insights, runs, report_ticks), assign(report_ticks, runs), RUN)
 
 
-def snapshots(health: DataFrame, runs: DataFrame, seconds: Column, gap: int = T.SNAPSHOT_GAP_S) -> DataFrame:
+def snapshots(health: DataFrame, runs: DataFrame, seconds: Column, gap: int = T.SNAPSHOT_GAP_S, ticks: DataFrame | None = None) -> DataFrame:
     """Reports of a run kept at least ``gap`` seconds apart."""
-    timed = assign(health, runs).withColumn("at_s", seconds)
+    timed = keep(assign(health, runs, ticks).withColumn("at_s", seconds))
     return timed.join(throttle(timed, RUN, "at_s", gap), [*RUN, "at_s"], "left_semi")
 
 
-def run_stats(health: DataFrame, accumulated: DataFrame, runs: DataFrame) -> DataFrame:
+def run_stats(health: DataFrame, accumulated: DataFrame, runs: DataFrame, ticks: DataFrame | None = None) -> DataFrame:
     """Average and worst score and insight count per run; 0 where nothing was recorded."""
-    scores = assign(health, runs).groupBy(*RUN).agg(
+    scores = assign(health, runs, ticks).groupBy(*RUN).agg(
         F.avg("score").alias("avg_score"), F.min("score").alias("worst_score"), F.count(F.lit(1)).alias("cycles")
     )
     found = accumulated.groupBy(*RUN).agg(F.count(F.lit(1)).alias("insights"))
@@ -136,6 +144,7 @@ def limit_diff(diff: DataFrame, limit: int = T.DIFF_INSIGHTS) -> DataFrame:
     """The first ``limit`` insights of each change class, with the number left out."""
     group = ["run_a", "run_b", "change"]
     order = [F.col("peak_rank").asc(), F.col("first_seen").asc(), *[F.col(c).asc() for c in TITLE_KEY]]
+    diff = keep(diff)
     numbered = dense_number(diff, group, order, None, "place")
     totals = diff.groupBy(*group).agg(F.count(F.lit(1)).alias("total"))
     listed = numbered.filter(F.col("place") <= limit).join(totals, group)
