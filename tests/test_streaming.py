@@ -167,7 +167,7 @@ def test_history_cap_on_a_stream_equals_batch(spark):
 
 
 def test_staleness_by_timers_equals_batch_at_any_time(spark):
-    polls = SampleViews(spark, SF).view("polls").filter("cluster_id = 'c2' and slot in ('executors', 'cluster')").select(*POLL)
+    polls = SampleViews(spark, SF).view("polls").filter("cluster_id = 'c4' and slot in ('executors', 'cluster')").select(*POLL)
     intervals, other = {"executors": 7200}, 36000
     changes, _ = landed(state.freshness_stream(shuffled(polls, 80 * 86400), intervals, other, watermark="40 days"))
     assert changes.filter("cause = 'age' and stale").count() > 0
