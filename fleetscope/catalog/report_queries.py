@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fleetscope.catalog.oracle_base import CTES, cut, dv, error_class, fb, fd, fx, removal_class
 from fleetscope.catalog.registry import query, r6
 from fleetscope.functions import classify, numbers
+from fleetscope.lineage import keep
 from fleetscope.operators import rollups, tables
 from fleetscope.plans import reports
 from fleetscope.schemas import CLUSTERS, EXECUTORS, JOBS, KEY, RDDS, SQL_QUERIES, STAGES, conform
@@ -364,6 +365,38 @@ def task_quantiles(v):
     return run(v.tasks, [*KEY, "stage_id"]).select(*KEY, "stage_id", *[r6(n) for n in names])
 
 
+def _sketch_sql():
+    """Counts per scope and metric, and that every quantile keeps the stated rank error."""
+    points = "(values (0.0), (0.25), (0.5), (0.75), (1.0)) p(point)"
+    scopes = {"cluster": "cluster_id", "fleet": "'all'"}
+    return " union all ".join(
+        f"select '{scope}' scope_name, {key} cluster_id, '{n}' metric, cast(point as double) point, count({c}) n, true within_error"
+        f" from tv_tasks cross join {points} group by 2, 4"
+        for scope, key in scopes.items()
+        for n, c in _Q.items()
+    )
+
+
+@query("quantile_sketches", _sketch_sql())
+def quantile_sketches(v):
+    """Stage sketches merged to clusters, cluster sketches merged to the fleet, each quantile against its exact rank."""
+    from fleetscope.operators import sketches
+
+    names = list(_Q)
+    stages = sketches.sketch(v.tasks, [*KEY, "stage_id"])
+    clusters = keep(sketches.merge(stages, ["cluster_id"], names))
+    fleet = sketches.merge(clusters.withColumn("cluster_id", F.lit("all")), ["cluster_id"], names)
+    counts = keep(sketches.value_counts(v.tasks, ["cluster_id"]))
+    everywhere = counts.withColumn("cluster_id", F.lit("all"))
+    parts = [
+        sketches.rank_errors(sketches.read_quantiles(s, ["cluster_id"]), t, ["cluster_id"]).select(
+            F.lit(scope).alias("scope_name"), "cluster_id", "metric", "point", "n", (F.col("error") <= sketches.RANK_ERROR).alias("within_error")
+        )
+        for scope, s, t in (("cluster", clusters, counts), ("fleet", fleet, everywhere))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query(
     "stage_rollup",
     "select cluster_id, tick, stage_id, num_tasks, num_active num_active_tasks, num_complete num_complete_tasks, num_failed num_failed_tasks, num_killed num_killed_tasks,"

@@ -7,7 +7,7 @@ import statistics
 
 from pyspark.sql import functions as F
 
-from fleetscope.operators import blocks, skew, timeline
+from fleetscope.operators import blocks, sketches, skew, timeline
 from fleetscope.operators.quantiles import task_quantiles
 from fleetscope.operators.throttle import throttle
 from fleetscope.plans.history import accumulate, episodes
@@ -125,6 +125,27 @@ def test_quantiles(spark):
     assert got == {"s": cuts, "t": [None] * 5, "u": [1, 1.5, 2, 2.5, 3]}
 
 
+def test_sketches_merge_within_the_stated_rank_error(spark):
+    random.seed(3)
+    rows = [("big", i % 7, (random.choice([0, 5, 10**12]) + random.randrange(3000),)) for i in range(40_000)]
+    rows += [("ties", 0, (4,))] * 30 + [("none", 0, (None,))] * 3 + [("few", 0, (v,)) for v in (9, -1, 3)]
+    df = frame(spark, rows, "cluster string, stage int, metrics struct<run:long>")
+    run = {"run": "run"}
+    stages = sketches.sketch(df, ["cluster", "stage"], run, size=64)
+    merged = sketches.merge(sketches.sketch(df, ["cluster", "stage"], run), ["cluster"], ["run"])
+    got = sketches.read_quantiles(merged, ["cluster"], metrics=["run"])
+    values = {c: [r.value for r in got.filter(F.col("cluster") == c).orderBy("point").collect()] for c in ("ties", "none", "few")}
+    assert values == {"ties": [4] * 5, "none": [None] * 5, "few": [-1, -1, 3, 9, 9]}
+    counts = sketches.value_counts(df, ["cluster"], run)
+    errors = sketches.rank_errors(got, counts, ["cluster"])
+    assert errors.count() == 20 and errors.filter(F.col("error") > sketches.RANK_ERROR).count() == 0
+    # the check itself finds a wrong value, and a sketch stays small whatever it has seen
+    wrong = got.withColumn("value", F.col("value") + F.lit(10**13))
+    assert sketches.rank_errors(wrong, counts, ["cluster"]).filter("cluster = 'big' and point < 1 and error < 0.2").count() == 0
+    assert stages.filter(F.length("run") > 4096).count() == 0
+    assert sketches.merge(stages.filter("false"), ["cluster"], ["run"]).count() == 0
+
+
 INSIGHT = (
     "cluster_id string, tick int, category string, affected_entity string, title string, severity string, severity_rank int, metric_value double,"
     "threshold_value double, description string, recommendation string, detector int, rank_metric double, phase int, pos long, slot int, rule string"
