@@ -242,7 +242,7 @@ _ACC_COLS = "category, affected_entity, title, first_seen, last_seen, resolved_a
 
 def accumulated(v):
     p = plan(v)
-    return history.accumulate(p.insights, p.key_scope.select(*KEY), ["cluster_id"])
+    return history.accumulate(p.passing, p.key_scope.select(*KEY), ["cluster_id"], standing=p.standing)
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetscope import thresholds as T
 from fleetscope.lineage import keep
 from fleetscope.operators import timeline
-from fleetscope.operators.skew import dense_number
+from fleetscope.operators.skew import dense_number, skew_join
 from fleetscope.plans.insights import order_struct
 
 TITLE_KEY = ["category", "affected_entity", "title"]
@@ -26,29 +26,67 @@ def next_tick(spine: DataFrame, group: list[str]) -> DataFrame:
     return timeline.following(spine, group, ["tick"], _block(), F.col("tick"), "next_tick")
 
 
-def accumulate(insights: DataFrame, spine: DataFrame, group: list[str], identity: list[str] = TITLE_KEY) -> DataFrame:
-    """One row per insight identity and group: latest values, first and last tick, count, peaks, ``resolved_at``.
+def partial_state(insights: DataFrame, keys: list[str], body: list[str]) -> DataFrame:
+    """What is kept per insight; ``merge_states`` merges it in any order."""
+    place = F.struct("tick", order_struct().alias("order"))
+    return insights.groupBy(*keys).agg(
+        F.min("tick").alias("first_seen"), F.max("tick").alias("last_seen"), F.count(F.lit(1)).alias("occurrence_count"),
+        F.min("severity_rank").alias("peak_rank"), F.max("metric_value").alias("peak_metric_value"),
+        F.max(place).alias("latest_place"), F.max_by(F.struct(*body), place).alias("latest"),
+    )
 
-    ``spine`` holds every report tick of the group, also those without findings: an insight
-    is resolved at the first report after it was last seen, and open if there is none.
-    """
-    latest = [c for c in LATEST if c not in identity]
-    rows = insights.groupBy(*group, *identity).agg(
-        F.min("tick").alias("first_seen"),
-        F.max("tick").alias("last_seen"),
-        F.count(F.lit(1)).alias("occurrence_count"),
-        F.min("severity_rank").alias("peak_rank"),
-        F.max("metric_value").alias("peak_metric_value"),
-        F.max_by(F.struct(*latest), F.struct("tick", order_struct())).alias("latest"),
-    )
+
+def merge_states(states: DataFrame, keys: list[str]) -> DataFrame:
+    return states.groupBy(*keys).agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("occurrence_count").alias("occurrence_count"),
+        F.min("peak_rank").alias("peak_rank"), F.max("peak_metric_value").alias("peak_metric_value"),
+        F.max("latest_place").alias("latest_place"), F.max_by("latest", "latest_place").alias("latest"),
+    )
+
+
+def standing_state(standing: DataFrame, spine: DataFrame, group: list[str], identity: list[str], body: list[str]) -> DataFrame:
+    """``partial_state`` of findings that hold at every tick of their cluster, from the ticks' range and number alone."""
+    reach = spine.groupBy(*group).agg(F.min("tick").alias("first_seen"), F.max("tick").alias("last_seen"), F.count(F.lit(1)).alias("_ticks"))
+    once = standing.groupBy("cluster_id", *identity).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("severity_rank").alias("peak_rank"), F.max("metric_value").alias("peak_metric_value"),
+        F.max(order_struct()).alias("_place"), F.max_by(F.struct(*body), order_struct()).alias("latest"),
+    )
+    place = F.struct(F.col("last_seen").alias("tick"), F.col("_place").alias("order"))
+    return skew_join(once, reach, ["cluster_id"], "inner").select(
+        *group, *identity, "first_seen", "last_seen", (F.col("_n") * F.col("_ticks")).alias("occurrence_count"),
+        "peak_rank", "peak_metric_value", place.alias("latest_place"), "latest",
+    )
+
+
+def resolve(states: DataFrame, spine: DataFrame, group: list[str], identity: list[str], body: list[str]) -> DataFrame:
+    """The history of merged states: ``resolved_at`` is the first report after an insight was last seen."""
     peak = F.get(F.array(*[F.lit(s) for s in T.SEVERITIES]), F.col("peak_rank"))
     after = next_tick(spine, group).select(*group, F.col("tick").alias("last_seen"), F.col("next_tick").alias("resolved_at"))
-    return rows.join(after, [*group, "last_seen"], "left").select(
-        *group, *identity, *[F.col(f"latest.{c}").alias(c) for c in latest],
+    return states.join(after, [*group, "last_seen"], "left").select(
+        *group, *identity, *[F.col(f"latest.{c}").alias(c) for c in body],
         "first_seen", "last_seen", "resolved_at", "occurrence_count", peak.alias("peak_severity"), "peak_rank", "peak_metric_value",
     )
 
 
+def accumulate(
+    insights: DataFrame | None, spine: DataFrame, group: list[str], identity: list[str] = TITLE_KEY, standing: DataFrame | None = None
+) -> DataFrame:
+    """One row per insight identity and group: latest values, first and last tick, count, peaks, ``resolved_at``.
+
+    ``spine`` holds every report tick of the group, also those without findings: an insight
+    is resolved at the first report after it was last seen, and open if there is none.
+    ``standing`` findings have no tick and hold at each tick of their cluster; they are never copied to the ticks. Either
+    kind may be ``None``, not both.
+    """
+    body = [c for c in LATEST if c not in identity]
+    keys = [*group, *identity]
+    states = None if insights is None else partial_state(insights, keys, body)
+    if standing is not None:
+        held = standing_state(standing, spine, group, identity, body)
+        states = held if states is None else merge_states(states.unionByName(held), keys)
+    return resolve(states, spine, group, identity, body)
+
+
 def episodes(insights: DataFrame, spine: DataFrame, group: list[str], identity: list[str] = TITLE_KEY) -> DataFrame:
     """Every open-to-resolved stretch of an insight: runs of consecutive report ticks.
 

@@ -198,23 +198,34 @@ class InsightPlan:
         picked = lambda r: r.scope == scope and wanted(r)
         chosen = [r for r in self.rules if picked(r)]
         rows = self._key_rows(chosen) if scope == "key" else self.scope(scope, words_of(chosen))
-        if rows is None:
+        return None if rows is None else candidates(rows, self.rules, picked, KEY)
+
+    def _stands(self, scope: str) -> bool:
+        """Whether the scope's rows are known per cluster and hold at every tick."""
+        return scope == "rdd" and self.tables.rdds is not None and "tick" not in self.tables.rdds.columns
+
+    def _passing(self, wanted) -> DataFrame | None:
+        """Findings of rows that carry a tick: union of one pass per scope that has a wanted rule."""
+        scopes = [s for s in SCOPES if not self._stands(s) and any(r.scope == s and wanted(r) for r in self.rules)]
+        parts = [p for p in (self._candidates(s, wanted) for s in scopes) if p is not None]
+        return dress(reduce(DataFrame.unionByName, parts), self.rules) if parts else None
+
+    def _standing(self, wanted) -> DataFrame | None:
+        """Findings of datasets known per cluster, one row each: part of every report of that cluster."""
+        picked = lambda r: r.scope == "rdd" and wanted(r)
+        chosen = [r for r in self.rules if picked(r)]
+        if not chosen or not self._stands("rdd"):
             return None
-        if scope != "rdd" or "tick" in rows.columns:
-            return candidates(rows, self.rules, picked, KEY)
-        # datasets known per cluster are part of every report of that cluster; texts are made before the copies
-        found = dress(candidates(rows, self.rules, picked, ["cluster_id"]), self.rules, ["cluster_id"])
-        return skew_join(found, self.spine, ["cluster_id"], "inner")
+        rows = self.scope("rdd", words_of(chosen))
+        return dress(candidates(rows, self.rules, picked, ["cluster_id"]), self.rules, ["cluster_id"])
 
     def _found(self, wanted) -> DataFrame:
-        """Union of one pass per scope that has a wanted rule."""
-        scopes = [s for s in SCOPES if any(r.scope == s and wanted(r) for r in self.rules)]
-        parts = [(s, self._candidates(s, wanted)) for s in scopes]
-        bare = [p for _, p in parts if p is not None and "code" in p.columns]
-        done = [p for _, p in parts if p is not None and "code" not in p.columns]
-        if bare:
-            done.insert(0, dress(reduce(DataFrame.unionByName, bare), self.rules))
-        return reduce(DataFrame.unionByName, done)
+        """Every wanted finding at every tick it belongs to."""
+        passing, standing = self._passing(wanted), self._standing(wanted)
+        if standing is None:
+            return passing
+        copies = skew_join(standing, self.spine, ["cluster_id"], "inner")
+        return copies if passing is None else passing.unionByName(copies)
 
     def _reported(self, found: DataFrame) -> DataFrame:
         return found.join(self.spine, KEY, "left_semi")
@@ -228,6 +239,17 @@ class InsightPlan:
         """Every finding of every reported key: one pass per scope."""
         return self._reported(self._found(lambda r: True))
 
+    @cached_property
+    def passing(self) -> DataFrame | None:
+        """Findings of rows with a tick, of every reported key. With ``standing`` they say what ``insights`` says."""
+        found = self._passing(lambda r: True)
+        return None if found is None else self._reported(found)
+
+    @cached_property
+    def standing(self) -> DataFrame | None:
+        """Findings without a tick: they hold from a cluster's first report to its last. ``None`` if no table is of that kind."""
+        return self._standing(lambda r: True)
+
     def insights_by_rule(self) -> DataFrame:
         """The same table as one union branch per rule; kept as the reference plan in tests."""
         names = list(dict.fromkeys(r.name for r in self.rules))
@@ -278,10 +300,10 @@ def with_rank(insights: DataFrame) -> DataFrame:
     return dense_number(insights, KEY, order, block, "place")
 
 
-def by_category(insights: DataFrame) -> DataFrame:
+def by_category(insights: DataFrame, key: list[str] = KEY) -> DataFrame:
     """One row per key and category: counts by severity, and the finding listed first."""
     worst = F.min_by(F.struct("recommendation", "severity", "advice", "affected_entity"), order_struct())
-    return insights.groupBy(*KEY, "category").agg(
+    return insights.groupBy(*key, "category").agg(
         F.count(F.lit(1)).alias("issues"),
         *[F.count_if(F.col("severity") == s).alias(s.lower()) for s in T.SEVERITIES],
         worst.alias("worst"),
@@ -289,6 +311,19 @@ def by_category(insights: DataFrame) -> DataFrame:
     )
 
 
+def with_standing(categories: DataFrame | None, standing: DataFrame | None, spine: DataFrame) -> DataFrame:
+    """``by_category`` of passing findings, and of standing ones, which are counted per cluster before they meet its ticks."""
+    if standing is None:
+        return categories
+    copies = skew_join(spine, by_category(standing, ["cluster_id"]), ["cluster_id"], "inner")
+    if categories is None:
+        return copies
+    sums = [F.sum(c).alias(c) for c in ("issues", *[s.lower() for s in T.SEVERITIES])]
+    return categories.unionByName(copies).groupBy(*KEY, "category").agg(
+        *sums, F.min_by("worst", "first_place").alias("worst"), F.min("first_place").alias("first_place")
+    )
+
+
 def as_recommendation(categories: DataFrame) -> DataFrame:
     """Title and priority of each category row."""
     name = F.initcap(F.lower(F.regexp_replace("category", "_", " ")))

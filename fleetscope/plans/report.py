@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetscope import thresholds as T
 from fleetscope.functions.classify import score_colour, score_label
 from fleetscope.functions.numbers import clamp100, ratio, whole
-from fleetscope.plans.insights import InsightPlan, as_recommendation, by_category, recommendations
+from fleetscope.plans.insights import InsightPlan, as_recommendation, by_category, recommendations, with_standing
 from fleetscope.schemas import KEY
 
 COMPONENTS = list(T.HEALTH_WEIGHTS)
@@ -64,7 +64,8 @@ class DiagnosticPlan(InsightPlan):
 
     @cached_property
     def categories(self) -> DataFrame:
-        return by_category(self.insights)
+        passing = None if self.passing is None else by_category(self.passing)
+        return with_standing(passing, self.standing, self.spine)
 
     @cached_property
     def facts(self) -> DataFrame:

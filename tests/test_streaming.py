@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from fleetscope.catalog.all_queries import QUERIES
 from fleetscope.operators import series
 from fleetscope.operators.throttle import throttle
-from fleetscope.plans.history import accumulate
+from fleetscope.plans.history import TITLE_KEY, accumulate
 from fleetscope.plans.report import DiagnosticPlan
 from fleetscope.schemas import KEY, conform
 from fleetscope.plans.insights import SCHEMAS
 from fleetscope.sources.sample_views import SampleViews
 from fleetscope.streaming import ordered, state
-from fleetscope.streaming.history import HistoryStream
+from fleetscope.streaming.history import HistoryStream, IncrementalHistory
 from fleetscope.streaming.reports import TICKED, ReportStream
 from fleetscope.streaming.rules import row_findings, row_rules
 
@@ -102,6 +102,42 @@ def test_history_attached_to_a_stream(spark):
     found.unpersist(), spine.unpersist()
 
 
+def test_incremental_history_equals_batch_and_writes_what_changed(spark):
+    p = DiagnosticPlan(SampleViews(spark, SF).telemetry, rules=[r for r in DiagnosticPlan(SampleViews(spark, SF).telemetry).rules if r.ordinal in (1, 9, 18)])
+    found, spine = p.insights.cache(), p.spine.cache()
+    inbox, beats, root, checkpoint = (tempfile.mkdtemp(prefix="fs-inc-") for _ in range(4))
+    stream = IncrementalHistory(spark, root)
+
+    def go(part, to=checkpoint):
+        found.filter(part).coalesce(1).write.mode("append").parquet(inbox)
+        spine.filter(part).coalesce(1).write.mode("append").parquet(beats)
+        read = [spark.readStream.schema(df.schema).parquet(f) for df, f in ((found, inbox), (spine, beats))]
+        stream.start(*read, to).awaitTermination()
+        return max(r.batch for r in spark.read.parquet(f"{root}/ticks").select("batch").distinct().collect())
+
+    late, one = F.col("tick") % 3 == 1, F.col("tick") == spine.agg(F.min("tick")).first()[0]
+    want = accumulate(found, spine, ["cluster_id"])
+    columns = want.columns
+    first = go(~late & ~one)
+    early = ~late & ~one
+    assert rows(stream.accumulated(first).select(*columns)) == rows(accumulate(found.filter(early), spine.filter(early), ["cluster_id"]).select(*columns))
+    second = go(late & ~one)
+    stream.compact(second)
+    last = go(one)
+    assert rows(stream.accumulated(last).select(*columns)) == rows(want)
+    # the last trigger brought one tick: it wrote that tick's insights, not the history
+    changed = spark.read.parquet(f"{root}/changes/batch={last}")
+    touched = found.filter(one).select("cluster_id", *TITLE_KEY).distinct().count()
+    assert 0 < changed.count() == touched < stream.state(last).count()
+    assert spark.read.parquet(f"{root}/ticks/batch={last}").count() == spine.filter(one).count()
+    # from the base on, and before it
+    assert rows(stream.accumulated(second).select(*columns)) == rows(accumulate(found.filter(~one), spine.filter(~one), ["cluster_id"]).select(*columns))
+    assert rows(stream.accumulated(first).select(*columns)) == rows(accumulate(found.filter(early), spine.filter(early), ["cluster_id"]).select(*columns))
+    with pytest.raises(Exception, match="is lost"):
+        go(one, tempfile.mkdtemp(prefix="fs-new-"))
+    found.unpersist(), spine.unpersist()
+
+
 def shuffled(df, seconds):
     """``df`` in six files that overlap in time, and a last poll of no one's that moves the watermark past all others."""
     folder = tempfile.mkdtemp(prefix="fs-poll-")
