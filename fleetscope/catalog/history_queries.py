@@ -357,7 +357,7 @@ _EXPORT_SQL = f"select cluster_id, run_id, {_ACC_COLS}, severity, {_PEAK} peak_s
 
 @query("run_stop", _EXPORT_SQL)
 def run_stop(v):
-    return runs.export_insights(exported(v)).drop("description", "recommendation").withColumns(
+    return runs.export_insights(exported(v)).drop("description", "recommendation", "peak_rank").withColumns(
         {c: F.round(c, 6) for c in ("metric_value", "peak_metric_value", "threshold_value")}
     )
 
