@@ -223,6 +223,11 @@ def plan(v) -> DiagnosticPlan:
     return DiagnosticPlan(v.telemetry, store=True)
 
 
+def report_ticks(p: DiagnosticPlan):
+    """Keys of all reports by a light plan, kept since it is read several times."""
+    return keep(p.tables.executors.select(*KEY).distinct())
+
+
 CTES["a_rows"] = f"select *, cast(tick as bigint)*1000000+row_number() over (partition by cluster_id, tick order by {LIST_ORDER}) ord from i_all"
 
 
@@ -270,7 +275,7 @@ CTES["a_isl"] = "select *, idx-row_number() over (partition by cluster_id, categ
 )
 def insight_episodes(v):
     p = plan(v)
-    return history.episodes(p.insights, p.key_scope.select(*KEY), ["cluster_id"])
+    return history.episodes(p.passing, report_ticks(p), ["cluster_id"], standing=p.standing)
 
 
 @query("active_resolved_counts", "select cluster_id, count_if(resolved_at is null) active, count_if(resolved_at is not null) resolved from a_acc group by cluster_id")

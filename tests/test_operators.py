@@ -170,3 +170,22 @@ def test_history_resolves_and_reopens(spark):
     assert open_now.resolved_at is None
     got = sorted((r.title, r.episode, r.opened, r.last_tick, r.resolved_at, r.ticks) for r in episodes(found, spine, ["cluster_id"]).collect())
     assert got == [("a", 1, 1, 2, 3, 2), ("a", 2, 5, 5, 6, 1), ("b", 1, 1, 1, 2, 1)]
+
+
+def test_stretches_across_blocks_and_standing_findings_are_one_episode(spark, monkeypatch):
+    from fleetscope.plans import history
+
+    monkeypatch.setattr(history, "TICK_BLOCK", 3)
+    ticks = [10, 20, 30, 41, 52, 63, 74, 85]
+    spine = spark.createDataFrame([("c", t) for t in ticks], "cluster_id string, tick int")
+    schema = "cluster_id string, tick int, category string, affected_entity string, title string"
+    seen = {"A": [0, 1, 2, 3, 6], "B": [2, 3, 4, 5, 6, 7], "C": [0, 2, 4, 6], "S": [3]}
+    found = spark.createDataFrame([("c", ticks[n], "X", "e", t) for t, places in seen.items() for n in places], schema)
+    standing = spark.createDataFrame([("c", "X", "e", "S"), ("c", "X", "e", "T")], "cluster_id string, category string, affected_entity string, title string")
+    got = history.episodes(found, spine, ["cluster_id"], standing=standing).collect()
+    assert sorted((r.title, r.episode, r.opened, r.last_tick, r.resolved_at, r.ticks) for r in got) == [
+        ("A", 1, 10, 41, 52, 4), ("A", 2, 74, 74, 85, 1), ("B", 1, 30, 85, None, 6),
+        *[("C", n + 1, ticks[2 * n], ticks[2 * n], ticks[2 * n + 1], 1) for n in range(4)],
+        ("S", 1, 10, 85, None, 8), ("T", 1, 10, 85, None, 8),
+    ]
+    assert history.episodes(found, spine, ["cluster_id"]).filter("title = 'S'").first().ticks == 1
