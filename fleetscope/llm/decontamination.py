@@ -28,6 +28,7 @@ from fleetscope.llm.common import HASHES, batch_bytes, gram_hashes, sliding_min
 WINDOW = 13
 GRAM = 5
 FILTER_BITS = 1 << 20
+SLICE_BYTES = 1 << 20  # text whose words are in memory at once; a longer text is a slice of its own
 NO_ID = -(1 << 63)
 
 _KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
@@ -74,6 +75,15 @@ def kept_grams(hashes: np.ndarray, lengths: np.ndarray, short: tuple[int, ...] =
     return np.concatenate(values), np.concatenate(owners)
 
 
+def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges (start, end) of neighbouring rows whose sizes sum to ``most`` at the most, or of one row."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(ends):
+        end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield start, end
+        start = end
+
+
 def _texts(column: pa.Array) -> list[bytes]:
     data, offsets = batch_bytes(column)
     raw = data.tobytes()
@@ -95,13 +105,15 @@ def _document_grams(filter_bits: bytes, short: tuple[int, ...]):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(np.frombuffer(filter_bits, np.uint8)).astype(bool)
         for batch in batches:
-            keys, prints = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            by_text = [words_of(t) for t in _texts(batch.column(2))]
-            hashes = HASHES.of([w for ws in by_text for w in ws])
-            grams, owners = kept_grams(hashes, np.array([len(ws) for ws in by_text], np.int64), short)
-            hit = wanted[(grams & np.uint64(FILTER_BITS - 1)).astype(np.int64)]
-            rows = np.unique(np.rec.fromarrays([keys[owners[hit]], prints[owners[hit]], grams[hit].view(np.int64)]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[f]), pa.int64()) for f in ("f0", "f1", "f2")], [*OWN, "gram"])
+            for start, end in slices(np.diff(batch_bytes(batch.column(2))[1]), SLICE_BYTES):
+                part = batch.slice(start, end - start)
+                keys, prints = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
+                by_text = [words_of(t) for t in _texts(part.column(2))]
+                hashes = HASHES.of([w for ws in by_text for w in ws])
+                grams, owners = kept_grams(hashes, np.array([len(ws) for ws in by_text], np.int64), short)
+                hit = wanted[(grams & np.uint64(FILTER_BITS - 1)).astype(np.int64)]
+                rows = np.unique(np.rec.fromarrays([keys[owners[hit]], prints[owners[hit]], grams[hit].view(np.int64)]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[f]), pa.int64()) for f in ("f0", "f1", "f2")], [*OWN, "gram"])
 
     return find
 

@@ -8,6 +8,7 @@ import json
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -309,3 +310,22 @@ def test_many_rows_without_an_id_are_judged_as_fast_as_with_ids(spark):
     got = decontamination.find_contamination(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), bench).select("doc_id", "n_words", "n_hit", "items").collect()
     assert len(got) == 5000 and all((r.n_words, r.n_hit, len(r["items"])) == (17, 14, 1) for r in got)
     assert sorted(r["items"][0] for r in got) == sorted(i for i, _ in items)
+
+
+def test_grams_are_taken_from_slices_of_a_batch(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(str(rng.randrange(50)) for _ in range(n)) for n in (0, 5, 30, 4000, 13, 0, 200, 200, 1, 60)]
+    columns = [pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int64()), pa.array(texts)]
+    batch = pa.RecordBatch.from_arrays(columns, ["_key", "_print", "text"])
+    sizes, kept = [], decontamination.kept_grams
+    monkeypatch.setattr(decontamination, "kept_grams", lambda hashes, *rest: sizes.append(len(hashes)) or kept(hashes, *rest))
+    every = bytes([255]) * (decontamination.FILTER_BITS // 8)
+    found = lambda: sorted(r for b in decontamination._document_grams(every, (5,))(iter([batch])) for r in zip(*b.to_pydict().values()))
+    monkeypatch.setattr(decontamination, "SLICE_BYTES", 1 << 20)
+    whole = found()
+    assert sizes == [sum(len(t.split()) for t in texts)] and whole
+    sizes.clear()
+    monkeypatch.setattr(decontamination, "SLICE_BYTES", 300)
+    assert found() == whole
+    assert sum(sizes) == sum(len(t.split()) for t in texts) and sorted(sizes)[-2:] == [200, 4000]
+    assert [list(decontamination.slices(np.array(s), 4)) for s in ([], [9], [0, 0], [2, 2, 1, 9, 0, 4])] == [[], [(0, 1)], [(0, 2)], [(0, 2), (2, 3), (3, 4), (4, 6)]]
