@@ -340,7 +340,8 @@ def ticks_of(v):
 
 
 def exported(v):
-    return runs.stop_runs(plan(v).insights, ticks_of(v), v.view("runs"))
+    p = plan(v)
+    return runs.stop_runs(p.passing, ticks_of(v), v.view("runs"), p.standing)
 
 
 def kept_snapshots(v):
@@ -386,7 +387,7 @@ left join (select run_id, count(*) insights from u_acc group by run_id) a on r.r
 @query("run_stats", "select cluster_id, run_id, name, round(avg_score,6) avg_score, worst_score, cycles, insights from u_stats")
 def run_stats(v):
     p = plan(v)
-    acc = runs.stop_runs(p.insights, ticks_of(v), v.view("runs"))
+    acc = runs.stop_runs(p.passing, ticks_of(v), v.view("runs"), p.standing)
     return runs.run_stats(p.health, acc, v.view("runs"), ticks_of(v)).select("cluster_id", "run_id", "name", r6("avg_score"), "worst_score", "cycles", "insights")
 
 

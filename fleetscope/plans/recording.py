@@ -27,7 +27,7 @@ def record(store: RunStore, plan: DiagnosticPlan, started: DataFrame, seconds: C
         "runs": lambda: started.withColumn("conf", F.to_json("conf")),
         "run_health": lambda: runs.assign(plan.report.select(*KEY, "score", "executor_count", *COMPONENTS), started, ticks),
         "run_snapshots": lambda: runs.snapshots(plan.health, started, seconds, ticks=ticks),
-        "run_insights": lambda: runs.export_insights(runs.stop_runs(plan.insights, ticks, started)),
+        "run_insights": lambda: runs.export_insights(runs.stop_runs(plan.passing, ticks, started, plan.standing)),
     }
     for table in tables:
         store.save(table, parts[table]())

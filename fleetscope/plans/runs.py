@@ -41,9 +41,14 @@ def assign(reports: DataFrame, runs: DataFrame, ticks: DataFrame | None = None)
     return skew_join(reports, held(keep(ticks.select("cluster_id", "tick").distinct())), ["cluster_id", "tick"], "inner")
 
 
-def stop_runs(insights: DataFrame, report_ticks: DataFrame, runs: DataFrame) -> DataFrame:
-    """Accumulated insights of every run, as exported when it stops."""
-    return accumulate(assign(insights, runs, report_ticks), assign(report_ticks, runs), RUN)
+def stop_runs(insights: DataFrame, report_ticks: DataFrame, runs: DataFrame, standing: DataFrame | None = None) -> DataFrame:
+    """Accumulated insights of every run, as exported when it stops.
+
+    ``standing`` findings have no tick and belong to every report of their cluster; they meet the runs as one row each.
+    """
+    ticks = keep(report_ticks.select("cluster_id", "tick").distinct())
+    spine = keep(assign(ticks, runs))
+    return accumulate(skew_join(insights, spine, ["cluster_id", "tick"], "inner"), spine, RUN, standing=standing)
 
 
 def snapshots(health: DataFrame, runs: DataFrame, seconds: Column, gap: int = T.SNAPSHOT_GAP_S, ticks: DataFrame | None = None) -> DataFrame:

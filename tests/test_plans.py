@@ -58,6 +58,25 @@ def test_single_results_read_the_tasks_twice(spark, name):
     assert scans(QUERIES[name](spark, SF), "lineitem") <= 2
 
 
+def test_episodes_and_stopped_runs_hold_the_findings_twice_at_most(spark):
+    """The plan of all findings is large; repeated by every step that reads it, it outgrew the driver."""
+    nodes = lambda df: df._jdf.queryExecution().analyzed().toString().count("rank_metric")
+    plan = DiagnosticPlan(SampleViews(spark, SF).telemetry, store=True)
+    once = nodes(plan.insights)
+    assert nodes(QUERIES["insight_episodes"](spark, SF)) <= 2 * once
+    assert nodes(QUERIES["insight_export"](spark, SF)) <= 2 * once
+
+
+def test_runs_take_findings_without_ticks_as_one_row(spark):
+    views = SampleViews(spark, SF)
+    plan = DiagnosticPlan(views.telemetry, store=True)
+    ticks, wanted = views.executors.select("cluster_id", "tick").distinct(), views.view("runs")
+    text = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    copied = runs.stop_runs(plan.insights, ticks, wanted)
+    assert text(runs.stop_runs(plan.passing, ticks, wanted, plan.standing).select(*copied.columns)) == text(copied)
+    plan.release()
+
+
 def test_plans_are_built_without_jobs(spark):
     views = SampleViews(spark, SF)
     for name in (*BASE_TABLES, "runs"):
