@@ -29,6 +29,7 @@ SCHEMAS = {
 SCOPES = ("executor", "stage", "sql", "rdd", "key")
 ROLLED_UP = ("executors", "stages")  # tables that cost a pass over all tasks
 TICK_BLOCK = 4096
+KEPT_WAVES = 4
 POS_BLOCK = 1 << 16
 
 # Columns of the key scope that come from a table which may be absent
@@ -92,9 +93,14 @@ class InsightPlan:
         self.history = self.tables.executors if history is None else conform(history, EXECUTORS)
 
     def _kept(self, df: DataFrame) -> DataFrame:
+        """Kept facts lie in at most ``KEPT_WAVES`` parts a core: adaptive execution doesn't join small parts of a kept table, and every
+        branch that reads it has a task, and a report of that task to the driver, for each of them.
+        """
         if not self.store:
             return df
-        self.held.append(keep(df))
+        session = df.sparkSession
+        parts = min(KEPT_WAVES * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+        self.held.append(keep(df.repartition(parts)))
         return self.held[-1]
 
     def release(self) -> None:

@@ -67,6 +67,17 @@ def test_episodes_and_stopped_runs_hold_the_findings_twice_at_most(spark):
     assert nodes(QUERIES["insight_export"](spark, SF)) <= 2 * once
 
 
+def test_kept_facts_have_few_parts_whatever_the_shuffle_partitions(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "150")
+    try:
+        plan = DiagnosticPlan(SampleViews(spark, SF).telemetry, store=True)
+        parts = plan.tables.executors._jdf.queryExecution().toRdd().getNumPartitions()
+        assert 0 < parts <= 4 * spark.sparkContext.defaultParallelism < 150
+        plan.release()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 def test_runs_take_findings_without_ticks_as_one_row(spark):
     views = SampleViews(spark, SF)
     plan = DiagnosticPlan(views.telemetry, store=True)
