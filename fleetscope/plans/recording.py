@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetscope.lineage import keep
 from fleetscope.plans import runs
 from fleetscope.plans.report import COMPONENTS, DiagnosticPlan
 from fleetscope.schemas import KEY
@@ -20,9 +21,16 @@ TABLES = ("runs", "run_health", "run_snapshots", "run_insights")
 def record(store: RunStore, plan: DiagnosticPlan, started: DataFrame, seconds: Column, tables: tuple[str, ...] = TABLES) -> RunStore:
     """Saves runs (``runs.start_runs``) with what the reports of ``plan`` hold of them.
 
-    ``seconds``: time of a report, by which snapshots are thinned.
+    ``seconds``: time of a report, by which snapshots are thinned. Findings and reports that two of the tables read are evaluated
+    once and kept until the tables are written.
     """
     ticks = plan.tables.executors.select(*KEY).distinct()  # a light plan for the ticks of all reports
+    of_reports = {"run_health", "run_snapshots"} & set(tables)
+    shared = [plan.passing] if of_reports and "run_insights" in tables and plan.passing is not None else []
+    if len(of_reports) > 1:
+        shared.append(plan.report)
+    for df in shared:  # findings first: a kept report reads what is kept by then
+        keep(df)
     parts = {
         "runs": lambda: started.withColumn("conf", F.to_json("conf")),
         "run_health": lambda: runs.assign(plan.report.select(*KEY, "score", "executor_count", *COMPONENTS), started, ticks),
@@ -31,6 +39,8 @@ def record(store: RunStore, plan: DiagnosticPlan, started: DataFrame, seconds: C
     }
     for table in tables:
         store.save(table, parts[table]())
+    for df in shared:
+        df.unpersist()
     return store
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleetscope.catalog.all_queries import QUERIES
 from fleetscope.plans import history, runs
 from fleetscope.plans.insights import by_category
+from fleetscope.plans.recording import record
 from fleetscope.plans.report import DiagnosticPlan
 from fleetscope.schemas import Telemetry
 from fleetscope.sources.sample_views import BASE_TABLES, SampleViews
@@ -88,6 +89,25 @@ def test_runs_take_findings_without_ticks_as_one_row(spark):
     plan.release()
 
 
+def test_recorded_tables_share_the_findings(spark):
+    """Each table of a run took the findings from the source tables again."""
+    views = SampleViews(spark, SF)
+    plan = DiagnosticPlan(views.telemetry, store=True)
+    read = {}
+
+    class Saved:
+        def save(self, table, rows):
+            leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+            read[table] = [leaves.apply(i).toString() for i in range(leaves.size())]
+
+    started = views.view("runs").withColumn("conf", F.create_map().cast("map<string,string>"))
+    record(Saved(), plan, started, F.col("tick"), ("run_health", "run_insights"))
+    assert set(read) == {"run_health", "run_insights"}
+    assert not [leaf for leaves in read.values() for leaf in leaves if "o_orderkey" in leaf and "InMemoryRelation" not in leaf]
+    assert not plan.passing.storageLevel.useMemory  # given back
+    plan.release()
+
+
 def test_plans_are_built_without_jobs(spark):
     views = SampleViews(spark, SF)
     for name in (*BASE_TABLES, "runs"):
