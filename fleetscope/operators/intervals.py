@@ -48,10 +48,11 @@ def interval_nodes(df: DataFrame, start: str, stop: str, out: str) -> DataFrame:
     return df.withColumn(out, F.concat(*pieces, _run(LEVELS - 1, first[-1], last[-1])))
 
 
-def inside(points: DataFrame, intervals: DataFrame, keys: list[str], point: str, start: str, stop: str) -> DataFrame:
+def inside(points: DataFrame, intervals: DataFrame, keys: list[str], point: str, start: str, stop: str, bare: bool = False) -> DataFrame:
     """Rows of ``points`` with the columns of each interval of their key that holds them (both ends belong to it).
 
     A null stop is open; a null point, start or key matches nothing. An interval that ends before it starts holds nothing.
+    ``bare`` points are distinct and have no columns but ``keys`` and ``point``: the intervals are not joined with their payload then.
     """
     places = points.filter(F.col(point).isNotNull()).select(*keys, F.col(point).cast("long").alias("_at")).distinct()
     reach = places.groupBy(*keys).agg(F.min("_at").alias("_least"), F.max("_at").alias("_most"))
@@ -64,4 +65,6 @@ def inside(points: DataFrame, intervals: DataFrame, keys: list[str], point: str,
     node = ["_level", "_node"]
     split = {"_level": F.col("_n.level"), "_node": F.col("_n.node")}
     hits = skew_join(spread.withColumns(split).drop("_n"), cut.withColumns(split).drop("_n"), [*keys, *node], "inner").drop(*node)
+    if bare:
+        return hits.select(*keys, F.col("_at").cast(points.schema[point].dataType).alias(point), *[c for c in hits.columns if c not in (*keys, "_at")])
     return skew_join(points.withColumn("_at", F.col(point).cast("long")), hits, [*keys, "_at"], "inner").drop("_at")

@@ -120,7 +120,7 @@ class EventLog:
     def _shown(self, spans: DataFrame) -> DataFrame:
         """A row for each tick from ``_start`` to ``_end`` (milliseconds; a null end is open), and whether it has ended by then."""
         placed = spans.withColumns({"_from": self._tick(F.col("_start")), "_upto": self._tick(F.col("_end"))})
-        rows = inside(self.ticks, placed, ["cluster_id"], "tick", "_from", "_upto")
+        rows = inside(self.ticks, placed, ["cluster_id"], "tick", "_from", "_upto", bare=True)
         return rows.withColumn("_ended", F.col("_upto").isNotNull() & (F.col("tick") >= F.col("_upto"))).drop("_from", "_upto")
 
     @cached_property
@@ -192,22 +192,24 @@ class EventLog:
 
     @property
     def sql_queries(self) -> DataFrame:
-        rows = self._shown(self.sql_spans)
         id_ = F.expr(f"try_cast(try_element_at(f.properties, '{EXECUTION_ID}') as bigint)")
-        jobs = self.job_spans.select("cluster_id", id_.alias("execution_id"), "job_id", "_end", (F.col("_result") == "JobSucceeded").alias("good")).filter("execution_id is not null")
-        ended = F.col("_job_tick").isNotNull() & (F.col("_job_tick") <= F.col("tick"))
-        # a query's own jobs, at each tick it is shown
-        started = jobs.withColumn("_job_tick", self._tick(F.col("_end"))).drop("_end")
-        facts = rows.select(*KEY, "execution_id").join(started, ["cluster_id", "execution_id"]).groupBy(*KEY, "execution_id").agg(
-            F.count_if(~ended).cast("int").alias("running_jobs"), F.count_if(ended & F.col("good")).cast("int").alias("success_jobs"),
-            F.sort_array(F.collect_list(F.when(ended & ~F.col("good"), F.col("job_id")))).alias("failed_job_ids"),
-        )
+        job = F.struct("job_id", self._tick(F.col("_end")).alias("upto"), (F.col("_result") == "JobSucceeded").alias("good"))
+        # a query's own jobs meet it once, before it is shown at its ticks
+        jobs = self.job_spans.select("cluster_id", id_.alias("execution_id"), job.alias("job")).filter("execution_id is not null")
+        own = jobs.groupBy("cluster_id", "execution_id").agg(F.sort_array(F.collect_list("job")).alias("_jobs"))
+        spans = self.sql_spans.join(own, ["cluster_id", "execution_id"], "left")
+        rows = self._shown(spans.withColumn("_jobs", F.coalesce("_jobs", F.array().cast(own.schema["_jobs"].dataType))))
+        ended = lambda j: j["upto"].isNotNull() & (j["upto"] <= F.col("tick"))
+        of = lambda wanted: F.filter("_jobs", wanted)
+        rows = rows.withColumns({
+            "running_jobs": F.size(of(lambda j: ~ended(j))), "success_jobs": F.size(of(lambda j: ended(j) & j["good"])),
+            "failed_job_ids": F.transform(of(lambda j: ended(j) & ~j["good"]), lambda j: j["job_id"]),
+        })
         error = F.coalesce(F.col("_error"), F.lit("")) != ""
         status = F.when(~F.col("_ended"), "RUNNING").when(error, "FAILED").otherwise("COMPLETED")
         rows = rows.withColumns({"status": status, "pos": F.col("execution_id"), "submission_time": F.timestamp_millis("_start"),
                                  "duration_ms": F.when(F.col("_ended"), F.col("_end") - F.col("_start"))})
-        joined = rows.join(facts, [*KEY, "execution_id"], "left").na.fill(0, ["running_jobs", "success_jobs", "duration_ms"])
-        return conform(joined.withColumn("failed_job_ids", F.coalesce("failed_job_ids", F.array().cast("array<bigint>"))), SQL_QUERIES)
+        return conform(rows.na.fill(0, ["duration_ms"]), SQL_QUERIES)
 
     @property
     def clusters(self) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.operators import intervals
 from fleetscope.plans import runs
+from fleetscope.sources import event_log
 
 
 def _brute(points, spans):
@@ -79,3 +81,24 @@ def test_an_interval_has_few_nodes(spark):
     for r in rows:
         assert len(r.nodes) <= 2 * 63 * intervals.LEVELS
         assert sum(1 << (intervals.BITS * n.level) for n in r.nodes) == r.b - r.a + 1
+
+
+def test_queries_of_a_log_are_spread_over_its_ticks_once(spark):
+    """Jobs of a query were counted on a second copy of the queries at their ticks."""
+    lines = [
+        {"Event": f"{event_log.SQL}Start", "executionId": 1, "time": 1000},
+        {"Event": f"{event_log.SQL}Start", "executionId": 2, "time": 2500},
+        *[{"Event": "SparkListenerJobStart", "Job ID": j, "Submission Time": 1000, "Properties": {event_log.EXECUTION_ID: "1"}} for j in (5, 4, 3, 2)],
+        {"Event": "SparkListenerJobEnd", "Job ID": 5, "Completion Time": 2000, "Job Result": {"Result": "JobFailed"}},
+        {"Event": "SparkListenerJobEnd", "Job ID": 4, "Completion Time": 3000, "Job Result": {"Result": "JobFailed"}},
+        {"Event": "SparkListenerJobEnd", "Job ID": 3, "Completion Time": 2000, "Job Result": {"Result": "JobSucceeded"}},
+        {"Event": f"{event_log.SQL}End", "executionId": 1, "time": 3000},
+    ]
+    rows = spark.createDataFrame([("c", json.dumps(line)) for line in lines], "cluster_id string, value string")
+    found = event_log.EventLog(event_log.parse_events(rows), 1).sql_queries
+    assert found._jdf.queryExecution().analyzed().toString().count("explode(_nodes") == 1
+    got = {(r.tick, r.execution_id): (r.status, r.running_jobs, r.success_jobs, list(r.failed_job_ids)) for r in found.collect()}
+    assert got == {
+        (1, 1): ("RUNNING", 4, 0, []), (2, 1): ("RUNNING", 2, 1, [5]), (3, 1): ("COMPLETED", 1, 1, [4, 5]),
+        (2, 2): ("RUNNING", 0, 0, []), (3, 2): ("RUNNING", 0, 0, []),
+    }
