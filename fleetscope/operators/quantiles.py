@@ -29,7 +29,8 @@ def task_quantiles(
         tasks.select(*keys, F.inline(values))
         .groupBy(*keys, "m", "v")
         .agg(F.count("v").alias("c"))
-        .withColumn("band", F.when(F.col("v") > 0, F.floor(F.log2("v") * 1024).cast("int")).otherwise(BELOW_ALL))
+        # never null by its type: a check for nulls on one side of the join below would make the count of values run for each side
+        .withColumn("band", F.coalesce(F.when(F.col("v") > 0, F.floor(F.log2("v") * 1024).cast("int")), F.lit(BELOW_ALL)))
     )
     whole = W.partitionBy(*keys, "m")
     bands = (

@@ -59,6 +59,14 @@ def test_single_results_read_the_tasks_twice(spark, name):
     assert scans(QUERIES[name](spark, SF), "lineitem") <= 2
 
 
+@pytest.mark.parametrize("name", ["task_quantiles", "is_skewed"])
+def test_quantiles_count_the_values_once(spark, name):
+    """Both sides of the join of values and bands read the exchange of the same count."""
+    df = QUERIES[name](spark, SF)
+    df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_episodes_and_stopped_runs_hold_the_findings_twice_at_most(spark):
     """The plan of all findings is large; repeated by every step that reads it, it outgrew the driver."""
     nodes = lambda df: df._jdf.queryExecution().analyzed().toString().count("rank_metric")
