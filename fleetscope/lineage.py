@@ -15,6 +15,15 @@ def keep(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def keep_large(df: DataFrame) -> DataFrame:
+    """As ``keep``, on the executors' disks alone: for results that grow with the events, of which memory would hold a small part.
+
+    What ``keep`` has in memory are pieces of a little over 1 MB, to which the JVM's collector gives twice their room in the heaps of small
+    executors. Storage then runs out of heap before it counts as full and moves to disk.
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A folder that driver and executors share: the session's checkpoint folder, else its warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -14,7 +14,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetscope.lineage import keep
+from fleetscope.lineage import keep, keep_large
 from fleetscope.operators.intervals import inside
 from fleetscope.operators.rollups import executor_rollup, stage_rollup
 from fleetscope.operators.skew import skew_join
@@ -41,6 +41,17 @@ SCHEMA = (
 )
 
 
+SQL = "org.apache.spark.sql.execution.ui.SparkListenerSQLExecution"
+EXECUTION_ID = "spark.sql.execution.id"
+
+TASK_END = "SparkListenerTaskEnd"
+JOB = ("SparkListenerJobStart", "SparkListenerJobEnd")
+STAGE = ("SparkListenerStageSubmitted", "SparkListenerStageCompleted")
+EXECUTOR = ("SparkListenerExecutorAdded", "SparkListenerExecutorRemoved")
+QUERY = (f"{SQL}Start", f"{SQL}End")
+APPLICATION = ("SparkListenerApplicationStart", "SparkListenerEnvironmentUpdate")
+
+
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).json(path)
 
@@ -51,13 +62,14 @@ def parse_events(lines: DataFrame) -> DataFrame:
     return lines.select(*kept, F.from_json("value", SCHEMA).alias("_e")).select(*kept, "_e.*")
 
 
-def finished_tasks(events: DataFrame, cluster_id: str | None = None, tick_seconds: int | None = None) -> DataFrame:
+def finished_tasks(events: DataFrame, cluster_id: str | None = None, tick_seconds: int | None = None, beside: list[Column] | None = None) -> DataFrame:
     """``SparkListenerTaskEnd`` events as task rows; unlisted metrics are 0.
 
     With ``tick_seconds`` a task gets the tick in which it finished (seconds since 1970 over the tick's length), so that
-    the rows can be rolled up by key to the stage and executor tables of an analysis.
+    the rows can be rolled up by key to the stage and executor tables of an analysis. With columns ``beside`` those of a task, the
+    events of other kinds stay as well.
     """
-    ends = events.filter(F.col("Event") == "SparkListenerTaskEnd")
+    ends = events.filter(F.col("Event") == TASK_END) if beside is None else events
     metric = {
         "executor_run_time_ms": "`Executor Run Time`", "executor_cpu_time_ns": "`Executor CPU Time`", "jvm_gc_time_ms": "`JVM GC Time`",
         "memory_bytes_spilled": "`Memory Bytes Spilled`", "disk_bytes_spilled": "`Disk Bytes Spilled`",
@@ -73,7 +85,7 @@ def finished_tasks(events: DataFrame, cluster_id: str | None = None, tick_second
     key = [f"'{cluster_id}' as cluster_id"] if cluster_id is not None else [c for c in ("cluster_id", "tick") if c in events.columns]
     if tick_seconds is not None:
         key = [k for k in key if k != "tick"] + [f"cast(floor({info}.`Finish Time` / {1000 * tick_seconds}) as int) as tick"]
-    return ends.selectExpr(
+    columns = [
         *key, "`Stage ID` as stage_id", "`Stage Attempt ID` as attempt_id", f"{info}.`Task ID` as task_id", f"{info}.Index as index",
         f"{info}.Attempt as attempt",
         f"case when {info}.Killed then 'KILLED' when {info}.Failed or {reason}.Reason <> 'Success' then 'FAILED' else 'SUCCESS' end as status",
@@ -82,19 +94,20 @@ def finished_tasks(events: DataFrame, cluster_id: str | None = None, tick_second
         f"nullif(coalesce({reason}.`Full Stack Trace`, {reason}.Description), '') as error_message",
         f"coalesce({info}.Speculative, false) as speculative", f"coalesce({info}.Locality, '') as task_locality",
         f"named_struct({metrics}) as metrics",
-    )
+    ]
+    return ends.select(*[F.expr(c) for c in columns], *(beside or []))
 
 
-SQL = "org.apache.spark.sql.execution.ui.SparkListenerSQLExecution"
-EXECUTION_ID = "spark.sql.execution.id"
+def _by_kind(*columns: tuple[tuple[str, ...], Column]) -> Column:
+    """A column that kinds of events share: that of the event's kind."""
+    return F.coalesce(*[F.when(F.col("Event").isin(*kinds), column) for kinds, column in columns])
 
 
 @dataclass
 class EventLog:
     """The tables in the events of any number of logs. ``events`` has ``cluster_id`` and the columns of ``SCHEMA``.
 
-    The ticks and the spans of jobs, which several tables read, are kept from their first use; ``lineage.keep`` the events as well
-    where lines would be parsed for every table.
+    What the tables read of the events, the ticks and the spans of jobs are kept from their first use, so that lines are parsed once.
     """
 
     events: DataFrame
@@ -104,19 +117,54 @@ class EventLog:
         return F.floor(millis / (1000 * self.tick_seconds)).cast("int")
 
     def _of(self, *kinds: str) -> DataFrame:
-        return self.events.filter(F.col("Event").isin(*kinds))
+        return self.facts.filter(F.col("Event").isin(*kinds))
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        """What the tables read of each event, in flat columns that its kinds share, kept.
+
+        Flat columns are kept packed. Nested ones, as the events have, are not: they take several times the room.
+        """
+        info, executor = (lambda c: F.col("`Stage Info`").getField(c)), F.col("`Executor Info`")
+        at = F.coalesce("Timestamp", "Completion Time", "Submission Time", F.col("`Task Info`").getField("Finish Time"), info("Completion Time"), info("Submission Time"), "time")
+        tasks = F.aggregate(F.coalesce("Stage Infos", F.array()), F.lit(0).cast("long"), lambda n, i: n + F.coalesce(i["Number of Tasks"], F.lit(0)))
+        job = F.col("Event") == JOB[0]
+        own = {
+            "Event": F.col("Event"), "at": self._tick(at),
+            "id": _by_kind((JOB, F.col("Job ID")), (QUERY, F.col("executionId")), (STAGE, info("Stage ID")), ((TASK_END,), F.col("Stage ID"))),
+            "attempt": _by_kind((STAGE, info("Stage Attempt ID")), ((TASK_END,), F.col("Stage Attempt ID"))),
+            "executor": _by_kind((EXECUTOR, F.col("Executor ID"))),
+            "start": _by_kind((JOB, F.col("Submission Time")), (QUERY[:1], F.col("time")), (STAGE, info("Submission Time")), (EXECUTOR[:1], F.col("Timestamp"))),
+            "end": _by_kind((JOB, F.col("Completion Time")), (QUERY[1:], F.col("time")), (STAGE, info("Completion Time")), (EXECUTOR[1:], F.col("Timestamp"))),
+            "name": _by_kind((JOB, F.try_element_at("Properties", F.lit("spark.job.description"))), (QUERY, F.col("description")), (STAGE, info("Stage Name")),
+                             (EXECUTOR, executor.getField("Host")), (APPLICATION, F.col("App Name"))),
+            "outcome": _by_kind((JOB, F.col("Job Result").getField("Result")), (QUERY, F.col("errorMessage")), (STAGE, info("Failure Reason")), (EXECUTOR, F.col("Removed Reason"))),
+            "size": _by_kind((JOB, tasks), (STAGE, info("Number of Tasks")), (EXECUTOR, executor.getField("Total Cores").cast("long"))),
+            "stage_ids": F.when(job, F.col("Stage IDs")),
+            "execution_id": F.when(job, F.expr(f"try_cast(try_element_at(Properties, '{EXECUTION_ID}') as bigint)")),
+            "plan": _by_kind((QUERY, F.col("sparkPlanInfo"))), "spark_conf": _by_kind((APPLICATION, F.col("Spark Properties"))),
+        }
+        rows = finished_tasks(self.events, tick_seconds=self.tick_seconds, beside=[c.alias(f"_{n}") for n, c in own.items()])
+        shared = {"executor": F.when(F.col("_Event") == TASK_END, F.col("executor_id")).otherwise(F.col("_executor"))}
+        return keep_large(
+            rows.select("cluster_id", *[shared.get(n, F.col(f"_{n}")).alias(n) for n in own], "tick", "status", "launch_time", "duration_ms", "metrics.*")
+        )
 
     @cached_property
     def ticks(self) -> DataFrame:
         """Ticks in which anything happened."""
-        info = [F.col("`Stage Info`").getField(c) for c in ("Completion Time", "Submission Time")]
-        at = F.coalesce("Timestamp", "Completion Time", "Submission Time", F.col("`Task Info`").getField("Finish Time"), *info, "time")
-        return keep(self.events.select("cluster_id", self._tick(at).alias("tick")).dropna().distinct())
+        return keep(self.facts.select("cluster_id", F.col("at").alias("tick")).dropna().distinct())
 
     @property
     def tasks(self) -> DataFrame:
         return finished_tasks(self.events, tick_seconds=self.tick_seconds)
 
+    def _counted(self) -> DataFrame:
+        """What rollups read of the tasks."""
+        metrics = F.struct(*self.facts.columns[self.facts.columns.index("duration_ms") + 1 :])
+        ids = [F.col("id").alias("stage_id"), F.col("attempt").alias("attempt_id"), F.col("executor").alias("executor_id")]
+        return self._of(TASK_END).select(*KEY, *ids, "status", "launch_time", "duration_ms", metrics.alias("metrics"))
+
     def _shown(self, spans: DataFrame) -> DataFrame:
         """A row for each tick from ``_start`` to ``_end`` (milliseconds; a null end is open), and whether it has ended by then."""
         placed = spans.withColumns({"_from": self._tick(F.col("_start")), "_upto": self._tick(F.col("_end"))})
@@ -125,15 +173,10 @@ class EventLog:
 
     @cached_property
     def job_spans(self) -> DataFrame:
-        start, result = F.col("Event") == "SparkListenerJobStart", F.col("`Job Result`").getField("Result")
-        infos = F.col("`Stage Infos`")
-        tasks = F.aggregate(F.coalesce(infos, F.array()), F.lit(0).cast("long"), lambda n, i: n + F.coalesce(i["Number of Tasks"], F.lit(0)))
-        first = F.struct(F.col("`Stage IDs`").alias("stage_ids"), tasks.alias("num_tasks"), F.col("Properties").alias("properties"))
-        ends = self._of("SparkListenerJobStart", "SparkListenerJobEnd").groupBy("cluster_id", F.col("`Job ID`").alias("job_id"))
-        return keep(
-            ends.agg(
-                F.min("Submission Time").alias("_start"), F.max("Completion Time").alias("_end"),
-                F.any_value(F.when(start, first), ignoreNulls=True).alias("f"), F.max(result).alias("_result"),
+        first = F.when(F.col("Event") == JOB[0], F.struct("stage_ids", F.col("size").alias("num_tasks"), F.col("name").alias("description"), "execution_id"))
+        return keep_large(
+            self._of(*JOB).groupBy("cluster_id", F.col("id").alias("job_id")).agg(
+                F.min("start").alias("_start"), F.max("end").alias("_end"), F.any_value(first, ignoreNulls=True).alias("f"), F.max("outcome").alias("_result")
             )
         )
 
@@ -141,7 +184,7 @@ class EventLog:
     def jobs(self) -> DataFrame:
         rows = self._shown(self.job_spans)
         status = F.when(~F.col("_ended"), "RUNNING").when(F.col("_result") == "JobSucceeded", "SUCCEEDED").otherwise("FAILED")
-        name = F.coalesce(F.try_element_at("f.properties", F.lit("spark.job.description")), F.concat(F.lit("job "), "job_id"))
+        name = F.coalesce("f.description", F.concat(F.lit("job "), "job_id"))
         shown = rows.select(
             *KEY, F.col("job_id").alias("pos"), "job_id", status.alias("status"), name.alias("name"), F.timestamp_millis("_start").alias("submission_time"),
             F.when(F.col("_ended"), F.timestamp_millis("_end")).alias("completion_time"), F.col("f.num_tasks").alias("num_tasks"),
@@ -151,14 +194,13 @@ class EventLog:
 
     @property
     def stages(self) -> DataFrame:
-        events = self._of("SparkListenerStageSubmitted", "SparkListenerStageCompleted").select("cluster_id", "`Stage Info`.*")
-        spans = events.groupBy("cluster_id", F.col("`Stage ID`").alias("stage_id"), F.col("`Stage Attempt ID`").alias("attempt_id")).agg(
-            F.min("Submission Time").alias("_start"), F.max("Completion Time").alias("_end"), F.max("Stage Name").alias("name"),
-            F.max("Number of Tasks").alias("num_tasks"), F.max("Failure Reason").alias("_reason"),
+        spans = self._of(*STAGE).groupBy("cluster_id", F.col("id").alias("stage_id"), F.col("attempt").alias("attempt_id")).agg(
+            F.min("start").alias("_start"), F.max("end").alias("_end"), F.max("name").alias("name"),
+            F.max("size").alias("num_tasks"), F.max("outcome").alias("_reason"),
         )
         rows = self._shown(spans)
         id_ = [*KEY, "stage_id", "attempt_id"]
-        counted = stage_rollup(self.tasks, id_).drop("num_tasks", "submission_time")
+        counted = stage_rollup(self._counted(), id_).drop("num_tasks", "submission_time")
         status = F.when(~F.col("_ended"), "ACTIVE").when(F.col("_reason").isNull(), "COMPLETE").otherwise("FAILED")
         rows = rows.withColumns({"status": status, "failure_reason": F.when(F.col("_ended"), F.col("_reason")), "pos": F.col("stage_id"),
                                  "submission_time": F.timestamp_millis("_start"), "completion_time": F.when(F.col("_ended"), F.timestamp_millis("_end"))})
@@ -167,15 +209,13 @@ class EventLog:
 
     @property
     def executors(self) -> DataFrame:
-        added = F.col("Event") == "SparkListenerExecutorAdded"
-        spans = self._of("SparkListenerExecutorAdded", "SparkListenerExecutorRemoved").groupBy("cluster_id", F.col("`Executor ID`").alias("executor_id")).agg(
-            F.min(F.when(added, F.col("Timestamp"))).alias("_start"), F.max(F.when(~added, F.col("Timestamp"))).alias("_end"),
-            F.max(F.col("`Executor Info`").getField("Host")).alias("host_port"), F.max(F.col("`Executor Info`").getField("Total Cores")).alias("total_cores"),
-            F.max("Removed Reason").alias("_reason"),
+        spans = self._of(*EXECUTOR).groupBy("cluster_id", F.col("executor").alias("executor_id")).agg(
+            F.min("start").alias("_start"), F.max("end").alias("_end"), F.max("name").alias("host_port"),
+            F.max("size").cast("int").alias("total_cores"), F.max("outcome").alias("_reason"),
         )
         rows = self._shown(spans)
         id_ = [*KEY, "executor_id"]
-        counted = executor_rollup(self.tasks, id_)
+        counted = executor_rollup(self._counted(), id_)
         rows = rows.withColumns({"is_active": ~F.col("_ended"), "max_tasks": F.col("total_cores"), "remove_reason": F.when(F.col("_ended"), F.col("_reason")).otherwise(""),
                                  "pos": F.coalesce(F.expr("try_cast(executor_id as bigint)"), F.lit(0)), "add_time": F.timestamp_millis("_start"),
                                  "remove_time": F.when(F.col("_ended"), F.timestamp_millis("_end"))})
@@ -184,18 +224,16 @@ class EventLog:
 
     @property
     def sql_spans(self) -> DataFrame:
-        start = F.col("Event") == f"{SQL}Start"
-        return self._of(f"{SQL}Start", f"{SQL}End").groupBy("cluster_id", F.col("executionId").alias("execution_id")).agg(
-            F.min(F.when(start, F.col("time"))).alias("_start"), F.max(F.when(~start, F.col("time"))).alias("_end"),
-            F.max("description").alias("description"), F.max("errorMessage").alias("_error"), F.max("sparkPlanInfo").alias("plan"),
+        return self._of(*QUERY).groupBy("cluster_id", F.col("id").alias("execution_id")).agg(
+            F.min("start").alias("_start"), F.max("end").alias("_end"),
+            F.max("name").alias("description"), F.max("outcome").alias("_error"), F.max("plan").alias("plan"),
         )
 
     @property
     def sql_queries(self) -> DataFrame:
-        id_ = F.expr(f"try_cast(try_element_at(f.properties, '{EXECUTION_ID}') as bigint)")
         job = F.struct("job_id", self._tick(F.col("_end")).alias("upto"), (F.col("_result") == "JobSucceeded").alias("good"))
         # a query's own jobs meet it once, before it is shown at its ticks
-        jobs = self.job_spans.select("cluster_id", id_.alias("execution_id"), job.alias("job")).filter("execution_id is not null")
+        jobs = self.job_spans.select("cluster_id", "f.execution_id", job.alias("job")).filter("execution_id is not null")
         own = jobs.groupBy("cluster_id", "execution_id").agg(F.sort_array(F.collect_list("job")).alias("_jobs"))
         spans = self.sql_spans.join(own, ["cluster_id", "execution_id"], "left")
         rows = self._shown(spans.withColumn("_jobs", F.coalesce("_jobs", F.array().cast(own.schema["_jobs"].dataType))))
@@ -214,8 +252,8 @@ class EventLog:
     @property
     def clusters(self) -> DataFrame:
         """Name and configuration, which hold for every tick."""
-        rows = self._of("SparkListenerApplicationStart", "SparkListenerEnvironmentUpdate").groupBy("cluster_id").agg(
-            F.max("App Name").alias("cluster_name"), F.any_value("Spark Properties", ignoreNulls=True).alias("spark_conf")
+        rows = self._of(*APPLICATION).groupBy("cluster_id").agg(
+            F.max("name").alias("cluster_name"), F.any_value("spark_conf", ignoreNulls=True).alias("spark_conf")
         )
         filled = rows.withColumn("spark_conf", F.coalesce("spark_conf", F.create_map().cast("map<string,string>")))
         return conform(filled, CLUSTERS)

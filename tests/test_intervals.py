@@ -102,3 +102,40 @@ def test_queries_of_a_log_are_spread_over_its_ticks_once(spark):
         (1, 1): ("RUNNING", 4, 0, []), (2, 1): ("RUNNING", 2, 1, [5]), (3, 1): ("COMPLETED", 1, 1, [4, 5]),
         (2, 2): ("RUNNING", 0, 0, []), (3, 2): ("RUNNING", 0, 0, []),
     }
+
+
+def test_tables_of_a_log_read_its_lines_once_and_from_flat_columns_on_disk(spark):
+    """Events were kept whole, with their nested columns, in memory that ran out over 72 million of them."""
+    info = {"Stage ID": 3, "Stage Attempt ID": 1, "Stage Name": "s", "Number of Tasks": 2, "Submission Time": 1000}
+    metrics = {"Executor Run Time": 5, "JVM GC Time": 2, "Shuffle Read Metrics": {"Remote Bytes Read": 7}}
+    task = {"Event": event_log.TASK_END, "Stage ID": 3, "Stage Attempt ID": 1, "Task End Reason": {"Reason": "Success"}, "Task Metrics": metrics,
+            "Task Info": {"Task ID": 1, "Launch Time": 1000, "Finish Time": 2000, "Executor ID": "e", "Failed": False, "Killed": False}}
+    lines = [
+        {"Event": "SparkListenerApplicationStart", "App Name": "app", "Timestamp": 1000},
+        {"Event": "SparkListenerEnvironmentUpdate", "Spark Properties": {"k": "v"}},
+        {"Event": "SparkListenerExecutorAdded", "Timestamp": 1000, "Executor ID": "e", "Executor Info": {"Host": "h", "Total Cores": 4}},
+        {"Event": "SparkListenerExecutorRemoved", "Timestamp": 3000, "Executor ID": "e", "Removed Reason": "lost"},
+        {"Event": "SparkListenerJobStart", "Job ID": 5, "Submission Time": 1000, "Stage IDs": [3], "Stage Infos": [info], "Properties": {"spark.job.description": "d"}},
+        {"Event": "SparkListenerStageSubmitted", "Stage Info": info}, task, task | {"Task End Reason": {"Reason": "Killed", "Description": "x"}},
+        {"Event": "SparkListenerStageCompleted", "Stage Info": info | {"Completion Time": 3000, "Failure Reason": "boom"}},
+        {"Event": "SparkListenerBlockManagerAdded", "Timestamp": 2500, "Executor ID": "other"},
+    ]
+    rows = spark.createDataFrame([("c", json.dumps(line)) for line in lines] + [("c", "no object")], "cluster_id string, value string")
+    log = event_log.EventLog(event_log.parse_events(rows), 1)
+    assert not [f.name for f in log.facts.schema if f.dataType.typeName() == "struct"]
+    assert not log.facts.storageLevel.useMemory and not log.job_spans.storageLevel.useMemory
+    tables = log.telemetry
+    for table in (tables.executors, tables.stages, tables.jobs, tables.sql_queries, tables.clusters):
+        leaves = table._jdf.queryExecution().optimizedPlan().collectLeaves()
+        assert {leaves.apply(i).nodeName() for i in range(leaves.length())} == {"InMemoryRelation"}
+    assert sorted((r.tick, r.status, r.name, r.num_tasks, r.num_complete_tasks, r.num_killed_tasks, r.num_failed_tasks, r.shuffle_read_bytes, r.executor_run_time_ms, r.failure_reason)
+                  for r in tables.stages.collect()) == [
+        (1, "ACTIVE", "s", 2, 0, 0, 0, 0, 0, None), (2, "ACTIVE", "s", 2, 1, 0, 1, 14, 10, None), (3, "FAILED", "s", 2, 0, 0, 0, 0, 0, "boom"),
+    ]
+    assert sorted((r.tick, r.executor_id, r.is_active, r.host_port, r.total_cores, r.completed_tasks, r.total_duration_ms, r.total_gc_time_ms, r.remove_reason)
+                  for r in tables.executors.collect()) == [
+        (1, "e", True, "h", 4, 0, 0, 0, ""), (2, "e", True, "h", 4, 1, 2000, 4, ""), (3, "e", False, "h", 4, 0, 0, 0, "lost"),
+    ]
+    assert sorted((r.tick, r.job_id, r.name, r.num_tasks, r.stage_ids) for r in tables.jobs.collect()) == [(t, 5, "d", 2, [3]) for t in (1, 2, 3)]
+    assert [(r.cluster_name, r.spark_conf) for r in tables.clusters.collect()] == [("app", {"k": "v"})]
+    assert [r.task_id for r in log.tasks.collect()] == [1, 1]
