@@ -18,8 +18,8 @@ def keep(df: DataFrame) -> DataFrame:
 def keep_large(df: DataFrame) -> DataFrame:
     """As ``keep``, on the executors' disks alone: for results that grow with the events, of which memory would hold a small part.
 
-    What ``keep`` has in memory are pieces of a little over 1 MB, to which the JVM's collector gives twice their room in the heaps of small
-    executors. Storage then runs out of heap before it counts as full and moves to disk.
+    What ``keep`` has in memory are pieces of a little over 1 MB, each of which fills two of the JVM collector's regions in a heap below 2 GB.
+    Executors may so run out of heap before their storage counts as full and moves to disk.
     """
     return df.persist(StorageLevel.DISK_ONLY)
 

@@ -13,6 +13,7 @@ def make_session(cores: int = 8, partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.ui.retainedJobs", "100000")  # the status tracker forgets jobs beyond it, which tests count
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
